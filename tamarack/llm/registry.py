@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mixing, secrets
 
 
 def queries():
-    return {"op9_decontaminate": decontaminate.op9_decontaminate}
+    return {
+        "op1_mix": mixing.op1_mix,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_secrets": secrets.op10_secrets,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op1_mix": mixing.mix_sql("documents", "doc_id, source")}
