@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets
+from . import decontaminate, mixing, ngram_join, secrets
 
 
 def queries():
     return {
         "op1_mix": mixing.op1_mix,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secrets.op10_secrets,
     }
