@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, secrets
+from . import decontaminate, mixing, ngram_join, secrets, suffix_dedup
 
 
 def queries():
     return {
         "op1_mix": mixing.op1_mix,
         "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secrets.op10_secrets,
     }
