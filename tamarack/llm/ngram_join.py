@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -102,7 +102,7 @@ def _listed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def inverted_lists(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(s, name, n): entries of each set's first shingles, rare ones before frequent ones."""
+    """(s, name, n, i): entries of each set's first shingles, i from 0, rare ones before frequent ones."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def enter(batches):
@@ -119,10 +119,11 @@ def inverted_lists(docs: DataFrame, frequent: np.ndarray, words: int, percent: i
                     order = np.lexsort((values, hot[at] == values, row))
                     values = values[order]
                 new = np.array([not (x in done or done.add(x)) for x in names.tolist()], bool)
-                take = new[row] & (np.arange(len(values)) - offsets[:-1][row] < _listed(n, percent)[row])
-                yield pa.RecordBatch.from_arrays([pa.array(values[take].view(np.int64)), pa.array(names[row[take]]), pa.array(n[row[take]].astype(np.int32))], ["s", "name", "n"])
+                place = np.arange(len(values)) - offsets[:-1][row]
+                take = new[row] & (place < _listed(n, percent)[row])
+                yield pa.RecordBatch.from_arrays([pa.array(values[take].view(np.int64)), pa.array(names[row[take]]), pa.array(n[row[take]].astype(np.int32)), pa.array(place[take].astype(np.int32))], ["s", "name", "n", "i"])
 
-    return docs.select("text").mapInArrow(enter, "s long, name long, n int")
+    return docs.select("text").mapInArrow(enter, "s long, name long, n int, i int")
 
 
 def members(docs: DataFrame, names: DataFrame, words: int) -> DataFrame:
@@ -156,18 +157,23 @@ def members(docs: DataFrame, names: DataFrame, words: int) -> DataFrame:
     return found.join(names, "name", "left_semi").dropDuplicates(["name"])
 
 
-def _needed(percent: int) -> Column:
-    return F.expr(f"({percent} * (n + m) + {percent + 99}) div {percent + 100}")
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows (name, n, i, b, m, j), one for each list that holds both, that can still reach T.
 
-
-def _reachable(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, n, b, m, hits) whose hits can still reach T with what lies beyond the listed part."""
-    beyond = F.greatest("n", "m") * percent
-    return pairs.where(F.col("hits") + F.floor((beyond + 99) / 100) - 1 >= _needed(percent))
+    T is the overlap that sizes n and m need. Beyond its hits a pair can only share what follows the
+    last listed part of either set, and no more than follows any shared shingle in both sets.
+    """
+    need = F.expr(f"({percent} * (n + m) + {percent + 99}) div {percent + 100}")
+    near = rows.where(f"100 * n >= {percent} * m AND 100 * m >= {percent} * n")
+    hits = near.groupBy(F.col("name").alias("a"), "n", "b", "m").agg(F.count(F.lit(1)).alias("hits"), F.max("i").alias("i"), F.max("j").alias("j"))
+    beyond = F.least(F.floor((F.greatest("n", "m") * percent + 99) / 100) - 1, F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
+    return hits.where(F.col("hits") + beyond >= need).select("a", "b")
 
 
-def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def probed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets share T members or more."""
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    sets = members(docs, names, words)
     left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("y"))
 
@@ -200,28 +206,20 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     blocks.small_batches(spark)
     named, counts = shingle_sets(docs, words)
     with Stash(spark) as stash:
-        entries = inverted_lists(docs, _frequent(counts), words, percent).repartition("s").dropDuplicates(["s", "name", "n"])
+        entries = inverted_lists(docs, _frequent(counts), words, percent).repartition("s").dropDuplicates(["s", "name", "n", "i"])
         own = Window.partitionBy("s")
-        lists = entries.withColumn("size", F.count(F.lit(1)).over(own)).where("size > 1")
-        lists = stash.keep(lists)
-        sets = stash.keep(members(docs, lists.select("name").distinct(), words))
-        links, roots = None, None
-        for turn in (1, 2):
-            now = lists if roots is None else _apart(lists, roots)
-            best = F.min(F.struct(F.xxhash64("name", F.lit(turn)).alias("rank"), F.col("name").alias("b"), F.col("n").alias("m"))).over(own)
-            star = now.withColumn("best", best).select("name", "n", "best.b", "best.m", *(["root"] if roots is not None else []))
-            star = star.where("name <> b").groupBy(F.col("name").alias("a"), "n", "b", "m").agg(F.count(F.lit(1)).alias("hits"))
-            new = cut(probed(_reachable(star, percent), sets, percent))
-            links = new if links is None else links.unionByName(new)
-            roots = components(links)
-        rest = _apart(lists, roots)
+        lists = stash.keep(entries.withColumn("size", F.count(F.lit(1)).over(own)).where("size > 1").drop("size"))
+        leaders = [F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("rank"), F.col("name").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))).over(own) for k in (1, 2)]
+        star = lists.withColumns({"one": leaders[0], "two": leaders[1]})
+        star = star.select("name", "n", "i", F.explode(F.array_distinct(F.transform(F.array("one", "two"), lambda x: x.dropFields("rank")))).alias("lead"))
+        star = cut(_pairs(star.select("name", "n", "i", "lead.*").where("name <> b"), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = cut(probed(docs, star, words, percent))
+        rest = _apart(lists, components(links))
         # the largest component of a list needs no pairs of its own: all others meet it and each other
-        mate = rest.select("s", F.col("name").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("main").alias("b_main"))
-        pairs = rest.join(mate, "s").where("root <> other and not main and (b_main or name < b)")
-        pairs = pairs.where(f"100 * n >= {percent} * m and 100 * m >= {percent} * n")
-        pairs = pairs.groupBy(F.col("name").alias("a"), "n", "b", "m").agg(F.count(F.lit(1)).alias("hits"))
-        links = cut(links.unionByName(probed(_reachable(pairs, percent), sets, percent)))
-        roots = cut(components(links))
+        mate = rest.select("s", F.col("name").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"), F.col("main").alias("b_main"))
+        pairs = rest.join(mate, "s").where("root <> other AND NOT main AND (b_main OR name < b)")
+        pairs = cut(_pairs(pairs.select("name", "n", "i", "b", "m", "j"), percent).join(star, ["a", "b"], "left_anti"))
+        roots = cut(components(links.unionByName(probed(docs, pairs, words, percent))))
     joined = named.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     full = joined.where("n > 0")
     ids = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
