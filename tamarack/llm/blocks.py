@@ -1,6 +1,6 @@
 """Whole texts as byte buffers: tokens, their hashes and shingles with numpy, for use inside Spark tasks.
 
-A task sees its rows as Arrow batches. Texts of a batch are taken in slices of a few MB, so memory
+A task sees its rows as Arrow batches. Texts of a batch are taken in slices of about a MB, so memory
 stays bounded whatever the batch holds; a single text is never cut.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.Generator(np.random.PCG64(20240201))
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

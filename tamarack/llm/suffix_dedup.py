@@ -33,7 +33,7 @@ GRAM = 48
 #: Bytes after the gram that multikey sorting looks at before blind tries take over.
 SHALLOW = 16
 #: Suffixes sorted at once in a task; a group of equal grams is never divided.
-AT_ONCE = 20_000
+AT_ONCE = 8_000
 
 
 def _sliding(reduce: np.ufunc, x: np.ndarray, width: int, fill: int) -> np.ndarray:
@@ -190,15 +190,17 @@ def _surroundings(rows: DataFrame, length: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text").cast(pa.binary())
-            for k in range(batch.num_rows):
-                t = text[k].as_buffer()
-                data = memoryview(t)
-                wanted = batch.column("wanted")[k].values
-                gram, at = wanted.field(0), wanted.field(1).to_numpy()
-                place, left, right = at >> 16, (at >> 8) & 255, at & 255
-                cut = [bytes(data[a:b]) for a, b in zip((place - left).tolist(), (place + right).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([gram, pa.array(np.full(len(at), batch.column("key")[k].as_py())), wanted.field(1), pa.array(cut, pa.binary())], ["gram", "key", "at", "bytes"])
+            wanted = batch.column("wanted")
+            row = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            gram, packed = wanted.flatten().flatten()
+            at = packed.to_numpy()
+            data, offsets = blocks.text_bytes(batch.column("text"))
+            place = offsets[row] + (at >> 16)
+            start, stop = place - ((at >> 8) & 255), place + (at & 255)
+            for a in range(0, len(at), AT_ONCE):
+                part = slice(a, a + AT_ONCE)
+                cut = [data[x:y].tobytes() for x, y in zip(start[part].tolist(), stop[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([gram[part], batch.column("key").take(pa.array(row[part])), packed[part], pa.array(cut, pa.binary())], ["gram", "key", "at", "bytes"])
 
     return rows.mapInArrow(read, "gram long, key long, at long, bytes binary")
 
@@ -214,8 +216,8 @@ def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
         raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
         offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
         data = np.append(np.frombuffer(raw.buffers()[2], np.uint8), np.uint8(0))
-        middle = offsets[:-1] + n_left
-        step = np.arange(length)
+        middle, n_left, n_right = (x.astype(np.int32) for x in (offsets[:-1] + n_left, n_left, n_right))
+        step = np.arange(length, dtype=np.int32)
         right = np.where(step < n_right[:, None], data[np.minimum(middle[:, None] + step, len(data) - 1)], 0).astype(np.uint8)
         step = step[: length - GRAM]
         left = np.where(step < n_left[:, None], data[np.maximum(middle[:, None] - 1 - step, 0)], 0).astype(np.uint8)
