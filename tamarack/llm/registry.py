@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, secrets, suffix_dedup, token_counts, toxicity
+from . import decontaminate, fingerprints, mixing, ngram_join, secrets, suffix_dedup, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_mix": mixing.op1_mix,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
