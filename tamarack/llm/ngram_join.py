@@ -12,7 +12,9 @@ set's members are looked up by binary search in the other's sorted members, whic
 Sets are taken once per distinct set, so exact copies cost one entry however many there are. Lists of
 near copies would still give all pairs of a group; so each list first gives only its members' pairs
 with one leader, and after links from these pairs have merged most of a group into one component, only
-pairs between different components of a list are left to look at. No pair is skipped otherwise.
+pairs between different components of a list are left to look at. Of short lists these become rows;
+members of a long list are dealt out in blocks, and each two blocks are searched by DivideSkip in a
+task of their own, which returns no more links than join components. No pair is skipped otherwise.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ FREQUENT = 32
 MOST_FREQUENT = 1 << 18
 STRETCH = 4_000_000
 FILTER_BITS = 1 << 24
+#: Lists of so many entries or more are searched in blocks of members instead of giving rows of pairs.
+LONG_LIST = 128
+BLOCK = 512
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -170,10 +175,8 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     return hits.where(F.col("hits") + beyond >= need).select("a", "b")
 
 
-def probed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def probed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets share T members or more."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    sets = members(docs, names, words)
     left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("y"))
 
@@ -208,18 +211,22 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     with Stash(spark) as stash:
         entries = inverted_lists(docs, _frequent(counts), words, percent).repartition("s").dropDuplicates(["s", "name", "n", "i"])
         own = Window.partitionBy("s")
-        lists = stash.keep(entries.withColumn("size", F.count(F.lit(1)).over(own)).where("size > 1").drop("size"))
+        lists = stash.keep(entries.withColumn("size", F.count(F.lit(1)).over(own)).where("size > 1"))
         leaders = [F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("rank"), F.col("name").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))).over(own) for k in (1, 2)]
         star = lists.withColumns({"one": leaders[0], "two": leaders[1]})
         star = star.select("name", "n", "i", F.explode(F.array_distinct(F.transform(F.array("one", "two"), lambda x: x.dropFields("rank")))).alias("lead"))
         star = cut(_pairs(star.select("name", "n", "i", "lead.*").where("name <> b"), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        links = cut(probed(docs, star, words, percent))
-        rest = _apart(lists, components(links))
+        links = cut(probed(star, members(docs, _named(star), words), percent))
+        rest = stash.keep(_apart(lists, components(links)))
+        long = rest.where(F.col("size") >= LONG_LIST)
+        if not long.isEmpty():
+            links = links.unionByName(cut(_block_links(long, members(docs, long.select("name").distinct(), words), percent)))
         # the largest component of a list needs no pairs of its own: all others meet it and each other
+        rest = rest.where(F.col("size") < LONG_LIST)
         mate = rest.select("s", F.col("name").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"), F.col("main").alias("b_main"))
         pairs = rest.join(mate, "s").where("root <> other AND NOT main AND (b_main OR name < b)")
         pairs = cut(_pairs(pairs.select("name", "n", "i", "b", "m", "j"), percent).join(star, ["a", "b"], "left_anti"))
-        roots = cut(components(links.unionByName(probed(docs, pairs, words, percent))))
+        roots = cut(components(links.unionByName(probed(pairs, members(docs, _named(pairs), words), percent))))
     joined = named.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     full = joined.where("n > 0")
     ids = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -237,6 +244,72 @@ def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return known.join(main, "s").withColumn("main", F.col("root") == F.col("top")).drop("top")
 
 
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
+
+
+def divide_skip(sets: list[np.ndarray], roots: list[int], split: int, percent: int) -> list[tuple[int, int]]:
+    """Links (x, y), x < split <= y, or x < y where split is 0, that join sets of different roots.
+
+    For each set x the lists of its members are divided: the longest L are put aside, the others are
+    merged by counting. Sets counted T - L times or more are probed in the long lists. Of links that
+    join the same roots over again one is returned.
+    """
+    first = split if split else len(sets)
+    others = range(split, len(sets))
+    size = np.array([len(s) for s in sets])
+    values = np.concatenate([sets[k] for k in others])
+    holder = np.repeat(np.arange(len(sets))[split:], size[split:])
+    order = np.argsort(values, kind="stable")
+    values, holder = values[order], holder[order]
+    parent = {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    out = []
+    for x in range(first):
+        lo, hi = np.searchsorted(values, sets[x]), np.searchsorted(values, sets[x], side="right")
+        length = hi - lo
+        need = -(-percent * (size[x] + size) // (percent + 100))
+        aside = int(min(np.count_nonzero(length > 32), need.min() - 1, size[x] - 1))
+        by = np.argsort(length)
+        short, long = by[: len(by) - aside], by[len(by) - aside :]
+        at = np.repeat(lo[short] - np.cumsum(length[short]) + length[short], length[short]) + np.arange(length[short].sum())
+        count = np.bincount(holder[at], minlength=len(sets))
+        count[: split if split else x + 1] = 0
+        fits = (100 * size >= percent * size[x]) & (100 * size[x] >= percent * size) & (count > 0) & (count >= need - aside)
+        for y in np.flatnonzero(fits).tolist():
+            if find(roots[x]) != find(roots[y]):
+                where = np.minimum(np.searchsorted(sets[y], sets[x][long]), size[y] - 1)
+                if count[y] + int((sets[y][where] == sets[x][long]).sum()) >= need[y]:
+                    parent[find(roots[x])] = find(roots[y])
+                    out.append((x, y))
+    return out
+
+
+def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of long lists (s, name, root, size): blocks of members, two at a time."""
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rest.select("s", "name", "root", n.alias("blocks")).withColumn("block", F.pmod(F.hash("name"), F.col("blocks")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("s", "name", "root", "block", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y")).join(sets, "name")
+
+    def search(key, pdf):
+        pdf = pdf.sort_values(["block", "name"], ignore_index=True)
+        split = 0 if key[1] == key[2] else int((pdf["block"] == key[1]).sum())
+        if len(pdf) < 2 or (key[1] != key[2] and split in (0, len(pdf))) or pdf["root"].nunique() < 2:
+            return pdf[["name", "root"]].head(0).rename(columns={"name": "a", "root": "b"})
+        links = divide_skip([np.asarray(x) for x in pdf["shingles"]], pdf["root"].tolist(), split, percent)
+        name = pdf["name"].to_numpy()
+        return pdf[["name", "root"]].head(0).rename(columns={"name": "a", "root": "b"}) if not links else type(pdf)({"a": name[[x for x, _ in links]], "b": name[[y for _, y in links]]})
+
+    return rows.groupBy("s", "x", "y").applyInPandas(search, "a long, b long")
+
+
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     """`link_components` over whole documents: 5-word shingles, likeness 0.8."""
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
