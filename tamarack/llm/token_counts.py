@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
+from .storage import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how the vocabulary's tokenizer splits text before merging.
@@ -109,4 +110,5 @@ def quantiles(sums: DataFrame, shares: list[float], by: str = "source") -> DataF
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     """Suffix sums of each source's length histogram over whole documents."""
-    return suffix_sums(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text")
+    return suffix_sums(cut(length_histogram(docs)))  # texts are encoded once for the several sums
