@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, mixing, ngram_join, secrets, suffix_dedup, token_counts, toxicity
+from . import decontaminate, fingerprints, licenses, mixing, ngram_join, secrets, suffix_dedup, token_counts, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_licenses": licenses.op8_licenses,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secrets.op10_secrets,
     }
