@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, licenses, mixing, ngram_join, secrets, suffix_dedup, token_counts, toxicity
+from . import decontaminate, fingerprints, licenses, mixing, ngram_join, pii, secrets, suffix_dedup, token_counts, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op5_pii": pii.op5_pii,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_licenses": licenses.op8_licenses,

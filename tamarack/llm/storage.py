@@ -24,6 +24,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours, wherever its file system is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Stash:
     """Parquet tables in the shared folder that are deleted when the block ends.
 
@@ -43,7 +49,5 @@ class Stash:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
-        jvm = self.spark.sparkContext._jvm
         for path in self.paths:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(self.spark, path)
