@@ -1,15 +1,403 @@
-"""Names of the catalog and topic queries, and their SQL twins."""
+"""Names of the catalog and topic queries. Their SQL twins are in `oracle`."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import names, present
+from ..operators import catalog as cat
+from ..operators import changes, coverage, search, topics
+from . import adapters as ad
+from . import language, oracle
+from .adapters import NOW
 
-def queries():
-    return {}
+SHOWN = ("rank", "entry_id", "name", "score")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def oracle_sql():
-    return {}
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _search(line: str, columns: tuple = SHOWN, **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: search.search(ad.catalog(spark, sf_dir), line, search.Options(now=NOW, **options)).select(*columns)
+
+
+def _ids(line: str) -> Callable[[SparkSession, str], DataFrame]:
+    """All matches of a line, unordered."""
+    return lambda spark, sf_dir: search.found(ad.catalog(spark, sf_dir), line, search.Options(sort="name", now=NOW)).select("entry_id", "name")
+
+
+#: Searches, by operator: matching sets, and ranked lists.
+MATCHES = {
+    "op_f1_name": "doc-1", "op_f2_case": "case:Doc-1", "op_f3_path": "path:src3/en", "op_f4_descendant": "src1/", "op_f6_glob": "*doc?2*.png",
+    "op_f7_regex": r"regex:^my_doc\d+5\.", "op_f8_ext": "ext:md;txt", "op_f9_kind": "kind:image", "op_f10_files": "file:", "op_f10_folders": "folder:",
+    "op_f11_file_or": "folder:en|file:doc-9", "op_f12_size": "size:>1.5mb", "op_f13_modified": "dm:2024-01-10..2024-01-20", "op_f14_not_ancestor": "doc !node_modules",
+    "op_f15_not_path": "my_doc !path:src1/", "op_p3_and": "doc 7 ext:pdf", "op_p3_or": "png|swift size:<2mb", "op_p4_not": "doc !kind:video", "op_p9_size": "size:100kb..700kb",
+    "op_p10_date": "dm:week", "op_p10_ago": "dm:3d", "op_p7_unknown_key": "foo:doc", "op_f21_scan": "my_doc1", "op_f23_filter": "kind:code size:>1mb", "op_m1_alternatives": "doc-1|doc-2|my_doc3",
+}
+RANKED = {
+    "op_r3_score": ("doc-1", {}), "op_r4_or_score": ("doc-1|my_doc2", {}), "op_r5_relevance": ("my", {}), "op_r6_natural_sort": ("doc", {"sort": "name", "ascending": True}),
+    "op_r7_sort_size": ("doc", {"sort": "size"}), "op_r7_sort_modified": ("doc", {"sort": "modified", "ascending": True}), "op_r8_recent": ("", {}), "op_f17_option_kind": ("doc", {"kind": 4}),
+}
+QUERIES |= {k: _ids(v) for k, v in MATCHES.items()}
+QUERIES |= {k: _search(v, **o) for k, (v, o) in RANKED.items()}
+
+
+@query
+def op_r1_quality(spark, sf_dir):
+    rows = ad.catalog(spark, sf_dir)
+    return rows.select("entry_id", *[names.match_quality(F.col("name"), F.col("folded"), n).alias(f"q_{i}") for i, n in enumerate(("doc", "doc-1", "d", "1", "my_doc12"))])
+
+
+@query
+def op_r9_bounded(spark, sf_dir):
+    o = search.Options(now=NOW)
+    return search.bounded(search.found(ad.catalog(spark, sf_dir), "doc", o), search.order(o), 100).select("entry_id", "place")
+
+
+@query
+def op_f18_predicates(spark, sf_dir):
+    """Several searches' atoms evaluated side by side on every entry."""
+    tests = [language.predicate(language.understand(line, NOW)).alias(f"p{i}") for i, line in enumerate(("doc-1", "ext:pdf", "!path:en", "size:>1mb"))]
+    return ad.catalog(spark, sf_dir).select("entry_id", *tests)
+
+
+@query
+def op_c1_narrow(spark, sf_dir):
+    """`doc-1` then `doc-12`: the second search runs on the first one's results."""
+    assert search.can_narrow("doc-1", "doc-12")
+    first = search.found(ad.catalog(spark, sf_dir), "doc-1", search.Options(now=NOW))
+    return search.found(first.drop("score"), "doc-12", search.Options(now=NOW)).select("entry_id", "score")
+
+
+@query
+def op_j1_paths(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("entry_id", "rel_path", "depth")
+
+
+@query
+def op_j2_resolve(spark, sf_dir):
+    """Paths of the change feed, as far as the catalog has them."""
+    return cat.resolve(ad.catalog(spark, sf_dir), ad.seen(spark, sf_dir).select("path").distinct())
+
+
+@query
+def op_m7_parent_join(spark, sf_dir):
+    rows = ad.catalog(spark, sf_dir)
+    return cat.children(rows, rows.where("is_dir").select("parent_id", F.upper("name").alias("name")))
+
+
+@query
+def op_s3_classify(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("entry_id", "ext", "kind", "hidden", "noise", "in_package", "size")
+
+
+@query
+def op_a1_report(spark, sf_dir):
+    return cat.report(ad.catalog(spark, sf_dir))
+
+
+@query
+def op_q1_validate(spark, sf_dir):
+    return cat.validate(ad.entries(spark, sf_dir))
+
+
+def _left_out(spark, sf_dir):
+    return coverage.reasons(ad.catalog(spark, sf_dir), ["/src1/en", "/src2"], ["node_modules", "src5"], ["zip", "xyz"])
+
+
+@query
+def op_s5_exclusion(spark, sf_dir):
+    return _left_out(spark, sf_dir).select("entry_id", "reason")
+
+
+@query
+def op_a2_coverage(spark, sf_dir):
+    return coverage.counters(_left_out(spark, sf_dir))
+
+
+@query
+def op_a4_coverage_merge(spark, sf_dir):
+    """Coverage of the catalog and of its files alone, added up."""
+    rows = _left_out(spark, sf_dir).where("reason IS NOT NULL")
+    one = rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return coverage.merged(one.unionByName(rows.where("NOT is_dir").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))))
+
+
+@query
+def op_a3_scope_count(spark, sf_dir):
+    rows = _left_out(spark, sf_dir)
+    return rows.agg(F.count_if(F.col("reason").isin("hidden", "dependency", "package", "file type")).alias("n"))
+
+
+@query
+def op_a5_uncovered(spark, sf_dir):
+    """Sources of documents that no conversation names as a root: here those with an odd number."""
+    roots = ad.table(spark, sf_dir, "documents").select(F.col("source").alias("root")).distinct()
+    return coverage.uncovered(roots, roots.where("CAST(substring(root, 4) AS INT) % 2 = 0"))
+
+
+@query
+def op_a12_counters(spark, sf_dir):
+    rows = ad.catalog(spark, sf_dir).withColumn("deleted", F.col("entry_id") % 3 == 0)
+    return cat.needs_compaction(rows, 100)
+
+
+@query
+def op_x9_compact(spark, sf_dir):
+    rows = ad.catalog(spark, sf_dir).withColumn("deleted", F.col("entry_id") % 3 == 0)
+    return cat.compacted(rows).select("entry_id", "new_id")
+
+
+@query
+def op_x6_sweep(spark, sf_dir):
+    removed = ad.catalog(spark, sf_dir).where("entry_id IN (2, 1031) OR entry_id % 97 = 0").select(F.col("rel_path").alias("path"))
+    return changes.swept(ad.catalog(spark, sf_dir), removed).select("entry_id", "deleted")
+
+
+@query
+def op_x4_outer_roots(spark, sf_dir):
+    rows = ad.catalog(spark, sf_dir).where("entry_id % 5 = 0 OR (is_dir AND entry_id % 3 = 0)")
+    return changes.outer_roots(rows.select(F.col("rel_path").alias("path")))
+
+
+@query
+def op_x5_reconcile(spark, sf_dir):
+    rows = ad.catalog(spark, sf_dir)
+    return changes.reconciled(rows, "/src3", rows.where("entry_id % 4 <> 0").select("rel_path")).select("entry_id", "rel_path")
+
+
+@query
+def op_x7_inherited(spark, sf_dir):
+    """src4 renamed to node_modules and src9.app to plain: flags of all below follow."""
+    rows = ad.catalog(spark, sf_dir)
+    renamed = spark.createDataFrame([("src4", "node_modules"), ("src9.app", "plain")], "old string, new string")
+    return cat.classified(changes.inherited(rows, renamed).select("entry_id", "parent_id", "name", "is_dir", "size", "mtime", "rel_path", "depth", "ancestors")).select("entry_id", "noise", "in_package")
+
+
+@query
+def op_a10_coalesce(spark, sf_dir):
+    return changes.coalesced(ad.seen(spark, sf_dir))
+
+
+def _latest(spark, sf_dir):
+    rows = ad.seen(spark, sf_dir)
+    last = rows.groupBy("path").agg(F.max_by(F.struct("present", "size", "mtime"), "event_id").alias("x"), F.max("event_id").alias("event_id"))
+    return last.select("path", "event_id", "x.*")
+
+
+@query
+def op_x3_apply(spark, sf_dir):
+    return changes.applied(ad.catalog(spark, sf_dir), _latest(spark, sf_dir), cursor=100).select("path", "op", "event_id")
+
+
+@query
+def op_a9_summary(spark, sf_dir):
+    return changes.summary(changes.applied(ad.catalog(spark, sf_dir), _latest(spark, sf_dir)))
+
+
+@query
+def op_x8_upsert(spark, sf_dir):
+    return changes.upserted(ad.catalog(spark, sf_dir).where("NOT is_dir"), _latest(spark, sf_dir))
+
+
+@query
+def op_m2_multi(spark, sf_dir):
+    both = [("docs", ad.catalog(spark, sf_dir)), ("parts", ad.parts(spark, sf_dir))]
+    return search.search_sources(both, "1 ext:log|txt", search.Options(now=NOW)).select("rank", "source", "entry_id", "score")
+
+
+@query
+def op_m2_multi_recent(spark, sf_dir):
+    both = [("docs", ad.catalog(spark, sf_dir)), ("parts", ad.parts(spark, sf_dir))]
+    return search.search_sources(both, "", search.Options(now=NOW)).select("rank", "source", "entry_id")
+
+
+@query
+def op_m3_supplement(spark, sf_dir):
+    """Results of a search and hits that the change feed gives for the same files, some of an old version."""
+    rows = ad.catalog(spark, sf_dir)
+    results = search.found(rows, "doc-1", search.Options(now=NOW))
+    hits = ad.table(spark, sf_dir, "events").select((F.lit(100000) + F.col("user_id")).alias("entry_id"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 3).alias("version"), F.col("event_type").alias("reason"))
+    return search.supplemented(results, hits, rows, 2).select("entry_id", "tier", "reason", "score")
+
+
+@query
+def op_m4_additional(spark, sf_dir):
+    o = search.Options(now=NOW)
+    files = search.found(ad.catalog(spark, sf_dir), "doc-1", o)
+    found = topics.relevance(ad.topics(spark, sf_dir)[0], "the", NOW, normalize=False)
+    return search.top(search.merged_with_topics(files, found, o), [F.desc("key"), F.col("is_topic"), F.col("item")], 200).select("rank", "item", "key")
+
+
+@query
+def op_m6_provider_scope(spark, sf_dir):
+    return ad.topics(spark, sf_dir)[0].where(F.col("provider").isin("claude", "codex")).select("topic_id", "provider")
+
+
+@query
+def op_t1_fold(spark, sf_dir):
+    _, messages = ad.topics(spark, sf_dir)
+    return messages.select("topic_id", "msg_key", topics.fold(F.col("body")).alias("f"))
+
+
+@query
+def op_t3_literal_and(spark, sf_dir):
+    return topics.matching(ad.topics(spark, sf_dir)[1], "the ING")
+
+
+@query
+def op_m8_term_semijoin(spark, sf_dir):
+    """Two terms as two semi-joins on messages."""
+    heads, messages = ad.topics(spark, sf_dir)
+    f = messages.select("topic_id", topics.fold(F.col("body")).alias("f"))
+    for term in topics.terms("tion que"):
+        heads = heads.join(f.where(F.col("f").contains(term)), "topic_id", "left_semi")
+    return heads.select("topic_id")
+
+
+@query
+def op_t4_postings(spark, sf_dir):
+    """How many topics each gram of the postings has."""
+    return topics.postings(ad.topics(spark, sf_dir)[1]).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def op_t5_candidates(spark, sf_dir):
+    """Topics with every gram of a query, and whether they match it."""
+    _, messages = ad.topics(spark, sf_dir)
+    some = topics.candidates(topics.postings(messages), "ouer éeau")
+    hit = topics.matching(messages, "ouer éeau").withColumn("hit", F.lit(True))
+    return some.join(hit, "topic_id", "left").select("topic_id", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+@query
+def op_t6_topics(spark, sf_dir):
+    heads, messages = ad.topics(spark, sf_dir)
+    return topics.search(heads, messages, "de", ["claude", "workbuddy"], 20).select("topic_id", "modified", "has_more")
+
+
+@query
+def op_t7_excerpt(spark, sf_dir):
+    return topics.excerpts(ad.topics(spark, sf_dir)[1], "tion")
+
+
+@query
+def op_t8_relevance(spark, sf_dir):
+    return topics.relevance(ad.topics(spark, sf_dir)[0], "the in", NOW).select("topic_id", "score")
+
+
+@query
+def op_a7_topic_count(spark, sf_dir):
+    return ad.topics(spark, sf_dir)[0].where("NOT archived AND provider IN ('claude', 'codex')").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def op_a8_thread_summary(spark, sf_dir):
+    return topics.thread_summary(ad.topics(spark, sf_dir)[1])
+
+
+@query
+def op_t12_titles(spark, sf_dir):
+    return ad.topics(spark, sf_dir)[0].select("topic_id", "title", "provider", "modified", "archived", "messages")
+
+
+@query
+def op_k3_topic_upsert(spark, sf_dir):
+    """Every third topic retitled, every fifth unknown before."""
+    heads, _ = ad.topics(spark, sf_dir)
+    new = heads.select("topic_id", F.when(F.col("modified") % 3 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"))
+    return topics.upserted(heads.where("CAST(topic_id AS INT) % 5 <> 0"), new)
+
+
+@query
+def op_k4_message_changes(spark, sf_dir):
+    _, messages = ad.topics(spark, sf_dir)
+    cut = F.when(F.col("msg_key") % 3 == 0, F.lit("")).when(F.col("msg_key") % 3 == 1, F.concat("body", F.lit("."))).otherwise(F.col("body"))
+    return topics.message_changes(messages.where("msg_key % 4 <> 2"), messages.select("topic_id", "msg_key", cut.alias("body")))
+
+
+@query
+def op_m9_reconcile(spark, sf_dir):
+    _, messages = ad.topics(spark, sf_dir)
+    return topics.vanished(messages, messages.where("msg_key % 2 = 0").select("topic_id", "msg_key")).select("topic_id", "msg_key")
+
+
+@query
+def op_x15_archive(spark, sf_dir):
+    """Archive flags that differ from the source's, which archives every fourth topic."""
+    heads, _ = ad.topics(spark, sf_dir)
+    return heads.withColumn("now", F.col("topic_id").cast("int") % 4 == 0).where("archived <> now").select("topic_id", "now")
+
+
+@query
+def op_s10_latest(spark, sf_dir):
+    """The newest document of each source and language, ties by the larger id."""
+    d = ad.table(spark, sf_dir, "documents")
+    return d.groupBy("source", "lang").agg(F.max_by("doc_id", F.struct(F.col("doc_id") % 40, "doc_id")).alias("doc_id"))
+
+
+@query
+def op_s12_changed_threads(spark, sf_dir):
+    """Threads whose (count, last) differs from what was read before: here every thread once had a turn less."""
+    now = topics.thread_summary(ad.topics(spark, sf_dir)[1])
+    before = now.select("topic_id", F.when(F.col("topic_id").cast("int") % 2 == 0, F.col("items") - 1).otherwise(F.col("items")).alias("items"), "last")
+    return now.join(before, ["topic_id", "items", "last"], "left_anti")
+
+
+@query
+def op_e6_size_codec(spark, sf_dir):
+    d = ad.table(spark, sf_dir, "lineitem")
+    big = (F.col("l_extendedprice") * 100_000).cast("long")
+    return d.select("l_orderkey", "l_linenumber", names.decoded_size(big).alias("kept"))
+
+
+@query
+def op_e10_highlight(spark, sf_dir):
+    spans = present.highlights(F.col("folded"), ["doc", "oc", "1"])
+    return ad.catalog(spark, sf_dir).select("entry_id", F.array_join(F.transform(spans, lambda x: F.concat_ws("-", x["start"], x["stop"])), ",").alias("spans"))
+
+
+@query
+def op_e11_abbreviate(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("entry_id", present.abbreviated(F.col("rel_path"), "/src2/en").alias("shown"))
+
+
+@query
+def op_e12_date_text(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("entry_id", present.date_text(F.col("mtime"), NOW).alias("shown"))
+
+
+@query
+def op_e13_count_text(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("entry_id", present.count_text(F.col("size")).alias("shown"))
+
+
+@query
+def op_e13_size_text(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).select("entry_id", present.size_text(F.col("size")).alias("shown"))
+
+
+@query
+def op_e7_alternate_keys(spark, sf_dir):
+    """Alternate keys of the first words of documents, taken as names."""
+    d = ad.table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ")[0].alias("name"))
+    return d.select("doc_id", F.array_join(names.alternate_keys(F.col("name")), ",").alias("keys"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranked search: plain word, extension, excluded folder."""
+    return _search("doc-1 ext:md;txt !src3")(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.statements()
