@@ -4,10 +4,11 @@ Each block of documents gets its own positional index (the usual split of an ind
 every term of the test items, the ascending positions where training texts hold it. A window of test
 words is found by intersecting its terms' lists, each shifted by the term's place in the window, from
 the rarest term over the whole corpus to the most common one. With `slop` 0 that gives exact phrases;
-with more, every term may stand up to `slop` words from its place (proximity matches).
+with more, every other term may stand up to `slop` words from where the rarest one puts it (proximity).
 
-Only test items travel to the tasks, in blocks of at most `block_bytes` of text, so what is broadcast
-is bounded however many items there are; training texts are never shuffled.
+Only test items travel to the tasks, in blocks of about `block_bytes` of text; training texts are never
+shuffled. A benchmark of more than MOST_BYTES is refused by `contamination`, which needs all blocks at
+once to tell which words any item hits; `find_matches` takes one block after the other without a limit.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from . import blocks
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+MOST_BYTES = 64 << 20
 
 
 @dataclass
@@ -98,7 +100,7 @@ def occurrences(windows: Windows, term: np.ndarray, at: np.ndarray, slop: int) -
     start = position - rank[w, 0]
     row = np.searchsorted(at, position, side="right") - 1
     begin, end = at[row], at[row + 1]
-    fits = (start >= begin) & (start + windows.length[w] <= end)
+    fits = (start + slop >= begin) & (start + windows.length[w] - slop <= end)
     w, start, begin, end = w[fits], start[fits], begin[fits], end[fits]
     for k in range(1, windows.terms.shape[1]):
         place = rank[w, k]
@@ -108,7 +110,7 @@ def occurrences(windows: Windows, term: np.ndarray, at: np.ndarray, slop: int) -
         found = np.searchsorted(postings, t * span + high, side="right") > np.searchsorted(postings, t * span + low)
         keep = found | (windows.length[w] <= k)
         w, start, begin, end = w[keep], start[keep], begin[keep], end[keep]
-    return w, start
+    return w, np.clip(start, begin, np.maximum(begin, end - windows.length[w]))
 
 
 def _block_windows(docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int) -> Iterator:
@@ -163,16 +165,16 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: all its columns and n_words, n_hit, items (ids as sorted strings).
 
-    Same input rules as `find_matches`. Items of several blocks are brought together by adding up
-    each block's column: with one block (the usual case) documents are read once and not shuffled.
-    n_hit counts words inside any occurrence of any item, over all blocks.
+    Same input rules as `find_matches`; items without id count for n_hit but are not named. n_hit counts
+    words inside any occurrence of any item, over all blocks. Documents are not shuffled.
     """
+    if clash := {"n_words", "n_hit", "items"} & {*docs.columns}:
+        raise ValueError(f"documents already have columns {sorted(clash)}")
     blocks.small_batches(docs.sparkSession)
+    if (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > MOST_BYTES:
+        raise ValueError(f"the benchmark has more than {MOST_BYTES} bytes; use find_matches")
     shares = list(_block_windows(docs, benchmark, size, block_bytes))
     schema = docs.schema
-    for name in ("n_words", "n_hit", "items"):
-        if name in docs.columns:
-            raise ValueError(f"documents already have a column {name}")
 
     def judge(batches):
         for batch in batches:

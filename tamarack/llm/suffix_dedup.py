@@ -119,7 +119,7 @@ def _blind_trie(strings: list[bytes]) -> list[int]:
 def deep_shallow_order(group: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Order of suffixes by group, then by their bytes `right` (rows, zeros behind), then by `size`."""
     n = len(group)
-    tail = np.ascontiguousarray(right[:, GRAM:])
+    tail = np.pad(right[:, GRAM:], ((0, 0), (0, max(0, SHALLOW - (right.shape[1] - GRAM)))))
     keys = np.ascontiguousarray(tail[:, :SHALLOW]).view(">u8")
     order = np.lexsort((*(keys[:, k] for k in reversed(range(keys.shape[1]))), group))
     tied = np.zeros(n, bool)
