@@ -34,6 +34,8 @@ GRAM = 48
 SHALLOW = 16
 #: Suffixes sorted at once in a task; a group of equal grams is never divided.
 AT_ONCE = 8_000
+#: A larger group of suffixes with equal grams and different surroundings is settled by Spark's counting.
+CROWD = 50_000
 
 
 def _sliding(reduce: np.ufunc, x: np.ndarray, width: int, fill: int) -> np.ndarray:
@@ -205,43 +207,81 @@ def _surroundings(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(read, "gram long, key long, at long, bytes binary")
 
 
+def _stretches(t: pa.Table, length: int) -> pa.RecordBatch:
+    """(key, start, stop, hash) of every stretch of `length` bytes through the anchors of t."""
+    data, offsets, place, n_left, n_right = _unpacked(t)
+    low, high = np.maximum(0, length - n_right), np.minimum(n_left, length - GRAM)
+    each = np.maximum(high - low + 1, 0)
+    row = np.repeat(np.arange(len(each)), each)
+    o = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    begin = (offsets[:-1] + n_left)[row] - o
+    h = blocks.span_hash(blocks.prefix_hash(data), begin, begin + length)
+    start = place[row] - o
+    return pa.RecordBatch.from_arrays([t.column("key").combine_chunks().take(pa.array(row)), pa.array(start), pa.array(start + length), pa.array(h.view(np.int64))], ["key", "start", "stop", "hash"])
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, ...]:
+    at = t.column("at").to_numpy()
+    raw = t.column("bytes").combine_chunks()
+    raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.append(np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.uint8(0))
+    return data, offsets - offsets[0], at >> 16, (at >> 8) & 255, at & 255
+
+
+def _settled(t: pa.Table, length: int) -> pa.RecordBatch:
+    """(key, start, stop, null) of what sorting the anchors of t finds repeated; t holds whole groups."""
+    data, offsets, place, n_left, n_right = _unpacked(t)
+    middle, n_left, n_right = (x.astype(np.int32) for x in (offsets[:-1] + n_left, n_left, n_right))
+    step = np.arange(length, dtype=np.int32)
+    right = np.where(step < n_right[:, None], data[np.minimum(middle[:, None] + step, len(data) - 1)], 0).astype(np.uint8)
+    step = step[: length - GRAM]
+    left = np.where(step < n_left[:, None], data[np.maximum(middle[:, None] - 1 - step, 0)], 0).astype(np.uint8)
+    low, high = repeats_in(t.column("gram").to_numpy(), left, right, n_left, n_right, length)
+    some = np.flatnonzero(low >= 0)
+    columns = [pa.array(t.column("key").to_numpy()[some]), pa.array((place - high)[some]), pa.array((place - low)[some] + length)]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(some), pa.int64())], ["key", "start", "stop", "hash"])
+
+
 def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
-    """(key, start, stop) of repeats among (gram, key, at, bytes), which come grouped by gram."""
-
-    def settle(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(tables).combine_chunks()
-        at = t.column("at").to_numpy()
-        place, n_left, n_right = at >> 16, (at >> 8) & 255, at & 255
-        raw = t.column("bytes").combine_chunks()
-        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-        data = np.append(np.frombuffer(raw.buffers()[2], np.uint8), np.uint8(0))
-        middle, n_left, n_right = (x.astype(np.int32) for x in (offsets[:-1] + n_left, n_left, n_right))
-        step = np.arange(length, dtype=np.int32)
-        right = np.where(step < n_right[:, None], data[np.minimum(middle[:, None] + step, len(data) - 1)], 0).astype(np.uint8)
-        step = step[: length - GRAM]
-        left = np.where(step < n_left[:, None], data[np.maximum(middle[:, None] - 1 - step, 0)], 0).astype(np.uint8)
-        low, high = repeats_in(t.column("gram").to_numpy(), left, right, n_left, n_right, length)
-        some = np.flatnonzero(low >= 0)
-        keys = t.column("key").to_numpy()[some]
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array((place - high)[some]), pa.array((place - low)[some] + length)], ["key", "start", "stop"])
+    """(key, start, stop) of repeats among (gram, key, at, bytes), which come grouped by gram.
+
+    A group of more than CROWD suffixes is not held: its stretches are streamed out with their hashes,
+    and Spark counts which occur twice.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        whole, group, n, crowded, current = [], [], 0, False, None
         for batch in batches:
             gram = batch.column("gram").to_numpy()
-            edge = np.flatnonzero(gram != gram[-1])
-            cut = int(edge[-1]) + 1 if len(edge) else 0  # the last group may go on in the next batch
-            if n + cut >= AT_ONCE and (cut or held and held[-1].column("gram")[-1].as_py() != gram[0]):
-                yield settle([*held, batch.slice(0, cut)] if cut else held)
-                held, n = [batch.slice(cut)], batch.num_rows - cut
-            else:
-                held.append(batch)
-                n += batch.num_rows
-        if held:
-            yield settle(held)
-
-    return rows.mapInArrow(read, "key long, start long, stop long")
+            other = np.flatnonzero(gram != current)
+            split = int(other[0]) if len(other) else len(gram)
+            parts = [batch.slice(0, split)] if split else []
+            if split < len(gram):  # the group that was open is complete
+                if crowded:
+                    yield from (_stretches(pa.Table.from_batches([p]), length) for p in parts)
+                else:
+                    whole += group + parts
+                edge = np.flatnonzero(gram != gram[-1])
+                last = int(edge[-1]) + 1 if len(edge) else 0
+                if last > split:
+                    whole.append(batch.slice(split, last - split))
+                group, n, crowded, current, parts = [], 0, False, gram[-1], [batch.slice(max(last, split))]
+            if not crowded:
+                group += parts
+                n += sum(p.num_rows for p in parts)
+                crowded = n > CROWD
+                parts, group = (group, []) if crowded else ([], group)
+            yield from (_stretches(pa.Table.from_batches([p]), length) for p in parts)
+            if sum(p.num_rows for p in whole) >= AT_ONCE:
+                yield _settled(pa.Table.from_batches(whole).combine_chunks(), length)
+                whole = []
+        if whole or group:
+            yield _settled(pa.Table.from_batches(whole + group).combine_chunks(), length)
+
+    found = rows.mapInArrow(read, "key long, start long, stop long, hash long")
+    of = Window.partitionBy(F.coalesce("hash", F.xxhash64("key", "start", "stop")))
+    return found.withColumn("n", F.count("hash").over(of)).where("hash IS NULL OR n > 1").select("key", "start", "stop")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:

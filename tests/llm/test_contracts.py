@@ -185,9 +185,10 @@ def repeats(corpus, length):
         yield len(b), len(b) - len(kept), len(re.findall(b"\1+", bytes(gone))), sha(kept)
 
 
-@pytest.mark.parametrize("at_once", [8000, 3])
-def test_op6_suffix_dedup(spark, sf, corpus, at_once, monkeypatch):
+@pytest.mark.parametrize(("at_once", "crowd"), [(8000, 50_000), (3, 50_000), (3, 1), (8000, 4)])
+def test_op6_suffix_dedup(spark, sf, corpus, at_once, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "AT_ONCE", at_once)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     want = dict(zip([r[0] for r in corpus], repeats(corpus, 200), strict=True))
     for i, r in by_id(told(spark, sf, "op6_suffix_dedup"), corpus).items():
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[i], i
