@@ -8,9 +8,13 @@ cannot be more alike than the ratio of the sizes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 CHAIN = 3
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -35,22 +39,28 @@ def _tokens(text: Column, anchors: str) -> Column:
     return F.filter(F.split(spots, rf"[^\p{{L}}\p{{N}}{_MARK}]+"), lambda t: (t != "") & ~t.endswith(_MARK))
 
 
-def fingerprinted(rows: DataFrame, text: str, out: str, anchors: str = ANCHORS, chain: int = CHAIN) -> DataFrame:
-    """rows and `out`, the sorted distinct signatures (32 bits each) of column `text`.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often and in whatever lambdas body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def signatures(text: Column, anchors: str = ANCHORS, chain: int = CHAIN) -> Column:
+    """Sorted distinct signatures (32 bits each) of a text.
 
     A text with words but without a spot has one signature, of all its words; a null text or one
     without words has none.
     """
 
-    def one(t: Column, i: Column) -> Column:
-        rest = [F.substring_index(F.get("_tokens", i + k), _MARK, -1) for k in range(1, chain)]
-        return F.when(t.contains(_MARK), F.shiftrightunsigned(F.xxhash64(t, *rest), 32))
+    def chained(tokens: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            rest = [F.substring_index(F.get(tokens, i + k), _MARK, -1) for k in range(1, chain)]
+            return F.when(t.contains(_MARK), F.shiftrightunsigned(F.xxhash64(t, *rest), 32))
+
+        found = F.array_sort(F.array_distinct(F.filter(F.transform(tokens, one), lambda x: x.isNotNull())))
+        whole = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(tokens, " ")), 32))
+        return _bound(found, lambda s: F.when((F.size(s) > 0) | (F.size(tokens) == 0), s).otherwise(whole))
 
-    # words and signatures are columns of their own, so that what refers to them doesn't repeat them
-    rows = rows.withColumn("_tokens", _tokens(F.col(text), anchors))
-    rows = rows.withColumn("_sigs", F.array_sort(F.array_distinct(F.filter(F.transform("_tokens", one), lambda x: x.isNotNull()))))
-    whole = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join("_tokens", " ")), 32))
-    return rows.withColumn(out, F.when((F.size("_sigs") > 0) | (F.size("_tokens") == 0), F.col("_sigs")).otherwise(whole)).drop("_tokens", "_sigs")
+    return _bound(_tokens(text, anchors), chained)
 
 
 def as_string(signed: Column) -> Column:
@@ -66,6 +76,30 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(large == 0, F.lit(1.0)).when((small == 0) | (small < large * least), F.lit(0.0)).otherwise(exact)
 
 
+def similar_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, likeness) of distinct signature sets alike by `least` or more, named by the least doc_id that has each; a < b.
+
+    Sets are partitioned by length with bounds that grow by 1 / least, so a set meets only sets of its own
+    partition and of the next. In each it is listed under the first size - ceil(least * size) + 1 of its
+    signatures, one of which two alike sets share; pairs of a list go on when their sizes allow the
+    likeness and what follows the shared signature in both can still reach it. Documents with equal
+    signatures are one set; sets without signatures and rows without doc_id are left out.
+    """
+    signed = docs.where("doc_id IS NOT NULL").select("doc_id", signatures(F.col("text")).alias("sigs"))
+    sets = cut(signed.groupBy("sigs").agg(F.min("doc_id").alias("doc_id")).withColumn("n", F.size("sigs"))).where("n > 0")
+    band = F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9)
+    front = F.slice("sigs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    listed = sets.select("doc_id", "n", band.alias("band"), F.posexplode(front).alias("i", "sig"))
+    other = listed.select(F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), "sig", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    need = least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9
+    reach = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    met = listed.join(other, ["band", "sig"]).where((F.col("doc_id") != F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9) & (reach >= need))
+    pairs = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    left, right = (sets.select(F.col("doc_id").alias(k), F.col("sigs").alias(f"sigs_{k}")) for k in "ab")
+    alike = pairs.join(left, "a").join(right, "b").withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b"), least))
+    return alike.where(F.col("likeness") >= least).select("a", "b", "likeness")
+
+
 def _group_of(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most value, by binary search; -1 for null."""
     array = F.array(*[F.lit(int(b)).cast("long") for b in bounds]).cast("array<bigint>")
@@ -93,7 +127,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     every = Window.partitionBy(F.lit(0))
     after = groups.select("g", F.coalesce(F.lag("g").over(every.orderBy(F.desc("g"))), F.min("g").over(every)).alias("to"))
     halo = first.join(after, "g").select("doc_id", "text", F.col("to").alias("g"), F.lit(True).alias("halo"))
-    rows = fingerprinted(base.withColumn("halo", F.lit(False)).unionByName(halo), "text", "sigs")
+    rows = base.withColumn("halo", F.lit(False)).unionByName(halo).withColumn("sigs", signatures(F.col("text")))
     line = Window.partitionBy("g").orderBy("halo", *order)
     rows = rows.withColumns({"next_text": F.lead("text").over(line), "next_sigs": F.lead("sigs").over(line)})
     return rows.where("NOT halo").drop("halo", "g")
@@ -104,7 +138,7 @@ def op3_fingerprints(spark, sf_dir: str) -> DataFrame:
     rows = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     n = F.length("text")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.expr("substring(next_text, 1, length(text) div 2)")))
-    rows = fingerprinted(rows, "edited", "edited_sigs")
+    rows = rows.withColumn("edited_sigs", signatures(F.col("edited")))
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         as_string(F.col("sigs")).alias("fingerprint"), as_string(F.col("edited_sigs")).alias("edited_fingerprint"),

@@ -116,6 +116,22 @@ def test_toxicity_folding_and_exceptions(spark):
     assert m.features(None) == m.features("") == (0.0, 0.0)
 
 
+def test_similar_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    signed = docs.select("doc_id", fingerprints.signatures(F.col("text")).alias("sigs")).collect()
+    least = {}
+    for r in signed:
+        if r.sigs:
+            key = tuple(r.sigs)
+            least[key] = min(least.get(key, r.doc_id), r.doc_id)
+    sets = {i: set(k) for k, i in least.items()}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    for bound in (0.8, 0.3):
+        got = {(r.a, r.b): r.likeness for r in fingerprints.similar_pairs(docs, bound).collect()}
+        assert got == pytest.approx({k: v for k, v in want.items() if v >= bound})
+        assert got
+
+
 def test_contexts_discover_further_identifiers(spark):
     seen = [(i, f"please call +1 (255) 555-80{i:02d} today") for i in range(10)] + [(50, "please call 555-0199-3321 now"), (51, "item no 555-0199-7777 now"), (52, None)]
     rows = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(seen, "doc_id long, text string")).collect()}
