@@ -7,18 +7,20 @@ stands in an exception phrase (two neighbouring words that training shows to be
 weights and its ratio to the text's length give the score through a logistic curve.
 
 Everything is learned from a bounded sample of labelled training rows (`train_rows`, by hash of doc_id):
-two thirds of it give the lexicon and the exceptions, one third the curve. Scoring reads every document
-once, without a shuffle.
+the lexicon and the exceptions from all of it, the curve from features that each fold gets from a lexicon
+of the other folds. Scoring reads every document once, without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from . import blocks
 from .storage import cut
 
 TRAIN_ROWS = 20_000
+FOLDS = 3
 MAX_TERMS = 50_000
 MIN_DOCS = 4
 MIN_WEIGHT = 1.2
@@ -103,17 +106,19 @@ class Matcher:
         after = folded[stop : stop + 80].split()[:1]
         return [f"{x} {word}" for x in before] + [f"{word} {x}" for x in after]
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Logarithms of the weight in all and of the weight per hundred words."""
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Logarithms of the weight in all and of the weight per hundred words, and the heaviest match."""
         folded = fold(text)
         found = self.matches(folded)
         if self.exceptions:
             found = {a: w for a, w in found.items() if self.exceptions.isdisjoint(self.phrases(folded, a))}
         total = sum(found.values())
-        return math.log1p(total), math.log1p(100 * total / max(1, len(folded.split()))) if total else 0.0
+        if not total:
+            return 0.0, 0.0, 0.0
+        return math.log1p(total), math.log1p(100 * total / max(1, len(folded.split()))), max(found.values())
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[str, Matcher] = {}
 
 
 def _matcher(shared) -> Matcher:
@@ -128,7 +133,7 @@ class _Shared:
 
     def __init__(self, spark, value):
         self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = id(self.broadcast), len(value[0])
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self):
@@ -136,10 +141,10 @@ class _Shared:
 
 
 def sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """(text, toxic, part): at most train_rows labelled documents; part 0 and 1 for the lexicon, 2 for the curve."""
+    """(text, toxic, part): at most train_rows labelled documents in FOLDS parts."""
     some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
-    some = some.orderBy(order, "doc_id").limit(train_rows).withColumn("part", F.pmod(order, F.lit(3)))
+    some = some.orderBy(order, "doc_id").limit(train_rows).withColumn("part", F.pmod(order, F.lit(FOLDS)))
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic", "part")  # train_rows rows
 
 
@@ -206,17 +211,27 @@ def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], least: int = 3,
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Logistic regression with a little shrinkage, by Newton steps: weights of the columns, then the constant."""
-    x = np.column_stack([x, np.ones(len(x))])
+    """Logistic regression with a little shrinkage, by damped Newton steps: weights of the columns, then the constant."""
+    scale = np.append(np.maximum(x.std(axis=0), 1e-9), 1.0)
+    x = np.column_stack([x, np.ones(len(x))]) / scale
+    ridge = np.append(np.ones(x.shape[1] - 1), 1e-3)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * ridge @ w**2)
+
     w = np.zeros(x.shape[1])
-    ridge = np.diag([0.01] * (len(w) - 1) + [1e-6])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        slope = x.T @ (y - p) - ridge * w
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge), slope)
+        rate = 1.0
+        while rate > 1e-6 and loss(w + rate * step) > loss(w):
+            rate /= 2
+        w = w + rate * step
+        if rate * np.abs(step).max() < 1e-7:
             break
-    return w.tolist()
+    return (w / scale).tolist()
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
@@ -227,18 +242,25 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     """
     blocks.small_batches(docs.sparkSession)
     rows = cut(sample(docs, labels, train_rows))
-    lexicon = learn_lexicon(rows.where("part < 2"))
-    exceptions = learn_exceptions(rows.where("part < 2"), lexicon) if lexicon else []
-    shared = _Shared(rows.sparkSession, (lexicon, exceptions))
+    told = []
+    for fold in range(FOLDS):
+        shared = _Shared(rows.sparkSession, _learned(rows.where(F.col("part") != fold)))
+
+        def features(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = [_matcher(shared).features(t) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[pa.array([v[k] for v in x], pa.float64()) for k in range(3)], batch.column("toxic")], ["a", "b", "c", "toxic"])
+
+        told.append(rows.where(F.col("part") == fold).mapInArrow(features, "a double, b double, c double, toxic int").toPandas())  # train_rows / FOLDS rows
+    held = pd.concat(told)
+    lexicon, exceptions = _learned(rows)
+    curve = fit_curve(held[["a", "b", "c"]].to_numpy(), held["toxic"].to_numpy()) if held["toxic"].nunique() > 1 and lexicon else None
+    return {"lexicon": lexicon, "exceptions": exceptions, "curve": curve}
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [_matcher(shared).features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), batch.column("toxic")], ["a", "b", "toxic"])
 
-    held = rows.where("part = 2").mapInArrow(features, "a double, b double, toxic int").toPandas()  # train_rows / 3 rows
-    curve = fit_curve(held[["a", "b"]].to_numpy(), held["toxic"].to_numpy()) if held["toxic"].nunique() > 1 and lexicon else None
-    return {"lexicon": lexicon, "exceptions": exceptions, "curve": curve}
+def _learned(rows: DataFrame) -> tuple[dict[str, float], list[str]]:
+    lexicon = learn_lexicon(rows)
+    return lexicon, learn_exceptions(rows, lexicon) if lexicon else []
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -113,7 +113,7 @@ def test_toxicity_folding_and_exceptions(spark):
     assert toxicity.fold("1D10T $cum ѕсum Ｌoser é-ê").split() == ["idiot", "scum", "scum", "loser", "e", "e"]
     m = toxicity.Matcher({" clown ": 2.0, " idi": 3.0, " idiot ": 1.0}, ["clown fish"])
     assert m.features("a clown fish")[0] == 0 and m.features("CL0WN")[0] > 0 and m.features("idiots idiot")[0] == pytest.approx(__import__("math").log1p(6.0))
-    assert m.features(None) == m.features("") == (0.0, 0.0)
+    assert m.features(None) == m.features("") == (0.0, 0.0, 0.0)
 
 
 def test_similar_pairs(spark):
