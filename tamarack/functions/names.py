@@ -124,7 +124,26 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
 
 
-def recency(mtime: Column, now: int) -> Column:
-    """Points for age at `now` (seconds); a time to come counts as age 0."""
-    age = F.greatest(F.lit(now) - mtime, F.lit(0))
-    return F.when(age <= 86_400, 60).when(age <= 604_800, 45).when(age <= 2_592_000, 30).when(age <= 31_536_000, 10).otherwise(0)
+def recency_sql(mtime: str, now: int) -> str:
+    """Points for age at `now` (seconds), as SQL; a time to come counts as age 0."""
+    return f"CASE WHEN {now} - {mtime} <= 86400 THEN 60 WHEN {now} - {mtime} <= 604800 THEN 45 WHEN {now} - {mtime} <= 2592000 THEN 30 WHEN {now} - {mtime} <= 31536000 THEN 10 ELSE 0 END"
+
+
+def recency(mtime: str, now: int) -> Column:
+    return F.expr(recency_sql(mtime, now))
+
+
+def listed_extensions(x: Column) -> Column:
+    """Extensions in a text, apart by blanks or commas: without dots, folded to lower case, once each."""
+    parts = F.transform(F.split(x, r"[\s,\x{FF0C}]+"), lambda p: F.lower(F.regexp_replace(p, r"^\.+|\.+$", "")))
+    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+
+
+def shell_quoted(x: Column) -> Column:
+    """A text as one word of a shell command."""
+    return F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def version_key(x: Column) -> Column:
+    """Numbers of a dotted version, for comparing; what is no number counts as 0."""
+    return F.transform(F.split(F.regexp_replace(x, "^[vV]", ""), r"\."), lambda p: F.coalesce(F.regexp_extract(p, "^[0-9]+", 0).try_cast("int"), F.lit(0)))

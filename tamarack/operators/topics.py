@@ -40,7 +40,7 @@ def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min_by(F.when(F.col("role") == "user", F.col("body")), F.when(F.col("role") == "user", F.col("msg_key")))
     title = F.replace(F.substring(F.coalesce(first, F.lit("")), 1, 120), F.lit("\n"), F.lit(" "))
     topics = said.groupBy("topic_id", "conv_id").agg(title.alias("title"), F.count(F.lit(1)).alias("messages"))
-    provider = F.element_at(F.array(F.lit("claude"), F.lit("codex"), F.lit("workbuddy")), (F.col("conv_id") % 3 + 1).cast("int"))
+    provider = F.element_at(F.array(F.lit("north"), F.lit("south"), F.lit("west")), (F.col("conv_id") % 3 + 1).cast("int"))
     topics = topics.select("topic_id", "title", provider.alias("provider"), (F.lit(1704067200) + F.col("conv_id") * 3600).alias("modified"), (F.col("conv_id") % 11 == 0).alias("archived"), "messages")
     meta = topics.select("topic_id", F.lit(-1).cast("long").alias("msg_key"), F.col("title").alias("body"))
     return topics, said.select("topic_id", "msg_key", "body").unionByName(meta)
@@ -111,7 +111,7 @@ def relevance(topics: DataFrame, query: str, now: int, normalize: bool = True) -
     each = [F.when(title == t, 1000).when(title.startswith(t), 800).when(title.contains(t), 600).otherwise(250) for t in wanted]
     mean = F.floor(reduce(Column.__add__, each) / len(wanted)).cast("int")
     rest = F.least(F.greatest(F.octet_length(title) - sum(len(t.encode()) for t in wanted), F.lit(0)), F.lit(64))
-    return topics.withColumn("score", mean - 2 * rest + 60 + names.recency(F.col("modified"), now))
+    return topics.withColumn("score", mean - 2 * rest + 60 + names.recency("modified", now))
 
 
 def upserted(topics: DataFrame, updates: DataFrame) -> DataFrame:

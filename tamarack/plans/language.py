@@ -223,11 +223,12 @@ def score(search: Search, now: int) -> Column:
         total, hits, length = total + base, hits + hit, length + hit * len(a.value.encode())
     rest = F.least(F.greatest(F.octet_length("name") - length, zero), F.lit(64))
     text = F.when(hits == 0, F.lit(400)).otherwise(F.floor(total / F.greatest(hits, F.lit(1))).cast("int") - 2 * rest)
-    clean = F.col("user_area") & ~F.col("noise") & ~F.col("in_package") & ~F.col("hidden")
-    points = lambda c, n: F.when(c, n).otherwise(0)
-    out = text + points(clean, 60) + points(F.col("kind") == 2, 150) + points(F.col("kind") == 1, 20) + names.recency(F.col("mtime"), now)
-    out = out - points(F.col("noise"), 350) - points(F.col("in_package"), 300) - points(F.col("hidden"), 200)
-    return (out - 5 * F.least(F.col("depth"), F.lit(16))).cast("int")
+    return (text + F.expr(f"{_BONUS} + {names.recency_sql('mtime', now)}")).cast("int")
+
+
+#: Points that do not depend on the words searched for.
+_BONUS = """if(user_area AND NOT noise AND NOT in_package AND NOT hidden, 60, 0) + CASE kind WHEN 2 THEN 150 WHEN 1 THEN 20 ELSE 0 END
+  - if(noise, 350, 0) - if(in_package, 300, 0) - if(hidden, 200, 0) - 5 * least(depth, 16)"""
 
 
 def _alternate(needle: str) -> Column:

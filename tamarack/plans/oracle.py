@@ -103,7 +103,7 @@ REASON = """CASE WHEN rel_path IN ('/src1/en', '/src2') OR starts_with(rel_path,
 
 TOPICS = """WITH said AS (SELECT CAST(conv_id AS VARCHAR) AS topic_id, turn AS msg_key, role, coalesce(text, '') AS body, conv_id FROM conversations WHERE role IN ('user', 'assistant')),
 topics AS (SELECT topic_id, replace(substr(coalesce(arg_min(body, msg_key) FILTER (role = 'user'), ''), 1, 120), chr(10), ' ') AS title,
-  ['claude', 'codex', 'workbuddy'][conv_id % 3 + 1] AS provider, 1704067200 + conv_id * 3600 AS modified, conv_id % 11 = 0 AS archived, count(*) AS messages
+  ['north', 'south', 'west'][conv_id % 3 + 1] AS provider, 1704067200 + conv_id * 3600 AS modified, conv_id % 11 = 0 AS archived, count(*) AS messages
   FROM said GROUP BY topic_id, conv_id),
 messages AS (SELECT topic_id, msg_key, body FROM said UNION ALL SELECT topic_id, -1, title FROM topics),
 folded AS (SELECT topic_id, msg_key, body, lower(nfc_normalize(body)) AS f FROM messages)"""
@@ -188,6 +188,18 @@ def statements() -> dict[str, str]:
             SELECT op, count(*) AS n, max(event_id) AS last_event FROM ops GROUP BY op""",
         "op_x8_upsert": f"""{CAT}, {LATEST} SELECT rel_path, size, mtime FROM cat WHERE NOT is_dir AND rel_path NOT IN (SELECT path FROM latest)
             UNION ALL SELECT path, size, mtime FROM latest WHERE present""",
+        "op_x1_stream": f"""{CAT}, {LATEST} SELECT rel_path, size, mtime FROM cat WHERE NOT is_dir AND rel_path NOT IN (SELECT path FROM latest)
+            UNION ALL SELECT path, size, mtime FROM latest WHERE present""",
+        "op_e15_extensions": r"""WITH p AS (SELECT p_partkey, list_filter(list_transform(string_split_regex(concat('..', p_type, ', .', p_brand, ' ', p_name, ',', p_type), '[\s,]+'),
+            lambda x: lower(trim(x, '.'))), lambda x: x <> '') AS e FROM part)
+            SELECT p_partkey, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), ';') AS exts FROM p""",
+        "op_e16_versions": "SELECT p_partkey, p_size < 20 OR (p_size = 20 AND p_partkey % 10 < 5) AS below FROM part",
+        "op_t14_resume": TOPICS + r""" SELECT topic_id, 'open ''' || replace(title || ' it''s', '''', '''\''''') || ''' --id ' || topic_id AS command FROM topics""",
+        "op_t9_branch": """WITH RECURSIVE m AS (SELECT CAST(conv_id AS VARCHAR) AS conv, turn, CASE WHEN turn >= 2 AND turn % 3 = 2 THEN turn - 2 WHEN turn >= 1 THEN turn - 1 END AS parent FROM conversations),
+            forked AS (SELECT conv FROM (SELECT conv, parent FROM m WHERE parent IS NOT NULL GROUP BY conv, parent HAVING count(*) > 1) x GROUP BY conv),
+            walk AS (SELECT m.conv, m.turn, m.parent FROM m JOIN (SELECT conv, max(turn) AS last FROM m GROUP BY conv) l ON m.conv = l.conv AND m.turn = l.last
+              UNION ALL SELECT m.conv, m.turn, m.parent FROM m JOIN walk w ON m.conv = w.conv AND m.turn = w.parent)
+            SELECT conv, turn AS ord FROM m WHERE conv NOT IN (SELECT conv FROM forked) UNION ALL SELECT conv, turn FROM walk WHERE conv IN (SELECT conv FROM forked)""",
         "op_m2_multi": f"""{BOTH}, u AS (SELECT 0 AS ix, 'docs' AS source, entry_id, {score("1", "txt")} AS score FROM cat WHERE contains(folded, '1') AND (ext = 'log' OR contains(folded, 'txt'))
             UNION ALL SELECT 1, 'parts', entry_id, {score("1", "txt")} FROM parts WHERE contains(folded, '1') AND (ext = 'log' OR contains(folded, 'txt'))),
             o AS (SELECT *, row_number() OVER (ORDER BY score DESC, ix, entry_id) AS rank FROM u) SELECT rank, source, entry_id, score FROM o WHERE rank <= 200""",
@@ -199,7 +211,7 @@ def statements() -> dict[str, str]:
         "op_m4_additional": f"""{CAT}, {TOPICS[5:]}, u AS (SELECT 'f:' || entry_id AS item, CAST({score("doc-1")} AS DOUBLE) AS key, 0 AS is_topic FROM cat WHERE contains(folded, 'doc-1')
             UNION ALL SELECT 't:' || topic_id, {_relevance("the")}, 1 FROM topics), o AS (SELECT *, row_number() OVER (ORDER BY key DESC, is_topic, item) AS rank FROM u)
             SELECT rank, item, key FROM o WHERE rank <= 200""",
-        "op_m6_provider_scope": f"{TOPICS} SELECT topic_id, provider FROM topics WHERE provider <> 'workbuddy'",
+        "op_m6_provider_scope": f"{TOPICS} SELECT topic_id, provider FROM topics WHERE provider <> 'west'",
         "op_t1_fold": f"{TOPICS} SELECT topic_id, msg_key, f FROM folded",
         "op_t3_literal_and": f"{TOPICS} {_both_terms('the', 'ing')}",
         "op_m8_term_semijoin": f"{TOPICS} {_both_terms('tion', 'que')}",
@@ -207,12 +219,12 @@ def statements() -> dict[str, str]:
         "op_t5_candidates": f"""{TOPICS}, {GRAMS}, want AS (SELECT unnest(['oue', 'uer', 'éea', 'éeau', 'ée', 'ea', 'au']) AS gram),
             c AS (SELECT topic_id FROM grams WHERE gram IN ('oue', 'uer', 'ée', 'ea', 'au') GROUP BY topic_id HAVING count(*) = 5)
             SELECT topic_id, topic_id IN ({_both_terms("ouer", "éeau")}) AS hit FROM c""",
-        "op_t6_topics": f"""{TOPICS}, live AS (SELECT * FROM topics WHERE NOT archived AND provider IN ('claude', 'workbuddy') AND topic_id IN (SELECT topic_id FROM folded WHERE contains(f, 'de'))),
+        "op_t6_topics": f"""{TOPICS}, live AS (SELECT * FROM topics WHERE NOT archived AND provider IN ('north', 'west') AND topic_id IN (SELECT topic_id FROM folded WHERE contains(f, 'de'))),
             o AS (SELECT *, row_number() OVER (ORDER BY modified DESC, topic_id) AS r FROM live) SELECT topic_id, modified, (SELECT count(*) > 20 FROM live) AS has_more FROM o WHERE r <= 20""",
         "op_t7_excerpt": f"""{TOPICS}, o AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY msg_key < 0, msg_key) AS r FROM folded WHERE contains(f, 'tion'))
             SELECT topic_id, substr(body, greatest(1, CAST(instr(f, 'tion') AS INTEGER) - 45), 220) AS excerpt FROM o WHERE r = 1""",
         "op_t8_relevance": f"{TOPICS} SELECT topic_id, {_relevance('in', 'the')} AS score FROM topics",
-        "op_a7_topic_count": f"{TOPICS} SELECT count(*) AS n FROM topics WHERE NOT archived AND provider <> 'workbuddy'",
+        "op_a7_topic_count": f"{TOPICS} SELECT count(*) AS n FROM topics WHERE NOT archived AND provider <> 'west'",
         "op_a8_thread_summary": f"{TOPICS} SELECT topic_id, count(*) AS items, max(msg_key) AS last FROM said GROUP BY topic_id",
         "op_t12_titles": f"{TOPICS} SELECT topic_id, title, provider, modified, archived, messages FROM topics",
         "op_k3_topic_upsert": f"""{TOPICS}, n AS (SELECT topic_id, CASE WHEN modified % 3 = 0 THEN title || '!' ELSE title END AS title, CAST(topic_id AS INT) % 5 = 0 AS fresh, modified % 3 = 0 AS other FROM topics)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, present
 from ..operators import catalog as cat
 from ..operators import changes, coverage, search, topics
+from ..streaming import feed
 from . import adapters as ad
 from . import language, oracle
 from .adapters import NOW
@@ -237,7 +238,7 @@ def op_m4_additional(spark, sf_dir):
 
 @query
 def op_m6_provider_scope(spark, sf_dir):
-    return ad.topics(spark, sf_dir)[0].where(F.col("provider").isin("claude", "codex")).select("topic_id", "provider")
+    return ad.topics(spark, sf_dir)[0].where(F.col("provider").isin("north", "south")).select("topic_id", "provider")
 
 
 @query
@@ -279,7 +280,7 @@ def op_t5_candidates(spark, sf_dir):
 @query
 def op_t6_topics(spark, sf_dir):
     heads, messages = ad.topics(spark, sf_dir)
-    return topics.search(heads, messages, "de", ["claude", "workbuddy"], 20).select("topic_id", "modified", "has_more")
+    return topics.search(heads, messages, "de", ["north", "west"], 20).select("topic_id", "modified", "has_more")
 
 
 @query
@@ -294,7 +295,7 @@ def op_t8_relevance(spark, sf_dir):
 
 @query
 def op_a7_topic_count(spark, sf_dir):
-    return ad.topics(spark, sf_dir)[0].where("NOT archived AND provider IN ('claude', 'codex')").agg(F.count(F.lit(1)).alias("n"))
+    return ad.topics(spark, sf_dir)[0].where("NOT archived AND provider IN ('north', 'south')").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -390,6 +391,47 @@ def op_e7_alternate_keys(spark, sf_dir):
     return d.select("doc_id", F.array_join(names.alternate_keys(F.col("name")), ",").alias("keys"))
 
 
+@query
+def op_e15_extensions(spark, sf_dir):
+    """Types, brands and names of parts, taken as lists of extensions."""
+    text = F.concat(F.lit(".."), "p_type", F.lit(", ."), "p_brand", F.lit(" "), "p_name", F.lit(","), "p_type")
+    return ad.table(spark, sf_dir, "part").select("p_partkey", F.array_join(names.listed_extensions(text), ";").alias("exts"))
+
+
+@query
+def op_e16_versions(spark, sf_dir):
+    """Parts whose version (from size and price) is below 20.5."""
+    version = F.concat(F.lit("v"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"), F.lit("-rc"))
+    below = names.version_key(version) < F.array(F.lit(20), F.lit(5))
+    return ad.table(spark, sf_dir, "part").select("p_partkey", below.alias("below"))
+
+
+@query
+def op_t14_resume(spark, sf_dir):
+    """A command line for each topic, its title quoted."""
+    heads, _ = ad.topics(spark, sf_dir)
+    return heads.select("topic_id", F.concat(F.lit("open "), names.shell_quoted(F.concat("title", F.lit(" it's"))), F.lit(" --id "), "topic_id").alias("command"))
+
+
+@query
+def op_t9_branch(spark, sf_dir):
+    """Turns on the branch of each conversation's last turn; every third turn goes back two turns."""
+    c = ad.table(spark, sf_dir, "conversations")
+    parent = F.when((F.col("turn") >= 2) & (F.col("turn") % 3 == 2), F.col("turn") - 2).when(F.col("turn") >= 1, F.col("turn") - 1)
+    rows = c.select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("string").alias("id"), parent.cast("string").alias("parent"), F.col("turn").alias("ord"))
+    return topics.active_branch(rows).select("conv", "ord")
+
+
+@query
+def op_x1_stream(spark, sf_dir):
+    """The change feed applied to the catalog as a stream: the files it leaves."""
+    folder = feed.working_folder(spark)
+    feed.start_with(ad.catalog(spark, sf_dir).where("NOT is_dir"), folder)
+    events = spark.readStream.schema(ad.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, so that a single file will do
+    feed.follow(spark.sql(ad.SEEN_SQL, events=events), folder, f"{folder}/progress").awaitTermination()
+    return feed.current(spark, folder)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranked search: plain word, extension, excluded folder."""
     return _search("doc-1 ext:md;txt !src3")(spark, sf_dir)

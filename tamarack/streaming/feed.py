@@ -7,6 +7,9 @@ nothing, so each is applied once. Readers follow the pointer and never see half
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +20,12 @@ CHANGE = "path string, event_id long, flags int, present boolean, size long, mti
 _POINTER = "batch long, snapshot string, cursor long"
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which executors share; a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tamarack-")
+    return f"{base}/feed-{uuid.uuid4().hex}"
+
+
 def start_with(files: DataFrame, folder: str) -> None:
     """The first snapshot: (rel_path, size, mtime)."""
     files.select("rel_path", "size", "mtime").write.mode("overwrite").parquet(f"{folder}/snapshot-start")
