@@ -10,12 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (tests, local mode), a folder of our own that is then set."""
-    own = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="tamarack-")
-        spark.sparkContext.setCheckpointDir(own)
-        own = spark.sparkContext.getCheckpointDir()
-    return own
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tamarack-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
