@@ -169,11 +169,16 @@ def repeats_in(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: n
     return out
 
 
-_PACK = "place * 65536 + n_left * 256 + n_right"
+_PLACES = "array<struct<key:bigint,at:bigint>>"
 
 
 def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
-    """(gram, around, key, at): anchors of all texts; at packs place, bytes to the left and right."""
+    """(gram, around, key, at, more): anchors of all texts; at packs place, bytes to the left and right.
+
+    Anchors of a slice with equal surroundings are one row, the others of them listed in `more` (else
+    null), so that a line repeated very often is combined before the shuffle.
+    """
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int64())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,10 +186,18 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
             keys = batch.column("key").to_numpy()
             for i, j in blocks.slices(offsets):
                 row, place, left, right, gram, around = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
-                at = place * 65536 + left * 256 + right
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), pa.array(keys[i + row]), pa.array(at)], ["gram", "around", "key", "at"])
+                at, key = place * 65536 + left * 256 + right, keys[i + row]
+                order = np.lexsort((at, key, around, gram))
+                new = np.ones(len(order), bool)
+                new[1:] = (gram[order][1:] != gram[order][:-1]) | (around[order][1:] != around[order][:-1])
+                first, rest = order[new], order[~new]
+                n = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+                ends = np.append(0, np.cumsum(n))
+                others = pa.StructArray.from_arrays([pa.array(key[rest]), pa.array(at[rest])], ["key", "at"])
+                more = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), others, mask=pa.array(n == 0)).cast(kind)
+                yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(around[first].view(np.int64)), pa.array(key[first]), pa.array(at[first]), more], ["gram", "around", "key", "at", "more"])
 
-    return texts.mapInArrow(read, "gram long, around long, key long, at long")
+    return texts.mapInArrow(read, f"gram long, around long, key long, at long, more {_PLACES}")
 
 
 def _surroundings(rows: DataFrame, length: int) -> DataFrame:
@@ -292,12 +305,15 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     if not GRAM < length <= 255:
         raise ValueError(f"length must lie between {GRAM + 1} and 255")
     table = _anchor_table(texts, length).repartition("gram")
+    held = F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)
     alike, same = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
     table = table.withColumns({
-        "n_alike": F.count(F.lit(1)).over(alike), "first": F.min(F.struct("key", "at")).over(alike),
-    }).withColumn("n", F.count(F.lit(1)).over(same)).where("n > 1")
+        "n_alike": F.sum(held).over(alike), "first": F.min(F.struct("key", "at")).over(alike),
+    }).withColumn("n", F.sum(held).over(same)).where("n > 1")
+    places = F.concat(F.array(F.struct("key", "at")), F.coalesce("more", F.array().cast(_PLACES)))
+    settled = table.where("n_alike > 1").select(F.explode(places).alias("p")).select("p.key", "p.at")
     place, left, right = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
-    settled = table.where("n_alike > 1").select("key", (place - left).alias("start"), (place + right).alias("stop"))
+    settled = settled.select("key", (place - left).alias("start"), (place + right).alias("stop"))
     open_ = table.where(F.expr("n > n_alike AND first.key = key AND first.at = at")).groupBy("key").agg(F.collect_list(F.struct("gram", "at")).alias("wanted"))
     rows = _surroundings(texts.join(open_, "key").select(*texts.columns, "wanted"), length)
     rows = rows.repartition("gram").sortWithinPartitions("gram")
