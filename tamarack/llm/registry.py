@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, licenses, mixing, ngram_join, pii, secrets, suffix_dedup, token_counts, toxicity
+from . import decontaminate, fingerprints, licenses, mixing, ngram_join, oracle, pii, secrets, suffix_dedup, token_counts, toxicity
 
 
 def queries():
@@ -21,4 +21,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mix": mixing.mix_sql("documents", "doc_id, source")}
+    return {
+        "op1_mix": mixing.mix_sql("documents", "doc_id, source"),
+        "op4_ngram_join": oracle.ngram_join_sql(),
+        "op8_licenses": oracle.licenses_sql(),
+        "op9_decontaminate": oracle.decontaminate_sql(),
+        "op10_secrets": oracle.secrets_sql(),
+    }
