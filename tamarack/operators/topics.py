@@ -19,10 +19,10 @@ def _nfc(x: pd.Series) -> pd.Series:
 
 
 def fold(x: Column, normalize: bool = True) -> Column:
-    """NFC (only texts above ASCII go through Python), then lower case of all scripts."""
+    """NFC, then lower case of all scripts. Python gets only texts above ASCII, null for the others."""
     if not normalize:
         return F.lower(x)
-    return F.lower(F.when(x.rlike(r"[^\x00-\x7F]"), _nfc(x)).otherwise(x))
+    return F.lower(F.coalesce(_nfc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x))
 
 
 def terms(query: str) -> list[str]:
