@@ -260,7 +260,7 @@ def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
     """(key, start, stop) of repeats among (gram, key, at, bytes), which come grouped by gram.
 
     A group of more than CROWD suffixes is not held: its stretches are streamed out with their hashes,
-    and Spark counts which occur twice.
+    and Spark finds which of them start at two places.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,10 @@ def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
 
     found = rows.mapInArrow(read, "key long, start long, stop long, hash long")
     of = Window.partitionBy(F.coalesce("hash", F.xxhash64("key", "start", "stop")))
-    return found.withColumn("n", F.count("hash").over(of)).where("hash IS NULL OR n > 1").select("key", "start", "stop")
+    # a stretch comes once for each crowded anchor it holds: what counts is whether it starts at two places
+    place = F.when(F.col("hash").isNotNull(), F.struct("key", "start"))
+    found = found.withColumn("twice", F.min(place).over(of) != F.max(place).over(of))
+    return found.where("hash IS NULL OR twice").select("key", "start", "stop")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -150,3 +150,25 @@ def test_pipeline(spark, sf):
     assert {*docs.columns} < {*out.columns} and out.count() == out.select("doc_id").distinct().count() > 0
     final = corpus_pipeline.drop_contaminated(spark, out.select(docs.columns), sf)
     assert final.count() == out.count()
+
+
+def test_op6_stretch_with_two_crowded_anchors_occurs_once(spark, monkeypatch):
+    """A short line in many surroundings is no repeat, however many of its grams are crowded."""
+    import random
+
+    from test_contracts import repeats
+
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    line, passage = say(190), say(230)
+    texts = [say(300) + line + say(300) for _ in range(30)] + [say(250) + passage + say(250) for _ in range(30)]
+    corpus = list(enumerate(texts))
+    monkeypatch.setattr(suffix_dedup, "CROWD", 4)
+    monkeypatch.setattr(suffix_dedup.blocks, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        rows = suffix_dedup.without_repeats(spark.createDataFrame(corpus, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = dict(zip([r[0] for r in corpus], repeats(corpus, 200), strict=True))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
