@@ -163,14 +163,18 @@ def members(docs: DataFrame, names: DataFrame, words: int) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows (name, n, i, b, m, j), one for each list that holds both, that can still reach T.
+    """(a, b), a < b, of rows (name, n, i, b, m, j), one for each list that holds both, that can still reach T.
 
     T is the overlap that sizes n and m need. Beyond its hits a pair can only share what follows the
-    last listed part of either set, and no more than follows any shared shingle in both sets.
+    last listed part of either set, and no more than follows any shared shingle in both sets. That holds
+    for all hits of a pair together, so rows are turned to one direction first.
     """
+    turned = F.col("name") > F.col("b")
+    sides = {"a": ("name", "b"), "b": ("b", "name"), "n": ("n", "m"), "m": ("m", "n"), "i": ("i", "j"), "j": ("j", "i")}
+    rows = rows.select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(k) for k, (x, y) in sides.items()])
     need = F.expr(f"({percent} * (n + m) + {percent + 99}) div {percent + 100}")
     near = rows.where(f"100 * n >= {percent} * m AND 100 * m >= {percent} * n")
-    hits = near.groupBy(F.col("name").alias("a"), "n", "b", "m").agg(F.count(F.lit(1)).alias("hits"), F.max("i").alias("i"), F.max("j").alias("j"))
+    hits = near.groupBy("a", "n", "b", "m").agg(F.count(F.lit(1)).alias("hits"), F.max("i").alias("i"), F.max("j").alias("j"))
     beyond = F.least(F.floor((F.greatest("n", "m") * percent + 99) / 100) - 1, F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
     return hits.where(F.col("hits") + beyond >= need).select("a", "b")
 
@@ -214,8 +218,9 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         lists = stash.keep(entries.withColumn("size", F.count(F.lit(1)).over(own)).where("size > 1"))
         leaders = [F.min(F.struct(F.xxhash64("name", F.lit(k)).alias("rank"), F.col("name").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))).over(own) for k in (1, 2)]
         star = lists.withColumns({"one": leaders[0], "two": leaders[1]})
-        star = star.select("name", "n", "i", F.explode(F.array_distinct(F.transform(F.array("one", "two"), lambda x: x.dropFields("rank")))).alias("lead"))
-        star = cut(_pairs(star.select("name", "n", "i", "lead.*").where("name <> b"), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        star = star.select("name", "n", "i", F.expr("name IN (one.b, two.b)").alias("led"), F.explode(F.array_distinct(F.transform(F.array("one", "two"), lambda x: x.dropFields("rank")))).alias("lead"))
+        star = star.where("name <> lead.b AND (name > lead.b OR NOT led)")  # two leaders are one pair
+        star = cut(_pairs(star.select("name", "n", "i", "lead.*"), percent))
         links = cut(probed(star, members(docs, _named(star), words), percent))
         rest = stash.keep(_apart(lists, components(links)))
         long = rest.where(F.col("size") >= LONG_LIST)

@@ -172,3 +172,27 @@ def test_op6_stretch_with_two_crowded_anchors_occurs_once(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want = dict(zip([r[0] for r in corpus], repeats(corpus, 200), strict=True))
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+
+
+def test_op4_bridged_clusters_are_joined(spark):
+    """Two clusters of near copies and one pair just above 80 % between them, whose lists either cluster leads."""
+    import numpy as np
+    import pyarrow as pa
+
+    bridges = range(12)
+    both = {k: [f"s{k}x{i}" for i in range(89)] for k in bridges}
+    sides = {(k, side): both[k] + [f"{side}{k}x{i}" for i in range(11)] for k in bridges for side in "pq"}
+    lists = lambda texts: ngram_join.inverted_lists(spark.createDataFrame([(" ".join(t),) for t in texts], "text string"), np.zeros(0, np.uint64), 1, 80).collect()
+    held = Counter(r.s for r in lists(sides.values()))  # in the listed parts of both sides
+    words, hashes, texts = [w for k in bridges for w in both[k]], {}, []
+    for i, _, values, ends in ngram_join._sets(pa.RecordBatch.from_pydict({"text": words}), 1):
+        hashes |= {words[i + n]: int(values[ends[n]].view(np.int64)) for n in range(len(ends) - 1)}
+    for k in bridges:
+        listed = [w for w in both[k] if held[hashes[w]] == 2]
+        half = {"p": set(listed[::2]), "q": set(listed[1::2])}
+        for side in "pq":
+            texts.append((k, sides[k, side]))
+            texts += [(k, [w for w in sides[k, side] if w not in half[side]] + [f"{side}{k}copy{c}"]) for c in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(docs, words=1).collect()}
+    assert got == {i: i // 14 * 14 for i in range(len(texts))}
