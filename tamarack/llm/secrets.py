@@ -1,8 +1,9 @@
 """Secret scans over an incremental blob ledger.
 
 Every row is a historical version of some path and is addressed by its content (SHA-256 of the UTF-8
-text). A ledger of (blob, rule, version) says what was scanned before; only pairs that it lacks are
-scanned, each distinct blob once, and findings are joined back to every path that has the blob.
+text). A ledger of (blob, rule, version, findings) holds what was scanned before; only pairs that it
+lacks are scanned, each distinct blob once, and old and new findings of the rules' current versions are
+joined back to every path that has the blob.
 
 A cheap test on the JVM side decides which texts can hold a secret at all; only those travel through
 the shuffle by blob, the others as their address alone.
@@ -11,13 +12,14 @@ the shuffle by blob, the others as their address alone.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import blocks, storage
 
 #: Kind, version, pattern, least length of the span, group whose length counts.
 RULES = {
@@ -36,6 +38,7 @@ _MAYBE = (
     r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|PRIVATE KEY-----|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-|eyJ[A-Za-z0-9_-]+\.eyJ"
 )
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
+_LEDGER = f"blob string, rule string, version int, findings {_SPANS}"
 
 
 def spans_of(text: str, rules: list[str]) -> list[dict]:
@@ -78,22 +81,53 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return pending.where("text is not null").mapInArrow(scan, schema).unionByName(clean)
 
 
+def _versions() -> Column:
+    return F.create_map(*[F.lit(x) for k, v in RULES.items() for x in (k, v[0])])
+
+
 def ledger_rows(scanned: DataFrame) -> DataFrame:
-    """What to append to the ledger after `scan_blobs`: (blob, rule, version)."""
-    versions = F.create_map(*[F.lit(x) for k, v in RULES.items() for x in (k, v[0])])
-    return scanned.select("blob", F.explode("rules").alias("rule")).withColumn("version", versions[F.col("rule")])
+    """What to append to the ledger after `scan_blobs`: (blob, rule, version, findings of that rule)."""
+    each = scanned.select("blob", F.explode("rules").alias("rule"), "findings")
+    return each.select("blob", "rule", _versions()[F.col("rule")].alias("version"), F.filter("findings", lambda x: x["kind"] == F.col("rule")).alias("findings"))
+
+
+def stored_findings(ledger: DataFrame) -> DataFrame:
+    """(blob, findings) of one rule each, where the ledger has findings of the rule's current version."""
+    return ledger.where((F.col("version") == _versions()[F.col("rule")]) & (F.size("findings") > 0)).select("blob", "findings")
+
+
+def _by_blob(hits: DataFrame) -> DataFrame:
+    """(blob, findings): each blob's findings in one array, by start, then in the rules' order."""
+    kinds = F.array(*map(F.lit, RULES))
+    ranked = F.transform(F.flatten(F.collect_list("findings")), lambda x: F.struct(x["start"], F.array_position(kinds, x["kind"]).alias("rank"), x["end"], x["kind"]))
+    spans = F.transform(F.array_sort(F.array_distinct("ranked")), lambda x: F.struct(x["kind"], x["start"], x["end"]))
+    return hits.groupBy("blob").agg(ranked.alias("ranked")).select("blob", spans.cast(_SPANS).alias("findings"))
+
+
+def through_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger at path, made or extended by what the blobs of docs still lacked there."""
+    spark = docs.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    ledger = spark.read.schema(_LEDGER).parquet(path) if known else None
+    ledger_rows(scan_blobs(docs, ledger)).write.mode("append").parquet(path)
+    return spark.read.schema(_LEDGER).parquet(path)
 
 
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """All columns of docs and `findings`, spans of secrets that pending rules find in its text.
+    """All columns of docs and `findings`, spans of secrets in its text.
 
     One row per row of docs; null and empty texts have none, repeated rows each get their blob's
     findings, and without rows there are no rows. A column named findings or blob is refused.
-    With a ledger, blobs that need no rule any more get an empty array.
+    With a ledger (as `ledger_rows` gives it), what it holds is taken from there and only the rest is scanned.
     """
     if {"findings", "blob"} & {*docs.columns}:
         raise ValueError("documents already have a column findings or blob")
     hits = scan_blobs(docs, ledger).where(F.size("findings") > 0).select("blob", "findings")
+    if ledger is not None:
+        if "findings" not in ledger.columns:
+            raise ValueError("the ledger has no column findings")
+        hits = _by_blob(hits.unionByName(stored_findings(ledger)))
     paths = docs.withColumn("blob", address(F.col("text")))
     none = F.array().cast(_SPANS)
     return paths.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", none)).drop("blob")
@@ -116,12 +150,16 @@ def _joined(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def op10_secrets(spark, sf_dir: str) -> DataFrame:
-    """The contract's digest of `find_secrets` over whole documents."""
+def op10_secrets(spark, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """The contract's digest of `find_secrets` over whole documents.
+
+    ledger: path of a ledger to read and extend; by default a new one in the shared folder.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     # only addresses and findings go through the join, not texts
     ids = docs.select("doc_id", address(F.col("text")).alias("blob"))
-    hits = scan_blobs(docs).where(F.size("findings") > 0).select("blob", "findings")
+    path = ledger or f"{storage.shared_folder(spark)}/secrets-ledger-{uuid.uuid4().hex}"
+    hits = _by_blob(stored_findings(through_ledger(docs, path)))
     found = ids.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(_SPANS)))
     count = lambda k: F.size(F.filter("findings", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("findings", lambda x: x["kind"].isin(*BASE))

@@ -196,3 +196,20 @@ def test_op4_bridged_clusters_are_joined(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in ngram_join.link_components(docs, words=1).collect()}
     assert got == {i: i // 14 * 14 for i in range(len(texts))}
+
+
+def test_ledger_keeps_findings(spark, tmp_path):
+    """Paths of blobs scanned before keep their findings, whatever a later run still has to scan."""
+    docs = spark.createDataFrame([(1, "token=abcdefgh " + "0a" * 12), (2, "clean"), (3, "token=abcdefgh " + "0a" * 12), (4, "AKIA" + "Z" * 16)], "doc_id long, text string")
+    whole = {r.doc_id: r.findings for r in secrets.find_secrets(docs).collect()}
+    assert [len(whole[i]) for i in (1, 2, 3, 4)] == [2, 0, 2, 1]
+    ledger = secrets.ledger_rows(secrets.scan_blobs(docs.where("doc_id < 3"))).cache()
+    older = ledger.withColumn("version", F.when(F.col("rule") == "hex", 0).otherwise(F.col("version")))
+    for known in (ledger, older, ledger.unionByName(ledger)):
+        assert {r.doc_id: r.findings for r in secrets.find_secrets(docs, known).collect()} == whole
+    path = str(tmp_path / "ledger")
+    n = [secrets.through_ledger(d, path).count() for d in (docs.where("doc_id < 3"), docs, docs)]
+    assert n == [2 * len(secrets.RULES), 3 * len(secrets.RULES), 3 * len(secrets.RULES)]
+    folder = str(tmp_path / "sf")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    assert sorted(secrets.op10_secrets(spark, folder, path).collect()) == sorted(secrets.op10_secrets(spark, folder).collect())
