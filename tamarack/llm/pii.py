@@ -36,17 +36,23 @@ TURNS = 3
 _SPAN = "array<struct<start:bigint,stop:bigint,of:string,before:string>>"
 
 
+def _last_words(x: Column) -> Column:
+    """The last three words of a text and what follows them: all that `_context` looks at."""
+    return F.reverse(F.regexp_extract(F.reverse(x), r"^\s*(?:[^\s]++\s+){0,2}[^\s]*", 0))
+
+
 def _located(text: Column, pattern: str, maybe: str) -> Column:
-    """Spans of all matches in code points, with what they match and the text between them and the one before."""
+    """Spans of all matches in code points, with what they match and the last words of the text before them."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("gap"), found.alias("of"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + F.length(x["gap"])
         end = begin + F.length(x["of"])
-        span = F.struct(begin.alias("start"), end.alias("stop"), x["of"].alias("of"), F.right(x["gap"], F.lit(60)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
+        span = F.struct(begin.alias("start"), end.alias("stop"), x["of"].alias("of"), _last_words(F.concat(s["tail"], x["gap"])).alias("before"))
+        tail = _last_words(F.concat(s["tail"], x["gap"], x["of"]))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(s["out"], F.array(span)).alias("out"))
 
     return F.when(text.rlike(maybe), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
 
@@ -90,7 +96,7 @@ def _ranked(kind: str, span: Column) -> Column:
 
 def _context(before: Column) -> Column:
     """The last two words before a span, folded; null where there are not two."""
-    words = F.regexp_extract(F.lower(before), r"([^\s]+\s+[^\s]+)\s*[:=(\"']*\s*$", 1)
+    words = F.regexp_extract(F.lower(before), r"(?<![^\s])([^\s]++\s+[^\s]+)\s*[:=(\"']*\s*$", 1)
     return F.nullif(F.regexp_replace(F.regexp_replace(words, "[0-9]", "0"), r"\s+", " "), F.lit(""))
 
 
@@ -115,22 +121,21 @@ def trusted_contexts(found: DataFrame, confidence: float = CONFIDENCE, min_seeds
     """(context, kind, score) of contexts that `turns` rounds over the context-instance graph leave trusted.
 
     Seeds have score 1 for their kind; any other instance takes its best context's score of the turn
-    before. A context scores, for a kind, the sum of its occurrences' scores over all its occurrences.
+    before. A context scores, for a kind, the sum of its occurrences' scores over all its occurrences,
+    once it has `min_seeds` different instances with a score, seeds or discovered ones.
     """
     edges = cut(found.where("context IS NOT NULL").groupBy("context", "instance", "kind").agg(F.count(F.lit(1)).alias("n")))
     total = edges.groupBy("context").agg(F.sum("n").alias("total"))
-    seeds = edges.where("kind IS NOT NULL")
-    support = seeds.groupBy("context", "kind").agg(F.sum("n").alias("seen"), F.count_distinct("instance").alias("seeds"))
-    scored = support.join(total, "context").select("context", "kind", "seeds", "total", F.col("seen").alias("own"), (F.col("seen") / F.col("total")).alias("score"))
-    scored = cut(scored.where(F.col("seeds") >= min_seeds))
-    free = edges.where("kind IS NULL").select("context", "instance", "n")
-    current = scored
-    for _ in range(turns - 1):
-        good = current.where(F.col("score") >= confidence).select("context", "kind", "score")
-        instance = free.join(good, "context").groupBy("instance", "kind").agg(F.max("score").alias("trust"))
-        gain = free.join(instance, "instance").groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("gain"))
-        current = scored.join(gain, ["context", "kind"], "left").withColumn("score", (F.col("own") + F.coalesce("gain", F.lit(0.0))) / F.col("total"))
-        current = cut(current.drop("gain"))
+    seeds = edges.where("kind IS NOT NULL").select("context", "instance", "kind", "n", F.lit(1.0).alias("trust"))
+    free, trusted = edges.where("kind IS NULL").select("context", "instance", "n"), seeds
+    for turn in range(turns):
+        if turn:
+            good = current.where(F.col("score") >= confidence)
+            instance = free.join(good, "context").groupBy("instance", "kind").agg(F.max("score").alias("trust"))
+            trusted = seeds.unionByName(free.join(instance, "instance").select(seeds.columns))
+        support = trusted.groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("gain"), F.count_distinct("instance").alias("seeds"))
+        support = support.where(F.col("seeds") >= min_seeds).join(total, "context")
+        current = cut(support.select("context", "kind", (F.col("gain") / F.col("total")).alias("score")))
     best = current.where(F.col("score") >= confidence).groupBy("context").agg(F.max(F.struct("score", "kind")).alias("b"))
     return best.select("context", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
 

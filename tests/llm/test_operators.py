@@ -213,3 +213,13 @@ def test_ledger_keeps_findings(spark, tmp_path):
     folder = str(tmp_path / "sf")
     docs.write.parquet(f"{folder}/documents.parquet")
     assert sorted(secrets.op10_secrets(spark, folder, path).collect()) == sorted(secrets.op10_secrets(spark, folder).collect())
+
+
+def test_contexts_reach_over_earlier_matches_and_grow(spark):
+    """A span just behind another has a context, and discovered identifiers bring in contexts without seeds."""
+    seen = [f"x 1.2.3.{k} ip 10.0.0.{k}" for k in range(10, 20)] + ["x 1.2.3.40 ip host-99177"]
+    seen += [f"please call +1 (255) 555-80{k} today" for k in range(10, 30)] + [f"please call 555-0199-111{k} now" for k in range(5)]
+    seen += [f"or reach me 555-0199-111{k} now" for k in range(5)] + ["or reach me 555-0199-2222 now"]
+    rows = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(seen)), "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in rows[10].spans if s.kind.startswith("context")] == [(14, 4, 24, "context_ip")]
+    assert [s.kind for s in rows[len(seen) - 1].spans] == ["context_phone"]
