@@ -6,6 +6,7 @@ stays bounded whatever the batch holds; a single text is never cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,15 @@ from pyspark.sql import SparkSession
 
 SLICE = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_PRIME = np.uint64(2**31 - 1)
 _RNG = np.random.Generator(np.random.PCG64(20240201))
-_BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0xD1342543DE82EF95 | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE = _RNG.integers(1, 2**31 - 1, 256, dtype=np.uint64)
+_BASES = tuple(_RNG.integers(2**20, 2**31 - 1, 2).tolist())
 _powers: dict[int, np.ndarray] = {}
+_wrapped: dict[int, np.ndarray] = {}
+#: Strings of up to 8 * EIGHTS bytes are hashed in eights, longer ones by digest.
+EIGHTS = 4
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -36,14 +41,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime 2**31 - 1, for x below 2**63."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE + (1 << 16))
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+    """base**0 .. base**(n - 1) modulo 2**31 - 1."""
+    have = _powers.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, _modulo(have * np.uint64(pow(base, len(have), int(_PRIME))))])
+    _powers[base] = have
     return have[:n]
 
 
@@ -68,17 +78,41 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """c with c[i] the sum of the first i bytes' values, each times a power of its place."""
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=c[1:])
-    return c
+def prefix_hash(data: np.ndarray) -> list[np.ndarray]:
+    """For each of two bases, c with c[i] the sum of the first i bytes' values, each times a power of its place."""
+    out = []
+    for base in _BASES:
+        c = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_modulo(_BYTE[data] * powers(base, len(data))), out=c[1:])
+        out.append(c)
+    return out
+
+
+def span_hash(c: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans; equal bytes have equal hashes wherever they stand.
 
+    Two polynomials modulo the prime 2**31 - 1: two spans of n bytes agree by chance once in (2**31 / n)**2.
+    """
+    one, two = (_modulo(_modulo(x[ends] - x[starts]) * powers(pow(base, -1, int(_PRIME)), len(x))[starts]) for x, base in zip(c, _BASES, strict=True))
+    return mix((one << np.uint64(31) | two) ^ ((ends - starts).astype(np.uint64) * _MULT))
 
-def span_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans; equal bytes have equal hashes wherever they stand."""
-    h = (c[ends] - c[starts]) * powers(_INVERSE, len(c))[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * _MULT))
+
+def gram_hash(data: np.ndarray, size: int) -> np.ndarray:
+    """A cheap hash of the `size` bytes from each place on, for choosing among places.
+
+    A polynomial modulo 2**64: equal bytes have equal hashes, but equal hashes prove nothing.
+    """
+    base = 0xD1342543DE82EF95
+    have = _wrapped.get(base)
+    if have is None or len(have[0]) <= len(data):
+        steps = np.full((2, max(len(data) + 1, SLICE + (1 << 16))), base, np.uint64)
+        steps[1] = pow(base, -1, 1 << 64)
+        steps[:, 0] = 1
+        have = _wrapped[base] = np.multiply.accumulate(steps, axis=1)
+    c = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_BYTE[data] * _MULT) * have[0][: len(data)], out=c[1:])
+    n = max(0, len(data) - size + 1)
+    return mix((c[size:] - c[:n]) * have[1][:n]) if n else np.zeros(0, np.uint64)
 
 
 def word_class(separators: bytes) -> np.ndarray:
@@ -95,9 +129,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word after folding A-Z, and n + 1 offsets of the rows' words."""
-    data = _FOLD[data]
+def word_places(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each word, and n + 1 offsets of the rows' words."""
     inside = table[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -108,7 +141,38 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     ends[lasts] = inside[lasts]
     starts = np.flatnonzero(begins)
-    return span_hash(prefix_hash(data), starts, np.flatnonzero(ends) + 1), np.searchsorted(starts, offsets)
+    return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _FOLD[data]
+
+
+def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of short byte strings: eight bytes a step, each step mixed over the whole range.
+
+    Strings beyond EIGHTS steps take a BLAKE2 digest, so no choice of text makes two of them alike.
+    """
+    size = (ends - starts).astype(np.int64)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    h = mix((eight[starts] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * _MULT)
+    for k in range(8, 8 * EIGHTS, 8):
+        on = np.flatnonzero(size > k)
+        if not len(on):
+            break
+        h[on] = mix(h[on] * _MULT ^ mix(eight[starts[on] + k] & _LOW[np.minimum(size[on] - k, 8)]))
+    for i in np.flatnonzero(size > 8 * EIGHTS).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word after folding A-Z, and n + 1 offsets of the rows' words."""
+    data = fold_case(data)
+    starts, ends, at = word_places(data, offsets, table)
+    return byte_hash(data, starts, ends), at
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, local mode), a folder of our own that is then set."""
+    """spark.checkpoint.dir; where it is unset and Spark runs in one process, a folder of our own that is then set.
+
+    On a cluster a folder of the driver's machine would be out of the executors' reach, so that is refused.
+    """
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tamarack-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tamarack-"))
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -39,10 +45,10 @@ class Stash:
     def __enter__(self) -> Stash:
         return self
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
         path = f"{shared_folder(self.spark)}/stash-{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:

@@ -229,10 +229,15 @@ def windows_of(items):
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 700])
 def test_op9_decontaminate(spark, sf, corpus, block_bytes, monkeypatch):
+    from pyspark.sql import functions as F
+
     from tamarack.llm import decontaminate
 
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
     windows = windows_of(map(tuple, spark.read.parquet(f"{sf}/benchmark.parquet").collect()))
+    monkeypatch.setattr(decontaminate, "judged", lambda d, b, judge=decontaminate.judged: judge(d, b, block_bytes=block_bytes))
+    found = decontaminate.find_matches(spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(), spark.read.parquet(f"{sf}/benchmark.parquet"), block_bytes=block_bytes)
+    listed = Counter((r.doc_id, r.item_id, r.start) for r in found.where(F.col("n_words") == 10).collect())
+    want = Counter()
     for r in told(spark, sf, "op9_decontaminate"):
         w = re.findall(PLAIN, low(dict((x[0], x[1]) for x in corpus)[r.doc_id]))
         hit, items = set(), set()
@@ -241,7 +246,10 @@ def test_op9_decontaminate(spark, sf, corpus, block_bytes, monkeypatch):
                 if (x := tuple(w[k : k + size])) in windows:
                     hit |= set(range(k, k + size))
                     items |= {str(i) for i in windows[x] if i is not None}
+                    if size == 10:
+                        want |= Counter((r.doc_id, None if i is None else str(i), k) for i in windows[x])
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit))
+    assert listed == want
 
 
 def test_op7_toxicity(spark, corpus):

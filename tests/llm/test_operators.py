@@ -109,6 +109,33 @@ def test_proximity(spark):
     assert near(0) == {2} and near(1) == {1, 2} and near(2) == {1, 2} and near(6) == {1, 2, 3}
 
 
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words, and items of any size: hits are told by whole words."""
+    for power in (10, 13):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << power))
+        other = one.translate(str.maketrans("ab", "ba"))
+        docs = spark.createDataFrame([(1, f"{one} w x y z"), (2, f"{other} w x y z"), (3, f"{one}  W x y Z")], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in ngram_join.link_components(docs).collect()} == {1: 1, 2: 2, 3: 1}
+        hits = decontaminate.contamination(docs, spark.createDataFrame([(5, f"{other} w x y z")], "item_id long, text string"))
+        assert {r.doc_id: (r.n_hit, r.items) for r in hits.collect()} == {1: (0, []), 2: (5, ["5"]), 3: (0, [])}
+
+
+def test_many_equal_rows_and_a_long_text(spark):
+    """Equal rows are looked at once; a long text is one document."""
+    import random
+
+    rng = random.Random(2)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    long = " ".join(str(rng.random()) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, line)] * 1500 + [(2, long), (3, "x" + line[:300]), (4, long[-250:])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.without_repeats(docs, keep_text=False).collect()}
+    assert got == {1: (600, 1), 2: (250, 1), 3: (300, 1), 4: (250, 1)}
+    n = len(long.encode())
+    assert n > 10**6
+    hits = decontaminate.judged(docs, spark.createDataFrame([(7, " ".join(long.split()[-8:]))], "item_id long, text string")).where("n_hit > 0").collect()
+    assert {r.doc_id: r.items for r in hits} == {2: ["7"], 4: ["7"]}
+
+
 def test_toxicity_folding_and_exceptions(spark):
     assert toxicity.fold("1D10T $cum ѕсum Ｌoser é-ê").split() == ["idiot", "scum", "scum", "loser", "e", "e"]
     m = toxicity.Matcher({" clown ": 2.0, " idi": 3.0, " idiot ": 1.0}, ["clown fish"])
