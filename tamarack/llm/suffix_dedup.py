@@ -7,7 +7,7 @@ same anchor at the same offset, so every repeat shows as two anchors with equal
 bytes to their left and right; nothing is missed.
 
 Suffixes that start at anchors are sorted deep-shallow: Spark's shuffle groups them by their first
-GRAM bytes and drops groups of one; inside a task multikey sorting goes on to a shallow depth, and
+GRAM bytes and drops groups of one; inside a task multikey quicksort goes on to a shallow depth, and
 blind tries order what is still tied. Neighbours' common prefixes then give, for each offset o, the
 runs of suffixes that agree for length - o bytes; members of a run whose last o bytes before the
 anchor agree as well are repeats.
@@ -30,8 +30,8 @@ from . import blocks
 
 LENGTH = 200
 GRAM = 48
-#: Bytes after the gram that multikey sorting looks at before blind tries take over.
-SHALLOW = 16
+#: Depth at which multikey quicksort stops and blind tries take over: the gram, which is shared, and some bytes more.
+SHALLOW = GRAM + 8
 #: Suffixes sorted at once in a task; a group of equal grams is never divided.
 AT_ONCE = 8_000
 #: A larger group of suffixes with equal grams and different surroundings is settled by Spark's counting.
@@ -53,14 +53,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     """(row, place, left, right, gram, around) of the anchors of some texts.
 
     left and right: bytes before and from the anchor's start that a stretch through it can reach;
-    gram and around: hashes of the anchor's gram and of all those bytes.
+    gram: a hash of the anchor's gram; around: a BLAKE2 digest (two words) of all those bytes.
     """
-    c = blocks.prefix_hash(data)
     n, width = len(data), length - GRAM + 1
-    starts = np.arange(max(0, n - GRAM + 1))
     if n < length:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
-    gram = blocks.span_hash(c, starts, starts + GRAM)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64))
+    gram = blocks.gram_hash(data, GRAM)
     least = _sliding(np.minimum, gram, width, 2**64 - 1)
     valid = np.zeros(len(gram), bool)
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
@@ -72,8 +70,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     row = np.searchsorted(offsets, at, side="right") - 1
     left = np.minimum(at - offsets[row], length - GRAM)
     right = np.minimum(offsets[row + 1] - at, length)
-    around = blocks.span_hash(c, at - left, at + right) ^ blocks.mix((left * 1024 + right).astype(np.uint64))
-    return row, at - offsets[row], left, right, gram[at], around
+    text, spans = data.tobytes(), zip((at - left).tolist(), (at + right).tolist(), left.tolist(), right.tolist(), strict=True)
+    told = b"".join(hashlib.blake2b(text[a:b] + bytes((x, y)), digest_size=16).digest() for a, b, x, y in spans)
+    return row, at - offsets[row], left, right, gram[at], np.frombuffer(told, "<u8").reshape(-1, 2)
 
 
 def _blind_trie(strings: list[bytes]) -> list[int]:
@@ -118,20 +117,42 @@ def _blind_trie(strings: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(rows: list[int], strings: list[bytes]) -> list[int]:
+    """rows in the order of their strings, all equally long: three-way parts by one byte after the other.
+
+    Parts that agree in the first SHALLOW bytes are ordered by a blind trie.
+    """
+    shared = len({strings[r][:GRAM] for r in rows}) == 1
+    out, stack = [], [(rows, GRAM if shared else 0)]
+    while stack:
+        part, depth = stack.pop()
+        if len(part) == 1:
+            out += part
+        elif depth == SHALLOW:
+            out += [part[k] for k in _blind_trie([strings[r] for r in part])]
+        else:
+            pivot = strings[part[len(part) // 2]][depth]
+            equal = [r for r in part if strings[r][depth] == pivot]
+            if len(equal) < len(part):
+                more = [r for r in part if strings[r][depth] > pivot]
+                less = [r for r in part if strings[r][depth] < pivot]
+                stack += [(x, d) for x, d in ((more, depth), (equal, depth + 1), (less, depth)) if x]
+            else:
+                stack.append((equal, depth + 1))
+    return out
+
+
 def deep_shallow_order(group: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Order of suffixes by group, then by their bytes `right` (rows, zeros behind), then by `size`."""
-    n = len(group)
-    tail = np.pad(right[:, GRAM:], ((0, 0), (0, max(0, SHALLOW - (right.shape[1] - GRAM)))))
-    keys = np.ascontiguousarray(tail[:, :SHALLOW]).view(">u8")
-    order = np.lexsort((*(keys[:, k] for k in reversed(range(keys.shape[1]))), group))
-    tied = np.zeros(n, bool)
-    tied[1:] = (group[order][1:] == group[order][:-1]) & (keys[order][1:] == keys[order][:-1]).all(axis=1)
-    first = np.flatnonzero(~tied)
-    last = np.append(first[1:], n)
-    for a, b in zip(first[last - first > 1], last[last - first > 1], strict=True):
-        rows = order[a:b]
-        strings = [tail[r, SHALLOW:].tobytes() + bytes([size[r]]) for r in rows]
-        order[a:b] = rows[_blind_trie(strings)]
+    order = np.argsort(group, kind="stable")
+    first = np.append(True, group[order][1:] != group[order][:-1]) if len(group) else np.zeros(0, bool)
+    edges = np.append(np.flatnonzero(first), len(group)).tolist()
+    whole = np.column_stack([right, size.astype(np.uint8)])
+    width, flat = whole.shape[1], whole.tobytes()
+    strings = [flat[k : k + width] for k in range(0, len(flat), width)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a > 1:
+            order[a:b] = multikey_quicksort(order[a:b].tolist(), strings)
     return order
 
 
@@ -155,7 +176,7 @@ def repeats_in(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: n
             before = blocks.mix(before * np.uint64(0x9E3779B97F4A7C15) + left[:, o - 1] + np.uint64(o))
         able = np.flatnonzero((n_right >= length - o) & (n_left >= o))
         run = np.cumsum(agree < length - o)
-        key = blocks.mix(run[able].astype(np.uint64)) + before[able]
+        key = blocks.mix(before[able] ^ run[able].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         by = np.argsort(key, kind="stable")
         same = key[by][1:] == key[by][:-1]
         hit = np.zeros(len(able), bool)
@@ -187,17 +208,18 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
             for i, j in blocks.slices(offsets):
                 row, place, left, right, gram, around = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
                 at, key = place * 65536 + left * 256 + right, keys[i + row]
-                order = np.lexsort((at, key, around, gram))
+                order = np.lexsort((at, key, around[:, 1], around[:, 0], gram))
                 new = np.ones(len(order), bool)
-                new[1:] = (gram[order][1:] != gram[order][:-1]) | (around[order][1:] != around[order][:-1])
+                new[1:] = (gram[order][1:] != gram[order][:-1]) | (around[order][1:] != around[order][:-1]).any(axis=1)
                 first, rest = order[new], order[~new]
                 n = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
                 ends = np.append(0, np.cumsum(n))
                 others = pa.StructArray.from_arrays([pa.array(key[rest]), pa.array(at[rest])], ["key", "at"])
+                digests = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.arange(len(first) + 1, dtype=np.int32) * 16), pa.py_buffer(np.ascontiguousarray(around[first]))])
                 more = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), others, mask=pa.array(n == 0)).cast(kind)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(around[first].view(np.int64)), pa.array(key[first]), pa.array(at[first]), more], ["gram", "around", "key", "at", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), digests, pa.array(key[first]), pa.array(at[first]), more], ["gram", "around", "key", "at", "more"])
 
-    return texts.mapInArrow(read, f"gram long, around long, key long, at long, more {_PLACES}")
+    return texts.mapInArrow(read, f"gram long, around binary, key long, at long, more {_PLACES}")
 
 
 def _surroundings(rows: DataFrame, length: int) -> DataFrame:
@@ -303,7 +325,7 @@ def _sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, start, stop): byte spans that cover exactly the repeated bytes; spans may overlap.
 
-    texts: key long, text, any others; rows of equal key have equal texts.
+    texts: key long, text, any others; one row for each key.
     """
     if not GRAM < length <= 255:
         raise ValueError(f"length must lie between {GRAM + 1} and 255")
@@ -326,22 +348,27 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary; with keep_text) and kept_sha256 of each row.
 
-    Every row is a document of its own, so repeated rows are repeats of each other; rows may share a
-    doc_id or have none. Null and empty texts have no bytes. Texts shorter than `length` bytes hold no
-    repeat. Other columns are ignored.
+    Every row is a document of its own, so repeated rows are repeats of each other, and all that a stretch
+    covers in them goes; rows may share a doc_id or have none. Null and empty texts have no bytes. Texts
+    shorter than `length` bytes hold no repeat. Other columns are ignored.
     """
     blocks.small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("key")
-    spans = repeated_spans(texts, length).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # rows that are alike in all are sorted and counted once
+    same = Window.partitionBy("key")
+    texts = texts.withColumns({"copies": F.count(F.lit(1)).over(same), "copy": F.row_number().over(same.orderBy("key"))})
+    spans = repeated_spans(texts.where("copy = 1").select("key", "text"), length).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, out = batch.column("text").cast(pa.binary()), []
-            for k in range(batch.num_rows):
+            for k, copies in enumerate(batch.column("copies").to_pylist()):
                 data, spans = text[k].as_py(), batch.column("spans")[k].values
                 gone, runs, at, kept = 0, 0, 0, []
-                if spans is not None and len(spans):
+                if copies > 1 and len(data) >= length:
+                    gone, runs, at = len(data), 1, len(data)
+                elif spans is not None and len(spans):
                     start, stop = spans.field(0).to_numpy(), spans.field(1).to_numpy()
                     order = np.argsort(start, kind="stable")
                     start, stop = start[order], np.maximum.accumulate(stop[order])
@@ -356,7 +383,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Tru
             columns = [pa.array([x[c] for x in out], kinds[c]) for c in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    joined = texts.join(spans, "key", "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, "key", "left").select("doc_id", "text", "copies", "spans")
     out = joined.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out if keep_text else out.drop("kept")
 
