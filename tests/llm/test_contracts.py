@@ -26,9 +26,9 @@ def by_id(rows, corpus):
 def test_op1_mix(spark, sf, corpus):
     rows = told(spark, sf, "op1_mix")
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in corpus)
-    assert {r.source for r in rows} == {r[3] or "" for r in corpus}
+    assert {r.doc_id: r.source for r in rows} == {r[0]: r[3] for r in corpus}
     assert all(r.release <= r.slot < r.deadline for r in rows)
-    blocks = {(r.source, r.block): r.slot for r in rows}
+    blocks = {(r.source or "", r.block): r.slot for r in rows}
     assert len(set(blocks.values())) == len(blocks)
 
 

@@ -45,18 +45,36 @@ def test_extra_columns_stay(docs):
     assert mixing.mix(wide.drop("k")).count() == wide.count()
 
 
-def test_mix_deviates_less_than_a_block(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
-    weights = spark.createDataFrame([("hot", 50), *[(f"s{k}", k + 1) for k in range(7)]], "source string, weight long")
-    rows = mixing.mix(docs, weights, frame=200, block=4).select("source", "slot", "block").distinct().collect()
-    quota = {r.source: r.quota for r in mixing.quotas(weights, 200).collect()}
-    assert sum(quota.values()) == 200
-    slots = {(r.slot): r.source for r in rows}
-    last = min(max(r.slot for r in rows if r.source == s) for s in quota)  # until the first source runs out
-    done = Counter()
-    for t in range(last + 1):
-        done[slots[t]] += 1
-        assert all(abs(done[s] - (t + 1) * q / 200) < 1 for s, q in quota.items())
+@pytest.mark.parametrize("weights", [{"a": 10, "b": 333, "c": 1}, {"a": 7, "b": 7, "c": 14}, {"a": 1, "b": 2, "c": 3, "d": 1000, "e": 3}])
+def test_mix_deviates_less_than_a_block(spark, weights):
+    """From the target weights themselves, over many rounds of the schedule, until a source runs out."""
+    total = sum(weights.values())
+    rows = [(1000 * k + i, s) for k, (s, w) in enumerate(weights.items()) for i in range(6 * w + 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    table = spark.createDataFrame([*weights.items(), ("unused", total)], "source string, weight long")
+    for given, whole in ((table.where("source <> 'unused'"), total), (table, 2 * total)):
+        slots = {r.slot: r for r in mixing.mix(docs, given, block=1).collect()}
+        assert len(slots) == len(rows) and all(r.release <= r.slot < r.deadline for r in slots.values())
+        done = Counter()
+        for t in range(6 * whole):
+            if t in slots:
+                done[slots[t].source] += 1
+            assert all(abs(done[s] - (t + 1) * w / whole) < 1 for s, w in weights.items())
+
+
+def test_mix_refuses_unclear_weights(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "doc_id long, source string")
+    for weights in ([("a", 1), ("b", 2)], [("a", 1), ("b", 2), ("", 0)], [("a", 1), ("a", 2), ("b", 2), ("", 1)]):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, spark.createDataFrame(weights, "source string, weight long"))
+    got = mixing.mix(docs, spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "source string, weight long")).collect()
+    assert sorted((str(r.doc_id), r.source) for r in got) == [("1", "a"), ("2", None), ("None", "b")]
+
+
+def test_mix_takes_many_sources(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("source"))
+    rows = mixing.mix(docs, block=2).collect()
+    assert len(rows) == 4000 and all(r.release <= r.slot < r.deadline for r in rows)
 
 
 def test_token_limits_and_quantiles(spark):
