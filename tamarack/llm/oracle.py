@@ -25,24 +25,21 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
-def _texts(words: list[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
 def licenses_sql(threshold: float = licenses.THRESHOLD) -> str:
     places = []
     for phrase, label in licenses.PHRASES.items():
         stand = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         places.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {stand}), lambda i: {{'label': '{label}', 'at': i - 1}})")
-    templates = ", ".join(f"('{k}', {_texts(ws)})" for k, ws in licenses.template_words().items())
+    width = licenses.widths()
+    rows = [(k, w, len(ws), licenses.needed(len(ws), threshold), width[k]) for k, ws in licenses.template_words().items() for w in ws]
+    templates = ", ".join(f"('{k}', '{w}', {n}, {c}, {size})" for k, w, n, c, size in rows)
     return rf"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents),
 p AS (SELECT doc_id, text, len(w) AS n_words, list_concat({", ".join(places)}) AS found FROM d),
-templates(label, ws) AS (VALUES {templates}),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{_WORD}')) AS have
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) s),
-shares AS (SELECT doc_id, label, len(list_intersect(have, ws)) / len(ws) AS share FROM lines, templates WHERE len(list_intersect(have, ws)) >= {threshold} * len(ws) - 1e-9),
-blocks AS (SELECT doc_id, list(label) AS labels, max(share) AS best FROM shares GROUP BY doc_id)
+templates(label, word, n, need, width) AS (VALUES {templates}),
+held AS (SELECT doc_id, i, label, word, n, need, width FROM (SELECT DISTINCT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) s JOIN templates ON w[i] = word),
+counts AS (SELECT doc_id, label, n, need, count(DISTINCT word) OVER (PARTITION BY doc_id, label ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS c FROM held),
+blocks AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c / n) AS best FROM counts WHERE c >= need GROUP BY doc_id)
 SELECT doc_id, n_words, len(found) AS n_base, list_min(list_transform(found, lambda x: x.at)) AS first_word, list_max(list_transform(found, lambda x: x.at)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.label))), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(list_transform(found, lambda x: x.label), coalesce(labels, [])))), ',') AS labels,
