@@ -27,6 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder, whose size Spark knows when it plans a join with it."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours, wherever its file system is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
