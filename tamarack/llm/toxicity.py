@@ -30,7 +30,6 @@ from .storage import cut
 
 TRAIN_ROWS = 20_000
 FOLDS = 3
-MAX_TERMS = 50_000
 MIN_DOCS = 4
 MIN_WEIGHT = 1.2
 PREFIXES = range(3, 10)
@@ -102,9 +101,15 @@ class Matcher:
         """The word at start with its neighbour on either side."""
         stop = folded.index(" ", start)
         word = folded[start:stop]
-        before = folded[max(0, start - 80) : start].split()[-1:]
-        after = folded[stop : stop + 80].split()[:1]
-        return [f"{x} {word}" for x in before] + [f"{word} {x}" for x in after]
+        end = start
+        while end > 0 and folded[end - 1] == " ":
+            end -= 1
+        before = folded[folded.rfind(" ", 0, end) + 1 : end]
+        begin = stop
+        while begin < len(folded) and folded[begin] == " ":
+            begin += 1
+        after = folded[begin : folded.find(" ", begin)] if begin < len(folded) else ""
+        return [f"{x} {y}" for x, y in ((before, word), (word, after)) if x and y]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Logarithms of the weight in all and of the weight per hundred words, and the heaviest match."""
@@ -171,13 +176,13 @@ def _document_counts(rows: DataFrame, wanted) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Terms of MIN_DOCS toxic documents or more, and of MIN_WEIGHT log odds; at most MAX_TERMS."""
+    """Terms of MIN_DOCS toxic documents or more, and of MIN_WEIGHT log odds; rows are a bounded sample."""
     spark = rows.sparkSession
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return {}
     many = _document_counts(rows.where("toxic = 1"), None).where(F.col("n") >= MIN_DOCS)
-    found = {r.term: r.n for r in many.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()}
+    found = {r.term: r.n for r in many.collect()}
     wanted = spark.sparkContext.broadcast(frozenset(found))
     clean = {r.term: r.n for r in _document_counts(rows.where("toxic = 0"), wanted).collect()}
     base = math.log((sizes[1] + 1) / (sizes[0] + 1))
@@ -192,7 +197,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     return out
 
 
-def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], least: int = 3, most: int = 5000) -> list[str]:
+def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], least: int = 3) -> list[str]:
     """Phrases around matches that `least` harmless documents or more and no toxic ones have."""
     shared = _Shared(rows.sparkSession, (lexicon, []))
 
@@ -207,7 +212,7 @@ def learn_exceptions(rows: DataFrame, lexicon: dict[str, float], least: int = 3,
 
     seen = rows.select("text", "toxic").mapInArrow(find, "phrase string, toxic int").groupBy("phrase")
     kept = seen.agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("bad"))
-    return [r.phrase for r in kept.where(F.expr(f"clean >= {least} AND bad = 0")).orderBy(F.desc("clean"), "phrase").limit(most).collect()]
+    return [r.phrase for r in kept.where(F.expr(f"clean >= {least} AND bad = 0")).collect()]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -238,6 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     """{lexicon, exceptions, curve}, learned from at most train_rows labelled documents.
 
     Labels: (doc_id, toxic); null labels and ids are left out, of repeated ids the largest label holds.
+    Repeated documents count each; other columns of either table are ignored, whatever their names.
     Without documents of both labels the lexicon is empty and the curve None: scores are then 0.
     """
     blocks.small_batches(docs.sparkSession)
