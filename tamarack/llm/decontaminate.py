@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .storage import Stash, cut
+from .storage import Stash, cut, kept
 
 WINDOW = 10
 #: About so many bytes of text form a block of the index; a longer text is a block of its own.
@@ -231,7 +231,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFram
     """The rows of docs that hold no window of any item, all columns."""
     hit = judged(docs.select("doc_id", "text"), benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest"))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (digest(F.col("text")) == F.col("_digest"))
-    return docs.join(hit, same, "left_anti")
+    return docs.join(kept(hit), same, "left_anti")  # whether texts are shuffled depends on how many are hit
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ task of their own, which returns no more links than join components. No pair is
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .graph import components
-from .storage import Stash, cut
+from .storage import Stash, cut, kept
 
 WORDS = 5
 PERCENT = 80
@@ -207,7 +208,8 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     words are one shingle; null texts and texts without words have no set, link with nothing and are
     their own component. Sets link at `percent` of their union or more; component_id is the least
     doc_id that links reach. Rows with the same doc_id are separate nodes of that name; rows without a
-    doc_id take part and get their component's least id, null if it has none.
+    doc_id take part and get their component's least id, null if it has none. doc_id may be of any
+    ordered type, other columns are ignored, and without rows there are no rows.
     """
     spark = docs.sparkSession
     blocks.small_batches(spark)
@@ -257,8 +259,8 @@ def divide_skip(sets: list[np.ndarray], roots: list[int], split: int, percent: i
     """Links (x, y), x < split <= y, or x < y where split is 0, that join sets of different roots.
 
     For each set x the lists of its members are divided: the longest L are put aside, the others are
-    merged by counting. Sets counted T - L times or more are probed in the long lists. Of links that
-    join the same roots over again one is returned.
+    merged by a heap. Sets that come out T - L times or more are probed in the long lists by binary search.
+    Of links that join the same roots over again one is returned.
     """
     first = split if split else len(sets)
     others = range(split, len(sets))
@@ -283,8 +285,9 @@ def divide_skip(sets: list[np.ndarray], roots: list[int], split: int, percent: i
         aside = int(min(np.count_nonzero(length > 32), need.min() - 1, size[x] - 1))
         by = np.argsort(length)
         short, long = by[: len(by) - aside], by[len(by) - aside :]
-        at = np.repeat(lo[short] - np.cumsum(length[short]) + length[short], length[short]) + np.arange(length[short].sum())
-        count = np.bincount(holder[at], minlength=len(sets))
+        # heap-merge of the short lists: holders come out in order, equal ones together
+        merged = np.fromiter(heapq.merge(*(holder[a:b].tolist() for a, b in zip(lo[short], hi[short], strict=True) if a < b)), np.int64)
+        count = np.bincount(merged, minlength=len(sets))
         count[: split if split else x + 1] = 0
         fits = (100 * size >= percent * size[x]) & (100 * size[x] >= percent * size) & (count > 0) & (count >= need - aside)
         for y in np.flatnonzero(fits).tolist():
@@ -315,6 +318,22 @@ def _block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("s", "x", "y").applyInPandas(search, "a long, b long")
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the least doc_id, of equal ids the one whose text has the least digest.
+
+    Rows without a set stay, as do all rows that nothing links; of rows alike in doc_id and text one stays.
+    Rows with and without doc_id take part alike, those with one being preferred.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    linked = link_components(docs.select(key.alias("doc_id"), "text"), words, percent)
+    linked = cut(linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("copies")))
+    gone = kept(linked.where("copies > 1 OR doc_id <> component_id").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")))
+    again = kept(linked.where("copies > 1 AND doc_id = component_id").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_digest"))
+    one = docs.join(again, same).dropDuplicates(["_id", "_digest"]).select(docs.columns)
+    return docs.join(gone, same, "left_anti").unionByName(one)
+
+
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     """`link_components` over whole documents: 5-word shingles, likeness 0.8."""
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -255,17 +255,66 @@ def test_personal_data_in_long_texts(spark):
     assert got == {(1, 1, 1): 1, (2, 20_000, 20_000): 1, (None, 1, 1): 1, (3, 0, 0): 2, (4, 1, 1): 2}
 
 
-def test_pipeline(spark, sf):
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "near_copies", "decontaminate", "secrets", "mix"]
+def test_pipeline(spark, sf, corpus):
+    """Each stage against plain Python on what its predecessor kept; tables and null rows as they come."""
+    import re
+
+    from test_contracts import PLAIN, SECRETS, linked, low, shingle_sets, windows_of
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "decontaminate", "secrets", "mix"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()}
-    linked = ngram_join.link_components(docs).collect()
-    assert kept == {r.component_id for r in linked}
+    rows = sorted(map(tuple, corpus_pipeline.drop_toxic(spark, docs, sf).collect()), key=str)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    assert rows == sorted((tuple(r)[:-1] for r in scored.collect() if r.score < 0.5), key=str)
+
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf).collect()
+    roots = linked(shingle_sets([(k, r[1]) for k, r in enumerate(corpus)]))
+    groups = {}
+    for k, r in enumerate(corpus):
+        groups.setdefault(roots[k], []).append(r)
+    want = {i for g in groups.values() for i in [min((r[0] for r in g if r[0] is not None), default=None)]}
+    assert {r.doc_id for r in kept} == want and len(kept) == len(groups)
+
+    windows = windows_of(map(tuple, spark.read.parquet(f"{sf}/benchmark.parquet").collect()))
+    holds = lambda t: any(tuple(w[k : k + n]) in windows for w in [re.findall(PLAIN, low(t))] for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
+    clean = corpus_pipeline.drop_contaminated(spark, docs, sf).collect()
+    assert sorted(map(tuple, clean), key=str) == sorted((r for r in corpus if not holds(r[1])), key=str) and clean
+
+    leaky = spark.createDataFrame([(1, "a token=abcdefgh AKIA" + "Q" * 16, "en", "s", 3), (2, "clean", "en", None, 5), (None, None, None, None, None)], docs.schema)
+    masked = {r.doc_id: r for r in corpus_pipeline.mask_secrets(spark, leaky, sf).collect()}
+    assert masked[1].text == "a [SECRET] [SECRET]" and masked[1].n_chars == 19 and masked[2].text == "clean" and masked[None].text is None
+    assert not any(re.search(p, r.text or "") and len(re.search(p, r.text)[g]) >= n for r in masked.values() for p, g, n in SECRETS.values())
+
     out = corpus_pipeline.run(spark, sf)
     assert {*docs.columns} < {*out.columns} and out.count() == out.select("doc_id").distinct().count() > 0
-    final = corpus_pipeline.drop_contaminated(spark, out.select(docs.columns), sf)
-    assert final.count() == out.count()
+    assert corpus_pipeline.drop_contaminated(spark, out.select(docs.columns), sf).count() == out.count()
+
+
+def test_pipeline_goes_on_after_a_failure(spark, sf, tmp_path, monkeypatch):
+    folder, ran = str(tmp_path / "run"), []
+
+    def stage(name, fails=False):
+        def run(spark, docs, sf_dir):
+            ran.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return docs
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("one"), stage("two"), stage("three", True)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, sf, folder)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("one"), stage("two"), stage("three")])
+    assert corpus_pipeline.run(spark, sf, folder).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert ran == ["one", "two", "three", "three"]
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "g h i j k l", "y"), (1, "a b c d e f", "z"), (2, "a b c d e f", "w"), (None, "g h i j k l", "v"), (None, "m", "u"), (None, "m", "t"), (3, None, "s"), (4, "", "r")]
+    got = [(r.doc_id, r.text) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b c d e f"), (1, "g h i j k l"), (None, "m"), (3, None), (4, "")], key=str)
 
 
 def test_op6_stretch_with_two_crowded_anchors_occurs_once(spark, monkeypatch):
