@@ -26,16 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without doc_id can't be told apart by it and stay; of rows with one doc_id one stays."""
-    linked = ngram_join.link_components(docs.select("doc_id", "text"))
-    first = linked.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group stays; rows of one doc_id with different texts are different documents."""
+    return ngram_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.contamination(docs, benchmark).where("n_hit = 0").select(docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +52,22 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows: the columns of documents and those of the mix."""
-    docs, folder, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{storage.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
-    for name, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The last stage's rows: the columns of documents and those of the mix.
+
+    Stages are written below folder, by default a new one in the shared folder. Given the folder of a run
+    that failed, stages that it completed are read instead of being run again. A stage's table goes once the
+    next one is written; the last one stays, because the result reads it.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    folder = folder or f"{storage.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = [k for k, (name, _) in enumerate(STAGES) if storage.exists(spark, f"{folder}/{name}/_SUCCESS")]
+    if done:
+        last = f"{folder}/{STAGES[done[-1]][0]}"
+        docs = spark.read.parquet(last)
+    for name, stage in STAGES[done[-1] + 1 if done else 0 :]:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         if last:
             storage.remove(spark, last)
         docs, last = spark.read.parquet(path), path
