@@ -46,13 +46,15 @@ def extension(name: Column) -> Column:
     return fold(F.regexp_extract(name, r"\.([\x00-\x2D\x2F-\x7F]{1,8})$", 1))
 
 
-def is_package(ext: Column, is_dir: Column) -> Column:
-    return is_dir & ext.isin(PACKAGES)
+def is_package(name: Column) -> Column:
+    """Whether a folder of this name is a package: by all that follows its last dot, however long."""
+    return name.contains(".") & fold(F.substring_index(name, ".", -1)).isin(PACKAGES)
 
 
-def kind(ext: Column, is_dir: Column) -> Column:
+def kind(name: Column, is_dir: Column) -> Column:
     """0 other, 1 folder, 2 app, 3 document ... 8 archive."""
-    out = F.when(is_dir & (ext == "app"), 2).when(is_dir & ~ext.isin(PACKAGES), 1)
+    ext = extension(name)
+    out = F.when(is_dir & (ext == "app"), 2).when(is_dir & ~is_package(name), 1)
     for code, exts in KIND_EXTENSIONS.items():
         out = out.when(ext.isin(exts.split()), code)
     return out.otherwise(0)

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 
-MAX_DEPTH = 64
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A level that later ones build on: a checkpoint where the session has a folder for them, else cached."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.cache()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def with_paths(entries: DataFrame, root_id: int = 0) -> DataFrame:
@@ -16,19 +25,19 @@ def with_paths(entries: DataFrame, root_id: int = 0) -> DataFrame:
     Only folders are walked, a level at a time; files then get their folder's path in one join.
     Entries that hang on no path from the root are left out.
     """
-    dirs = entries.where("is_dir").select("entry_id", "parent_id", "name")
+    dirs = entries.where(F.col("is_dir") & (F.col("entry_id") != root_id)).select("entry_id", "parent_id", "name")
     none = F.array().cast("array<string>")
     level = dirs.sparkSession.range(1).select(F.lit(root_id).cast("long").alias("dir"), F.lit("").alias("dir_path"), F.lit(0).alias("dir_depth"), none.alias("dir_names"))
-    known, depth = level, 0
-    while depth < MAX_DEPTH:
+    known = level
+    while True:
         below = dirs.join(level, dirs["parent_id"] == level["dir"])
-        level = below.select(
+        level = _kept(below.select(
             F.col("entry_id").alias("dir"), F.concat("dir_path", F.lit("/"), "name").alias("dir_path"),
             (F.col("dir_depth") + 1).alias("dir_depth"), F.concat("dir_names", F.array("name")).alias("dir_names"),
-        )
+        ))
         if level.isEmpty():
             break
-        known, depth = known.unionByName(level), depth + 1
+        known = known.unionByName(level)
     at = entries.join(known, entries["parent_id"] == known["dir"])
     return at.select(*entries.columns, F.concat("dir_path", F.lit("/"), "name").alias("rel_path"), (F.col("dir_depth") + 1).alias("depth"), F.col("dir_names").alias("ancestors"))
 
@@ -38,9 +47,9 @@ def classified(entries: DataFrame, user_area: Column | bool = True) -> DataFrame
     ext = names.extension(F.col("name"))
     noisy = F.exists("ancestors", lambda a: a.isin(names.NOISE) | a.startswith("."))
     system = F.coalesce(F.get("ancestors", F.lit(0)).isin(names.SYSTEM), F.lit(False))
-    packed = F.exists("ancestors", lambda a: names.extension(a).isin(names.PACKAGES))
+    packed = F.exists("ancestors", names.is_package)
     return entries.withColumns({
-        "folded": names.fold(F.col("name")), "ext": ext, "kind": names.kind(ext, F.col("is_dir")), "size": names.decoded_size(F.col("size")),
+        "folded": names.fold(F.col("name")), "ext": ext, "kind": names.kind(F.col("name"), F.col("is_dir")), "size": names.decoded_size(F.col("size")),
         "mtime": F.least(F.greatest("mtime", F.lit(0)), F.lit(2**32 - 1)), "hidden": F.col("name").startswith("."), "noise": noisy | system, "in_package": packed,
         "user_area": F.lit(user_area) if isinstance(user_area, bool) else user_area, "alt_keys": names.alternate_keys(F.col("name")),
     })
@@ -68,7 +77,7 @@ def validate(entries: DataFrame) -> DataFrame:
     return at.agg(
         F.count(F.lit(1)).alias("entries"), F.count_if(F.col("parent_id") >= F.col("entry_id")).alias("parent_not_before"),
         F.count_if((F.col("parent_id") != 0) & F.col("pid").isNull()).alias("no_parent"), F.count_if((F.col("name") == "") | F.col("name").contains("/")).alias("bad_name"),
-    ).join(twice)
+    ).join(F.broadcast(twice))  # fmt: skip  (one row each)
 
 
 def resolve(catalog: DataFrame, paths: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+import unicodedata
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +42,66 @@ def counters(left_out: DataFrame) -> DataFrame:
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """Counters (reason, n, part) of several scans added up."""
-    return parts.groupBy("reason").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    """Counters (reason, n, examples) of several scans added up; examples, if there, go on in the scans' order up to EXAMPLES."""
+    sums = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")]
+    if "examples" in parts.columns:  # one row a scan and reason
+        listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "examples"))), lambda x: F.split(x["examples"], ";")))
+        sums.append(F.array_join(F.slice(listed, 1, EXAMPLES), ";").alias("examples"))
+    return parts.groupBy("reason").agg(*sums)
 
 
 def uncovered(all_roots: DataFrame, indexed: DataFrame) -> DataFrame:
     """Roots (root) that no indexed source has."""
     return all_roots.join(indexed, "root", "left_anti")
+
+
+def normalized(path: str) -> str | None:
+    """An absolute path in NFC without doubled or closing slashes and without `.` and `..`; None for other texts."""
+    if not path.startswith("/"):
+        return None
+    return unicodedata.normalize("NFC", posixpath.normpath(re.sub("/+", "/", path)))
+
+
+def holds(parent: str, path: str) -> bool:
+    """Whether path is parent or lies below it."""
+    a, b = normalized(parent), normalized(path)
+    return a is not None and b is not None and (a == "/" or a == b or b.startswith(a + "/"))
+
+
+def with_exclusions(existing: list[str], new: list[str]) -> list[str]:
+    """Excluded folders after new ones were chosen: none lies in another, and a new outer folder takes the place of inner ones."""
+    kept: list[str] = []
+    for path in filter(None, map(normalized, existing + new)):
+        if not any(holds(p, path) for p in kept):
+            kept = [*(p for p in kept if not holds(path, p)), path]
+    return kept
+
+
+def explained(paths: DataFrame, judged: DataFrame, excluded_paths: list[str], root: str = "/") -> DataFrame:
+    """(path, told, detail): why each path is or is not in the index.
+
+    judged: what a scan met, as `reasons` gives it (rel_path, ext, reason), and, if it has them, no_access and
+    cloud (boolean). The first of these holds: indexed, volume (below /Volumes, unless the root is one),
+    excluded by the user (detail: the folder), file type (detail: the extension), another reason of the scan,
+    no access, cloud, and pending for what no scan has met.
+    """
+    path = F.col("path")
+    flags = {c: F.col(c) if c in judged.columns else F.lit(False) for c in ("no_access", "cloud")}
+    known = judged.select(F.col("rel_path").alias("met"), "ext", "reason", *[x.alias(c) for c, x in flags.items()])
+    own = F.lit(None).cast("string")
+    for p in reversed(excluded_paths):
+        own = F.when((path == p) | path.startswith(p.rstrip("/") + "/"), F.lit(p)).otherwise(own)
+    inside = F.lit(root.startswith("/Volumes/")) & ((path == root) | path.startswith(root.rstrip("/") + "/"))
+    volume = ((path == "/Volumes") | path.startswith("/Volumes/")) & ~inside
+    met, free = F.col("met").isNotNull(), F.coalesce(~F.col("no_access") & ~F.col("cloud"), F.lit(False))
+    told = (
+        F.when(met & F.col("reason").isNull() & free, "indexed")
+        .when(volume, "volume")
+        .when(own.isNotNull(), "user excluded")
+        .when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(F.coalesce("no_access", F.lit(False)), "no access")
+        .when(F.coalesce("cloud", F.lit(False)), "cloud")
+        .otherwise("pending")
+    )
+    detail = F.when(F.col("told") == "user excluded", own).when(F.col("told") == "file type", F.col("ext"))
+    return paths.join(known, paths["path"] == known["met"], "left").withColumn("told", told).select("path", "told", detail.alias("detail"))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..plans import language
 
+#: An empty line lists so many recent files.
 RECENT = 200
+#: Up to FULL results are all put in order; of more only the best SORTED, the others follow by id.
+FULL = 200_000
 SORTED = 5000
 
 
@@ -45,11 +48,24 @@ def top(rows: DataFrame, by: list[Column], k: int) -> DataFrame:
     return rows.orderBy(*by).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
-def search(catalog: DataFrame, line: str, o: Options, limit: int = RECENT) -> DataFrame:
-    """The best `limit` results with rank and score; an empty line lists recent files."""
+def results(rows: DataFrame, by: list[Column], full: int = FULL, head: int = SORTED) -> DataFrame:
+    """All rows with rank (from 1; null where only the order of ids holds), total and sorted_count (long)."""
+    n = rows.count()
+    ranked = top(rows, by, n) if n <= full else bounded(rows, by, head).withColumnRenamed("place", "rank")
+    return ranked.withColumns({"total": F.lit(n).cast("long"), "sorted_count": F.lit(n if n <= full else head).cast("long")})
+
+
+def search(catalog: DataFrame, line: str, o: Options, limit: int | None = None) -> DataFrame:
+    """All results as `results` gives them, or the best `limit` with rank; an empty line lists recent files."""
     if not language.understand(line, o.now).clauses:
         return recent(catalog, o.kind)
-    return top(found(catalog, line, o), order(o), limit)
+    rows = found(catalog, line, o)
+    return results(rows, order(o)) if limit is None else top(rows, order(o), limit)
+
+
+def takes_topics(o: Options, alone: bool = False) -> bool:
+    """Whether a search also looks at topics: without a kind of files, or where topics are asked for alone."""
+    return alone or o.kind is None
 
 
 def recent(catalog: DataFrame, kind: int | None = None, limit: int = RECENT) -> DataFrame:
@@ -60,9 +76,10 @@ def recent(catalog: DataFrame, kind: int | None = None, limit: int = RECENT) ->
 
 
 def bounded(rows: DataFrame, by: list[Column], k: int = SORTED) -> DataFrame:
-    """All rows with `place`: the best k by rank, the others null, to follow by entry id."""
-    head = top(rows, by, k).select("entry_id", F.col("rank").alias("place"))
-    return rows.join(head, "entry_id", "left")
+    """All rows with `place`: the best k by rank, the others null, to follow by source and entry id."""
+    key = [c for c in ("source_ix", "entry_id") if c in rows.columns]
+    head = top(rows, by, k).select(*key, F.col("rank").alias("place"))
+    return rows.join(head, key, "left")
 
 
 def can_narrow(before: str, after: str, now: int = 0) -> bool:
@@ -78,18 +95,19 @@ def can_narrow(before: str, after: str, now: int = 0) -> bool:
     return all(x and y and x in y and (not x.isascii() or y.isascii()) for x, y in pairs)
 
 
-def search_sources(sources: list[tuple[str, DataFrame]], line: str, o: Options, limit: int = RECENT) -> DataFrame:
-    """One order over several catalogs: by the sort key, then by source, then by entry id."""
-    rows = None
+def search_sources(sources: list[tuple[str, DataFrame]], line: str, o: Options, limit: int | None = None) -> DataFrame:
+    """One order over several catalogs, of all results or the best `limit`: by the sort key, then by source, then by entry id."""
+    rows, empty = None, not language.understand(line, o.now).clauses
     for i, (name, catalog) in enumerate(sources):
-        if language.understand(line, o.now).clauses:
+        if not empty:
             own, by = found(catalog, line, o), order(o)
         else:
             own = catalog.where("user_area AND NOT noise AND NOT in_package AND NOT hidden AND kind <> 1").withColumn("score", F.lit(0))
             by = [F.desc("mtime"), F.col("entry_id")]
         own = own.select("entry_id", "name", "folded", "score", "mtime", "size", F.lit(i).alias("source_ix"), F.lit(name).alias("source"))
         rows = own if rows is None else rows.unionByName(own)
-    return top(rows, [by[0], F.col("source_ix"), by[1]], limit)
+    by = [by[0], F.col("source_ix"), by[1]]
+    return results(rows, by) if limit is None and not empty else top(rows, by, limit or RECENT)
 
 
 def supplemented(results: DataFrame, hits: DataFrame, catalog: DataFrame, version: int) -> DataFrame:
@@ -108,10 +126,10 @@ def supplemented(results: DataFrame, hits: DataFrame, catalog: DataFrame, versio
 def merged_with_topics(files: DataFrame, topics: DataFrame, o: Options) -> DataFrame:
     """Files (entry_id, name, score, mtime, size) and topics (topic_id, title, score, modified) in one list.
 
-    Files keep their order; a topic stands before the first file it beats (higher score, later time);
+    Sorted by (key, is_topic, id, item): files keep their order, ties by entry id; a topic stands before the first file it beats (higher score, later time);
     by size, topics come before files of any size when ascending, else last.
     """
-    f = files.select(F.concat(F.lit("f:"), F.col("entry_id").cast("string")).alias("item"), F.col("name").alias("title"), F.col("score").cast("double").alias("score"), F.col("mtime").cast("double").alias("at"), F.col("size").cast("double").alias("size"), F.lit(0).alias("is_topic"))
-    t = topics.select(F.concat(F.lit("t:"), "topic_id").alias("item"), "title", F.col("score").cast("double").alias("score"), F.col("modified").cast("double").alias("at"), F.lit(0.0).alias("size"), F.lit(1).alias("is_topic"))
+    f = files.select(F.concat(F.lit("f:"), F.col("entry_id").cast("string")).alias("item"), F.col("entry_id").alias("id"), F.col("name").alias("title"), F.col("score").cast("double").alias("score"), F.col("mtime").cast("double").alias("at"), F.col("size").cast("double").alias("size"), F.lit(0).alias("is_topic"))
+    t = topics.select(F.concat(F.lit("t:"), "topic_id").alias("item"), F.lit(None).cast("long").alias("id"), "title", F.col("score").cast("double").alias("score"), F.col("modified").cast("double").alias("at"), F.lit(0.0).alias("size"), F.lit(1).alias("is_topic"))
     key = {"relevance": "score", "modified": "at", "size": "size", "name": "title"}[o.sort]
     return f.unionByName(t).withColumn("key", F.col(key))

@@ -13,7 +13,8 @@ ENTRIES_SQL = """
 WITH d AS (
   SELECT doc_id, n_chars, lang, CAST(substring(source, 4) AS INT) AS s,
          CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS l,
-         CASE source WHEN 'src7' THEN 'node_modules' WHEN 'src9' THEN 'src9.app' ELSE source END AS top,
+         CASE source WHEN 'src7' THEN 'node_modules' WHEN 'src9' THEN 'src9.app'
+              WHEN 'src11' THEN 'src11.PhotosLibrary' WHEN 'src13' THEN 'src13.xcworkspace' ELSE source END AS top,
          CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN 'md' WHEN 1 THEN 'TXT' WHEN 2 THEN 'pdf' WHEN 3 THEN 'png'
               WHEN 4 THEN 'swift' WHEN 5 THEN 'zip' WHEN 6 THEN 'mp4' ELSE 'xyz' END AS ext
   FROM {documents})

@@ -9,9 +9,13 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 import re
+import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,8 +48,9 @@ def size_range(text: str) -> tuple[int, int] | None:
     """`>n`, `<n`, `a..b` or `n` with units of 1000; decimals are cut off."""
 
     def number(x: str) -> int | None:
-        m = re.fullmatch(r"(\d+(?:\.\d+)?)(b|kb|mb|gb)?", x.strip().lower())
-        return int(float(m[1]) * UNITS[m[2] or ""]) if m else None
+        m = re.fullmatch(r"((?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]{1,3})?)(b|kb|mb|gb)?", x.strip().lower())
+        n = float(m[1]) * UNITS[m[2] or ""] if m else None
+        return int(n) if n is not None and n < MOST else None
 
     if text[:1] in "<>" and text:
         n = number(text[1:])
@@ -68,7 +73,7 @@ def date_range(text: str, now: int) -> tuple[int, int] | None:
         return stamp(day) - 86_400, stamp(day) - 1
     if m := re.fullmatch(r"(\d+)([hdw])", text):
         back = int(m[1]) * {"h": 3600, "d": 86_400, "w": 604_800}[m[2]]
-        return (now - back, now) if 0 < back <= 100 * 366 * 86_400 else None
+        return (now - back, now) if 0 <= back <= 100 * 366 * 86_400 else None
 
     def whole(x: str) -> tuple[int, int] | None:
         m = re.fullmatch(r"(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?", x)
@@ -89,6 +94,19 @@ def date_range(text: str, now: int) -> tuple[int, int] | None:
     return (a[0], b[1]) if a and b and a[0] <= b[1] else None
 
 
+def _is_pattern(value: str) -> bool:
+    """Whether the engine that will run a pattern takes it: Java's where a session is open, else Python's as a guess."""
+    context = SparkContext._active_spark_context
+    try:
+        if context is None:
+            re.compile(value)
+        else:
+            context._jvm.java.util.regex.Pattern.compile(value)
+    except (re.error, Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
 def _atom(token: str, now: int) -> Atom | str:
     """The atom of a token, or what is wrong with it."""
     negated, body = token.startswith("!"), token[token.startswith("!") :]
@@ -96,7 +114,7 @@ def _atom(token: str, now: int) -> Atom | str:
     key, colon, value = body.partition(":")
     key = key.lower() if colon else ""
     low = body.lower()
-    if key == "ext" and (exts := [e for x in value.split(";") if re.fullmatch(r"[\x00-\x7F]{1,8}", e := x.strip(".").lower())]):
+    if key == "ext" and (exts := [e for x in value.split(";") if re.fullmatch(r"[\x00-\x7F]{1,8}", e := x.strip().lower())]):
         return Atom("ext", exts, negated)
     if key == "kind":
         return Atom("kind", names.KIND_NAMES.index(value.lower()) + 1, negated) if value.lower() in names.KIND_NAMES else "kind"
@@ -110,11 +128,7 @@ def _atom(token: str, now: int) -> Atom | str:
     if key == "case":
         return Atom("case", value, negated)
     if key == "regex":
-        try:
-            re.compile(value)
-        except re.error:
-            return "regex"
-        return Atom("regex", value, negated)
+        return Atom("regex", value, negated) if _is_pattern(value) else "regex"
     if not colon and re.search(r"[*?]", low):
         return Atom("glob", low, negated)
     if not colon and ("/" in low or low.startswith("~")):
@@ -123,7 +137,8 @@ def _atom(token: str, now: int) -> Atom | str:
 
 
 def understand(line: str, now: int) -> Search:
-    """Quotes keep blanks and `|` in a token; no parentheses; OR binds tighter than AND."""
+    """Quotes keep blanks and `|` in a token; no parentheses; OR binds tighter than AND. The line is taken in NFC."""
+    line = unicodedata.normalize("NFC", line)
     clauses, problems, joined = [], [], False
     for m in re.finditer(r'\||(?:"[^"]*"?|[^\s|"])+', line):
         if m[0] == "|":

@@ -16,6 +16,7 @@ def _tree(label: str, entries: str) -> str:
     """CTEs `label`: a classified catalog over an entries query."""
     packages, noise, system = _list(names.PACKAGES), _list(names.NOISE), _list(names.SYSTEM)
     exts = " ".join(f"WHEN ext IN {_list(v.split())} THEN {k}" for k, v in names.KIND_EXTENSIONS.items())
+    last = "CASE WHEN contains({0}, '.') THEN lower(string_split({0}, '.')[-1]) ELSE '' END"
     ext = r"lower(regexp_extract({}, '\.([\x00-\x2D\x2F-\x7F]{{1,8}})$', 1))"
     return f"""
 {label}_e AS ({entries}),
@@ -25,10 +26,10 @@ def _tree(label: str, entries: str) -> str:
   SELECT e.*, t.rel_path || '/' || e.name, t.depth + 1, list_append(t.ancestors, t.name) FROM {label}_e e JOIN {label}_t t ON e.parent_id = t.entry_id AND t.is_dir),
 {label}_x AS (SELECT * EXCLUDE (size), CASE WHEN size < 2147483648 THEN size ELSE least(size >> 12, 2147483647) * 4096 END AS size,
   translate(name, '{_A}', '{_Z}') AS folded, {ext.format("name")} AS ext FROM {label}_t),
-{label} AS (SELECT *, CASE WHEN is_dir AND ext = 'app' THEN 2 WHEN is_dir AND ext NOT IN {packages} THEN 1 {exts} ELSE 0 END AS kind,
+{label} AS (SELECT *, CASE WHEN is_dir AND ext = 'app' THEN 2 WHEN is_dir AND {last.format("name")} NOT IN {packages} THEN 1 {exts} ELSE 0 END AS kind,
   starts_with(name, '.') AS hidden,
   len(list_filter(ancestors, lambda a: a IN {noise} OR starts_with(a, '.'))) > 0 OR coalesce(ancestors[1] IN {system}, FALSE) AS noise,
-  len(list_filter(ancestors, lambda a: {ext.format("a")} IN {packages})) > 0 AS in_package, TRUE AS user_area FROM {label}_x)"""
+  len(list_filter(ancestors, lambda a: {last.format("a")} IN {packages})) > 0 AS in_package, TRUE AS user_area FROM {label}_x)"""
 
 
 _ENTRIES = ENTRIES_SQL.replace("{documents}", "documents")
@@ -73,7 +74,7 @@ def _matches(where: str) -> str:
 def _ranked(where: str, points: str, order: str) -> str:
     return f"""{CAT}, hits AS (SELECT entry_id, name, folded, size, mtime, {points} AS score FROM cat WHERE {where}),
       o AS (SELECT *, row_number() OVER (ORDER BY {order}, entry_id) AS rank FROM hits)
-      SELECT rank, entry_id, name, score FROM o WHERE rank <= 200"""
+      SELECT rank, entry_id, name, score, count(*) OVER () AS total, count(*) OVER () AS sorted_count FROM o"""
 
 
 def _age(days: int) -> int:
@@ -147,7 +148,7 @@ def statements() -> dict[str, str]:
         "op_r6_natural_sort": _ranked(doc, "0", NATURAL),
         "op_r7_sort_size": _ranked(doc, "0", "size DESC"),
         "op_r7_sort_modified": _ranked(doc, "0", "mtime"),
-        "op_r8_recent": _ranked(f"{CLEAN} AND kind <> 1", "0", "mtime DESC"),
+        "op_r8_recent": f"SELECT rank, entry_id, name, score FROM ({_ranked(f'{CLEAN} AND kind <> 1', '0', 'mtime DESC')}) r WHERE rank <= 200",
         "op_f17_option_kind": _ranked(f"{doc} AND kind = 4", score("doc"), "score DESC"),
         "op_r1_quality": f"{CAT} SELECT entry_id, " + ", ".join(f"{quality(n)} AS q_{i}" for i, n in enumerate(("doc", "doc-1", "d", "1", "my_doc12"))) + " FROM cat",
         "op_r9_bounded": f"""{CAT}, hits AS (SELECT entry_id, {score("doc")} AS score FROM cat WHERE {doc}),
@@ -164,6 +165,13 @@ def statements() -> dict[str, str]:
             (SELECT count(*) FROM e WHERE parent_id <> 0 AND parent_id NOT IN (SELECT entry_id FROM e WHERE is_dir)) AS no_parent,
             (SELECT count(*) FROM e WHERE name = '' OR contains(name, '/')) AS bad_name,
             (SELECT count(*) FROM (SELECT 1 FROM e GROUP BY parent_id, lower(name) HAVING count(*) > 1)) AS same_name""",
+        "op_e18_explain": f"""{CAT}, r AS (SELECT *, entry_id % 101 = 0 AS closed, entry_id % 103 = 0 AS cloud, {REASON} FROM cat),
+            p AS (SELECT rel_path AS path FROM r UNION ALL SELECT '/Volumes/disk' || rel_path FROM r UNION ALL SELECT rel_path || '/new' FROM r),
+            x AS (SELECT path, rel_path IS NOT NULL AS met, ext, reason, coalesce(closed, FALSE) AS closed, coalesce(cloud, FALSE) AS cloud FROM p LEFT JOIN r ON path = rel_path),
+            t AS (SELECT *, CASE WHEN met AND reason IS NULL AND NOT closed AND NOT cloud THEN 'indexed' WHEN starts_with(path, '/Volumes/') THEN 'volume'
+              WHEN path = '/src1/en' OR starts_with(path, '/src1/en/') OR path = '/src2' OR starts_with(path, '/src2/') THEN 'user excluded' WHEN reason IS NOT NULL THEN reason
+              WHEN closed THEN 'no access' WHEN cloud THEN 'cloud' ELSE 'pending' END AS told FROM x)
+            SELECT path, told, CASE WHEN told = 'file type' THEN ext WHEN told <> 'user excluded' THEN NULL WHEN starts_with(path, '/src2') THEN '/src2' ELSE '/src1/en' END AS detail FROM t""",
         "op_s5_exclusion": f"{CAT} SELECT entry_id, {REASON} FROM cat",
         "op_a2_coverage": f"""{CAT}, r AS (SELECT entry_id, rel_path, {REASON} FROM cat), k AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY entry_id) AS k FROM r WHERE reason IS NOT NULL)
             SELECT reason, count(*) AS n, string_agg(rel_path, ';' ORDER BY k) FILTER (k <= 5) AS examples FROM k GROUP BY reason""",
@@ -202,15 +210,15 @@ def statements() -> dict[str, str]:
             SELECT conv, turn AS ord FROM m WHERE conv NOT IN (SELECT conv FROM forked) UNION ALL SELECT conv, turn FROM walk WHERE conv IN (SELECT conv FROM forked)""",
         "op_m2_multi": f"""{BOTH}, u AS (SELECT 0 AS ix, 'docs' AS source, entry_id, {score("1", "txt")} AS score FROM cat WHERE contains(folded, '1') AND (ext = 'log' OR contains(folded, 'txt'))
             UNION ALL SELECT 1, 'parts', entry_id, {score("1", "txt")} FROM parts WHERE contains(folded, '1') AND (ext = 'log' OR contains(folded, 'txt'))),
-            o AS (SELECT *, row_number() OVER (ORDER BY score DESC, ix, entry_id) AS rank FROM u) SELECT rank, source, entry_id, score FROM o WHERE rank <= 200""",
+            o AS (SELECT *, row_number() OVER (ORDER BY score DESC, ix, entry_id) AS rank FROM u) SELECT rank, source, entry_id, score FROM o""",
         "op_m2_multi_recent": f"""{BOTH}, u AS (SELECT 0 AS ix, 'docs' AS source, entry_id, mtime FROM cat WHERE {CLEAN} AND kind <> 1 UNION ALL SELECT 1, 'parts', entry_id, mtime FROM parts WHERE {CLEAN} AND kind <> 1),
             o AS (SELECT *, row_number() OVER (ORDER BY mtime DESC, ix, entry_id) AS rank FROM u) SELECT rank, source, entry_id FROM o WHERE rank <= 200""",
         "op_m3_supplement": f"""{CAT}, res AS (SELECT entry_id, {score("doc-1")} AS score FROM cat WHERE contains(folded, 'doc-1')),
             h AS (SELECT 100000 + user_id AS entry_id, min(event_type) AS reason FROM events WHERE event_id % 3 IN (0, 2) GROUP BY 1), live AS (SELECT h.* FROM h JOIN cat USING (entry_id))
             SELECT entry_id, 0 AS tier, reason, score FROM res LEFT JOIN live USING (entry_id) UNION ALL SELECT entry_id, 1, reason, 0 FROM live WHERE entry_id NOT IN (SELECT entry_id FROM res)""",
-        "op_m4_additional": f"""{CAT}, {TOPICS[5:]}, u AS (SELECT 'f:' || entry_id AS item, CAST({score("doc-1")} AS DOUBLE) AS key, 0 AS is_topic FROM cat WHERE contains(folded, 'doc-1')
-            UNION ALL SELECT 't:' || topic_id, {_relevance("the")}, 1 FROM topics), o AS (SELECT *, row_number() OVER (ORDER BY key DESC, is_topic, item) AS rank FROM u)
-            SELECT rank, item, key FROM o WHERE rank <= 200""",
+        "op_m4_additional": f"""{CAT}, {TOPICS[5:]}, u AS (SELECT 'f:' || entry_id AS item, entry_id AS id, CAST({score("doc-1")} AS DOUBLE) AS key, 0 AS is_topic FROM cat WHERE contains(folded, 'doc-1')
+            UNION ALL SELECT 't:' || topic_id, NULL, {_relevance("the")}, 1 FROM topics), o AS (SELECT *, row_number() OVER (ORDER BY key DESC, is_topic, id, item) AS rank FROM u)
+            SELECT rank, item, key FROM o""",
         "op_m6_provider_scope": f"{TOPICS} SELECT topic_id, provider FROM topics WHERE provider <> 'west'",
         "op_t1_fold": f"{TOPICS} SELECT topic_id, msg_key, f FROM folded",
         "op_t3_literal_and": f"{TOPICS} {_both_terms('the', 'ing')}",

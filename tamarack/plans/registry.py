@@ -24,8 +24,11 @@ def query(f: Callable) -> Callable:
     return f
 
 
+TOTALS = ("total", "sorted_count")
+
+
 def _search(line: str, columns: tuple = SHOWN, **options) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: search.search(ad.catalog(spark, sf_dir), line, search.Options(now=NOW, **options)).select(*columns)
+    return lambda spark, sf_dir: search.search(ad.catalog(spark, sf_dir), line, search.Options(now=NOW, **options)).select(*columns, *(TOTALS if line else ()))
 
 
 def _ids(line: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -233,7 +236,8 @@ def op_m4_additional(spark, sf_dir):
     o = search.Options(now=NOW)
     files = search.found(ad.catalog(spark, sf_dir), "doc-1", o)
     found = topics.relevance(ad.topics(spark, sf_dir)[0], "the", NOW, normalize=False)
-    return search.top(search.merged_with_topics(files, found, o), [F.desc("key"), F.col("is_topic"), F.col("item")], 200).select("rank", "item", "key")
+    both = search.merged_with_topics(files, found, o)
+    return search.top(both, [F.desc("key"), F.col("is_topic"), F.col("id"), F.col("item")], both.count()).select("rank", "item", "key")
 
 
 @query
@@ -422,6 +426,15 @@ def op_t9_branch(spark, sf_dir):
     return topics.active_branch(rows).select("conv", "ord")
 
 
+@query
+def op_e18_explain(spark, sf_dir):
+    """Why paths are or are not in the index: every entry's, and as many that no scan has met."""
+    judged = _left_out(spark, sf_dir).withColumns({"no_access": F.col("entry_id") % 101 == 0, "cloud": F.col("entry_id") % 103 == 0})
+    paths = judged.select(F.col("rel_path").alias("path"))
+    more = paths.select(F.concat(F.lit("/Volumes/disk"), "path").alias("path")).unionByName(paths.select(F.concat("path", F.lit("/new")).alias("path")))
+    return coverage.explained(paths.unionByName(more), judged, ["/src1/en", "/src2"])
+
+
 @query
 def op_x1_stream(spark, sf_dir):
     """The change feed applied to the catalog as a stream: the files it leaves."""

@@ -21,8 +21,11 @@ _POINTER = "batch long, snapshot string, cursor long"
 
 
 def working_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which executors share; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tamarack-")
+    """A new folder below spark.checkpoint.dir, which executors share; a temporary one where that is unset and Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="tamarack-")
     return f"{base}/feed-{uuid.uuid4().hex}"
 
 
@@ -54,7 +57,8 @@ def apply_batch(batch: DataFrame, number: int, folder: str) -> None:
     new = changes.upserted(spark.read.parquet(snapshot), last.select("path", "event_id", "x.*"), cursor)
     target = f"{folder}/snapshot-{number}"
     new.write.mode("overwrite").parquet(target)
-    _point(spark, folder, number, target, batch.agg(F.max("event_id")).first()[0] or cursor)
+    reached = batch.agg(F.max("event_id")).first()[0]
+    _point(spark, folder, number, target, cursor if reached is None else max(cursor, reached))
 
 
 def follow(feed: DataFrame, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

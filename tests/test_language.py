@@ -89,6 +89,8 @@ def test_ranges():
     assert language.date_range("2024-01", NOW) == (1704067200, 1706745599)
     assert language.date_range("7d", NOW) == (NOW - 604_800, NOW)
     assert language.understand("foo kind:bad", NOW).problems == ["kind: kind:bad"]
+    assert language.size_range(".5mb") == (500_000, 500_000) and language.size_range(">1e3") == (1001, language.MOST) and language.date_range("0d", NOW) == (NOW, NOW)
+    assert language.understand("ext:.pdf", NOW).clauses[0][0].value == [".pdf"] and language.understand("e\u0301", NOW).clauses[0][0].value == "\u00e9"
     assert language.understand("regex:[", NOW).clauses[0][0].value == "regex:["
 
 
@@ -106,3 +108,8 @@ def test_highlights(spark):
     df = spark.createDataFrame([("doc doc-1",), ("",), ("xx",)], "f string")
     got = [[tuple(s) for s in r.h] for r in df.select(present.highlights(F.col("f"), ["doc", "oc-"]).alias("h")).collect()]
     assert got == [[(0, 3), (4, 8)], [], []]
+
+
+def test_patterns_are_judged_by_the_engine_that_runs_them(tree):
+    assert ids(tree, "regex:\\p{Lu}LA") == {18} and language.understand(r"a regex:(?P<a>d)", NOW).problems
+    assert ids(tree, r"md regex:(?P<a>d)") == ids(tree, "md")

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tamarack.operators import catalog, changes, search, topics
+from tamarack.operators import catalog, changes, coverage, search, topics
 from tamarack.sources import listing, transcripts
 from tamarack.streaming import feed
 
@@ -85,3 +85,50 @@ def test_bounded_keeps_all(spark):
     df = spark.range(100).select(F.col("id").alias("entry_id"), (F.col("id") % 7).alias("score"))
     got = search.bounded(df, [F.desc("score"), F.col("entry_id")], 10).collect()
     assert len(got) == 100 and sorted(r.place for r in got if r.place) == list(range(1, 11))
+
+
+def test_deep_folders_and_long_package_names(spark):
+    rows = [(k + 1, k, f"d{k}", True, 0, 0) for k in range(80)] + [(500, 80, "leaf.txt", False, 5, 5), (600, 0, "Foo.FrameWork", True, 0, 0), (601, 600, "in.txt", False, 1, 1), (602, 0, ".app", True, 0, 0), (603, 0, "framework", True, 0, 0)]
+    built = catalog.build(spark.createDataFrame(rows, "entry_id long, parent_id long, name string, is_dir boolean, size long, mtime long"))
+    got = {r.entry_id: r for r in built.collect()}
+    assert len(got) == len(rows) and got[500].depth == 81
+    assert (got[600].kind, got[601].in_package, got[602].kind, got[603].kind) == (0, True, 2, 1)
+
+
+def test_results_tell_total_and_what_is_sorted(spark):
+    rows = spark.range(1, 301).select(F.col("id").alias("entry_id"), (F.col("id") % 7).alias("score"))
+    by = [F.desc("score"), F.col("entry_id")]
+    whole = search.results(rows, by).orderBy("rank").collect()
+    assert [r.entry_id for r in whole] == sorted(range(1, 301), key=lambda i: (-(i % 7), i)) and {(r.total, r.sorted_count) for r in whole} == {(300, 300)}
+    some = search.results(rows, by, full=200, head=10).collect()
+    assert len(some) == 300 and sorted(r.rank for r in some if r.rank) == list(range(1, 11)) and {(r.total, r.sorted_count) for r in some} == {(300, 10)}
+
+
+def test_files_of_equal_score_go_by_id(spark):
+    files = spark.createDataFrame([(i, f"n{i}", 5, 0, 0) for i in (9, 10, 100)], "entry_id long, name string, score long, mtime long, size long")
+    heads = spark.createDataFrame([("x", "t", 5, 0)], "topic_id string, title string, score long, modified long")
+    both = search.merged_with_topics(files, heads, search.Options()).orderBy(F.desc("key"), "is_topic", "id", "item")
+    assert [r.item for r in both.collect()] == ["f:9", "f:10", "f:100", "t:x"]
+    assert search.takes_topics(search.Options()) and not search.takes_topics(search.Options(kind=4)) and search.takes_topics(search.Options(kind=4), alone=True)
+
+
+def test_cursor_never_falls(spark, tmp_path):
+    folder = str(tmp_path / "cat")
+    feed.start_with(spark.createDataFrame([("/a", 1, 1)], "rel_path string, size long, mtime long"), folder)
+    batch = lambda *rows: spark.createDataFrame(rows, feed.CHANGE)
+    feed.apply_batch(batch(("/a", 50, 0, True, 9, 9)), 0, folder)
+    feed.apply_batch(batch(("/a", 20, 0, True, 3, 3)), 1, folder)  # late
+    assert feed.pointer(spark, folder)[2] == 50
+    feed.apply_batch(batch(("/a", 30, 0, False, 0, 0)), 2, folder)
+    assert [tuple(r) for r in feed.current(spark, folder).collect()] == [("/a", 9, 9)]
+
+
+def test_excluded_folders():
+    assert coverage.normalized("/a//b/./c/") == "/a/b/c" and coverage.normalized("a") is None and coverage.normalized("/e\u0301") == "/\u00e9"
+    assert coverage.holds("/", "/x") and coverage.holds("/a", "/a/b") and not coverage.holds("/a", "/ab") and not coverage.holds("a", "/a")
+    assert coverage.with_exclusions(["/a/b", "/c"], ["/a", "/c/d", "x", "/e/"]) == ["/c", "/a", "/e"]
+
+
+def test_merged_examples(spark):
+    parts = spark.createDataFrame([("hidden", 7, 1, "/a;/b;/c;/d;/e"), ("hidden", 1, 2, "/z"), ("package", 2, 2, "/p;/q"), ("package", 1, 1, "/o")], "reason string, n long, part int, examples string")
+    assert {tuple(r) for r in coverage.merged(parts).collect()} == {("hidden", 8, 2, "/a;/b;/c;/d;/e"), ("package", 3, 2, "/o;/p;/q")}
