@@ -269,32 +269,27 @@ def divide_skip(sets: list[np.ndarray], roots: list[int], split: int, percent: i
     holder = np.repeat(np.arange(len(sets))[split:], size[split:])
     order = np.argsort(values, kind="stable")
     values, holder = values[order], holder[order]
-    parent = {r: r for r in roots}
-
-    def find(r: int) -> int:
-        while parent[r] != r:
-            parent[r] = parent[parent[r]]
-            r = parent[r]
-        return r
-
+    group = np.unique(np.asarray(roots), return_inverse=True)[1]
     out = []
     for x in range(first):
+        open_ = group != group[x]  # what is joined to x already needs no link
+        open_[: split if split else x + 1] = False
+        open_ &= (100 * size >= percent * size[x]) & (100 * size[x] >= percent * size)
+        if not open_.any():
+            continue
         lo, hi = np.searchsorted(values, sets[x]), np.searchsorted(values, sets[x], side="right")
-        length = hi - lo
         need = -(-percent * (size[x] + size) // (percent + 100))
-        aside = int(min(np.count_nonzero(length > 32), need.min() - 1, size[x] - 1))
-        by = np.argsort(length)
+        aside = int(min(need[open_].min() - 1, size[x] - 1))
+        by = np.argsort(hi - lo)
         short, long = by[: len(by) - aside], by[len(by) - aside :]
         # heap-merge of the short lists: holders come out in order, equal ones together
-        merged = np.fromiter(heapq.merge(*(holder[a:b].tolist() for a, b in zip(lo[short], hi[short], strict=True) if a < b)), np.int64)
-        count = np.bincount(merged, minlength=len(sets))
-        count[: split if split else x + 1] = 0
-        fits = (100 * size >= percent * size[x]) & (100 * size[x] >= percent * size) & (count > 0) & (count >= need - aside)
-        for y in np.flatnonzero(fits).tolist():
-            if find(roots[x]) != find(roots[y]):
+        lists = [h[open_[h]].tolist() for h in (holder[a:b] for a, b in zip(lo[short], hi[short], strict=True) if a < b)]
+        count = np.bincount(np.fromiter(heapq.merge(*lists), np.int64), minlength=len(sets))
+        for y in np.flatnonzero((count > 0) & (count >= need - aside)).tolist():
+            if group[x] != group[y]:
                 where = np.minimum(np.searchsorted(sets[y], sets[x][long]), size[y] - 1)
                 if count[y] + int((sets[y][where] == sets[x][long]).sum()) >= need[y]:
-                    parent[find(roots[x])] = find(roots[y])
+                    group[group == group[y]] = group[x]
                     out.append((x, y))
     return out
 
