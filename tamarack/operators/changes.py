@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bits of a change's flags.
+MUST_SCAN, USER_DROPPED, KERNEL_DROPPED, IDS_WRAPPED, ROOT_CHANGED = 0x01, 0x02, 0x04, 0x08, 0x20
+_EVENT = "decimal(38,0)"  # an event id, or a batch and an event id
+
+
+def above(path: Column) -> Column:
+    """Paths of all folders that a path lies in, but the root."""
+    parts = F.split(path, "/")
+    ups = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.filter(ups, lambda up: up != path)
+
+
+def lost(root: str = "/") -> Column:
+    """Whether an event (path, flags) says that others are missing: ids wrapped, the root changed, or the root is to be scanned again."""
+    flags = F.col("flags")
+    at_root = (F.col("path") == root) & (flags.bitwiseAND(MUST_SCAN | USER_DROPPED | KERNEL_DROPPED) != 0)
+    return (flags.bitwiseAND(IDS_WRAPPED | ROOT_CHANGED) != 0) | at_root
+
 
 def coalesced(changes: DataFrame) -> DataFrame:
     """One row a path: all flags OR-ed, the last event id."""
@@ -36,10 +54,26 @@ def summary(ops: DataFrame) -> DataFrame:
 
 
 def upserted(catalog: DataFrame, seen: DataFrame, cursor: int = -1) -> DataFrame:
-    """(rel_path, size, mtime): the catalog's files after a batch."""
+    """(rel_path, size, mtime): the catalog's files after a batch (one row a path).
+
+    With a removed path goes all that lay below it before that event.
+    """
     new = seen.where(F.col("event_id") > cursor)
-    kept = catalog.select("rel_path", "size", "mtime").join(new.select(F.col("path").alias("rel_path")), "rel_path", "left_anti")
-    return kept.unionByName(new.where("present").select(F.col("path").alias("rel_path"), "size", "mtime"))
+    old = catalog.select("rel_path", "size", "mtime", F.lit(None).cast(_EVENT).alias("event_id"))
+    old = old.join(new.select(F.col("path").alias("rel_path")), "rel_path", "left_anti")
+    rows = old.unionByName(new.where("present").select(F.col("path").alias("rel_path"), "size", "mtime", F.col("event_id").cast(_EVENT)))
+    gone = new.where("NOT present").select(F.col("path").alias("up"), F.col("event_id").cast(_EVENT).alias("gone"))
+    inside = rows.select("rel_path", "event_id", F.explode(above(F.col("rel_path"))).alias("up")).join(gone, "up")
+    inside = inside.where("event_id IS NULL OR gone > event_id").select("rel_path").distinct()
+    return rows.join(inside, "rel_path", "left_anti").select("rel_path", "size", "mtime")
+
+
+def merged(catalog: DataFrame, roots: DataFrame, listed: DataFrame) -> DataFrame:
+    """(rel_path, size, mtime) after the folders at roots (path) were read again: listed takes the place of all at and below them."""
+    at = outer_roots(roots).select(F.col("path").alias("up"))
+    ups = F.concat(above(F.col("rel_path")), F.array("rel_path"))
+    inside = catalog.select("rel_path", F.explode(ups).alias("up")).join(at, "up", "left_semi").select("rel_path").distinct()
+    return catalog.join(inside, "rel_path", "left_anti").select("rel_path", "size", "mtime").unionByName(listed.select("rel_path", "size", "mtime"))
 
 
 def swept(catalog: DataFrame, removed: DataFrame) -> DataFrame:
@@ -56,14 +90,15 @@ def reconciled(catalog: DataFrame, root: str, touched: DataFrame) -> DataFrame:
 
 def outer_roots(roots: DataFrame) -> DataFrame:
     """Roots (path) that lie below no other root: a root goes when any folder above it is a root too."""
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    inner = roots.select("path", F.explode(above).alias("up")).where("up <> path").join(roots.select(F.col("path").alias("up")), "up", "left_semi")
+    inner = roots.select("path", F.explode(above(F.col("path"))).alias("up")).join(roots.select(F.col("path").alias("up")), "up", "left_semi")
     return roots.join(inner.select("path").distinct(), "path", "left_anti")
 
 
 def inherited(catalog: DataFrame, renamed: DataFrame) -> DataFrame:
-    """catalog with `ancestors` after folders (old top name, new top name) were renamed; flags follow from them."""
-    at = catalog.join(renamed, F.get("ancestors", F.lit(0)) == renamed["old"], "left")
-    moved = F.when(F.col("new").isNotNull(), F.concat(F.array("new"), F.slice("ancestors", 2, 10_000))).otherwise(F.col("ancestors"))
-    return at.withColumn("ancestors", moved).drop("old", "new")
+    """catalog with `ancestors` after folders (old path from the root, new name) were renamed; flags follow from them."""
+    levels = F.transform(F.sequence(F.lit(1), F.size("ancestors")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ancestors", F.lit(1), n), "/").alias("old")))
+    deep = catalog.where(F.size("ancestors") > 0).select("entry_id", F.explode(levels).alias("x")).select("entry_id", "x.n", "x.old")
+    hit = deep.join(renamed.select(F.ltrim(F.col("old"), F.lit("/")).alias("old"), "new"), "old")
+    names = hit.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "new"))).alias("to"))  # a path's levels at most
+    moved = F.transform("ancestors", lambda a, i: F.coalesce(F.try_element_at("to", i + 1), a))
+    return catalog.join(names, "entry_id", "left").withColumn("ancestors", moved).drop("to")

@@ -6,9 +6,11 @@ import posixpath
 import re
 import unicodedata
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import changes
+
 EXAMPLES = 5
 
 
@@ -32,6 +34,22 @@ def reasons(catalog: DataFrame, excluded_paths: list[str], dependency_names: lis
     return catalog.withColumn("reason", reason)
 
 
+def loose_file(folders: list[str]) -> Column:
+    """Whether an entry is a plain file right in one of the folders, such as /System and the user's Library."""
+    parent = F.regexp_replace("rel_path", "/[^/]*$", "")
+    return ~F.col("is_dir") & parent.isin([f.rstrip("/") for f in folders])
+
+
+def entered(catalog: DataFrame, packages: bool = False) -> DataFrame:
+    """What a scan meets that lists packages (unless `packages`) and placeholder folders (cloud, if there) without entering them."""
+    rows = catalog if packages else catalog.where("NOT in_package")
+    if "cloud" not in catalog.columns:
+        return rows
+    closed = catalog.where("is_dir AND cloud").select(F.col("rel_path").alias("up"))
+    inside = rows.select("rel_path", F.explode(changes.above(F.col("rel_path"))).alias("up")).join(closed, "up", "left_semi")
+    return rows.join(inside.select("rel_path").distinct(), "rel_path", "left_anti")
+
+
 def counters(left_out: DataFrame) -> DataFrame:
     """(reason, n, examples): how many entries and the first paths by entry id."""
     first = Window.partitionBy("reason").orderBy("entry_id")

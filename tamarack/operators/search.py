@@ -27,8 +27,16 @@ class Options:
 
 
 def found(catalog: DataFrame, line: str, o: Options) -> DataFrame:
-    """Matching rows with their score (0 unless sorted by relevance)."""
-    search = language.understand(line, o.now)
+    """Matching rows with their score (0 unless sorted by relevance).
+
+    A line with blanks that is the path of an entry is looked for as a whole, which takes one filtered scan to tell.
+    """
+
+    def is_path(path: str) -> bool:
+        path = o.home.rstrip("/") + path[1:] if path.startswith("~") else path
+        return not catalog.where(F.col("rel_path") == (path.rstrip("/") or "/")).limit(1).isEmpty()
+
+    search = language.understand(line, o.now, is_path)
     rows = catalog.where(language.predicate(search, o.home) & (F.col("entry_id") != 0))
     if "deleted" in catalog.columns:
         rows = rows.where("NOT deleted")

@@ -10,8 +10,10 @@ import calendar
 import datetime as dt
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote_to_bytes
 
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
@@ -136,9 +138,32 @@ def _atom(token: str, now: int) -> Atom | str:
     return Atom("name", low, negated, plain)
 
 
-def understand(line: str, now: int) -> Search:
-    """Quotes keep blanks and `|` in a token; no parentheses; OR binds tighter than AND. The line is taken in NFC."""
-    line = unicodedata.normalize("NFC", line)
+def pasted(line: str) -> str:
+    """A pasted path as it is on disk: without its quotes, `file://host`, %-codes, backslashes before blanks and signs, and
+    `:line:column` behind a name with a dot. A line that does not look like a path stays as it is."""
+    text = line.strip()
+    if "/" not in text and not text.startswith(("~", "file:")):
+        return line
+    if m := re.fullmatch(r"""(['"])((?:\\.|(?!\1)[^\\])*)\1""", text, re.DOTALL):
+        text = m[2]
+    if (m := re.fullmatch(r"file://[^/]*(/.*)", text, re.DOTALL)) and not re.search("%(?![0-9A-Fa-f]{2})", m[1]):
+        try:
+            text = unquote_to_bytes(m[1]).decode()
+        except UnicodeDecodeError:
+            pass  # no path in UTF-8: left as it is
+    text = re.sub(r"""\\([ ()'"&;\[\]])""", r"\1", text)
+    m = re.fullmatch(r"(.*?)(?::[0-9]+){1,2}", text, re.DOTALL)
+    return m[1] if m and "." in m[1].rpartition("/")[2] else text
+
+
+def understand(line: str, now: int, is_path: Callable[[str], bool] | None = None) -> Search:
+    """Quotes keep blanks and `|` in a token; no parentheses; OR binds tighter than AND. The line is taken in NFC.
+
+    A whole line with blanks that is_path knows as a path from the root or the home folder is one atom.
+    """
+    line = unicodedata.normalize("NFC", pasted(line))
+    if is_path and re.match("[/~]", line) and re.search(r"\s", line) and is_path(line):
+        return Search([[Atom("path", line.lower())]])
     clauses, problems, joined = [], [], False
     for m in re.finditer(r'\||(?:"[^"]*"?|[^\s|"])+', line):
         if m[0] == "|":

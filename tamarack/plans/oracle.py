@@ -94,7 +94,7 @@ def _matching() -> dict[str, str]:
         "op_p3_or": f"({has('png')} OR {has('swift')}) AND size < 2000000", "op_p4_not": f"{has('doc')} AND kind <> 5", "op_p9_size": "size BETWEEN 100000 AND 700000",
         "op_p10_date": "mtime BETWEEN epoch(TIMESTAMP '2024-01-29') AND epoch(TIMESTAMP '2024-02-05') - 1", "op_p10_ago": f"mtime BETWEEN {_age(3)} AND {NOW}",
         "op_p7_unknown_key": has("foo:doc"), "op_f21_scan": has("my_doc1"), "op_f23_filter": "kind = 7 AND size > 1000000",
-        "op_m1_alternatives": f"{has('doc-1')} OR {has('doc-2')} OR {has('my_doc3')}",
+        "op_m1_alternatives": f"{has('doc-1')} OR {has('doc-2')} OR {has('my_doc3')}", "op_p1_paste": f"contains({path}, '/src3/en/my_doc1')",
     }
 
 
@@ -198,6 +198,25 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT path, size, mtime FROM latest WHERE present""",
         "op_x1_stream": f"""{CAT}, {LATEST} SELECT rel_path, size, mtime FROM cat WHERE NOT is_dir AND rel_path NOT IN (SELECT path FROM latest)
             UNION ALL SELECT path, size, mtime FROM latest WHERE present""",
+        "op_p5_whole_path": f"{BOTH} SELECT entry_id, name FROM parts WHERE contains(lower(rel_path), lower((SELECT min(rel_path) FROM parts WHERE NOT is_dir)))",
+        "op_s6_loose_files": f"{CAT} SELECT entry_id, rel_path FROM cat WHERE NOT is_dir AND regexp_matches(rel_path, '^/(src3/en|src4/de)/[^/]*$')",
+        "op_s8_not_entered": f"""{CAT}, closed AS (SELECT rel_path AS p FROM cat WHERE is_dir AND entry_id % 7 = 0)
+            SELECT entry_id, rel_path FROM cat WHERE NOT in_package AND NOT EXISTS (SELECT 1 FROM closed WHERE starts_with(rel_path, p || '/'))""",
+        "op_s9_descriptors": f"""{TOPICS}, n AS (SELECT *, CAST(topic_id AS INT) AS id FROM topics), d AS (SELECT *, CASE WHEN id % 3 <> 0 THEN topic_id ELSE 'd' || topic_id END AS key FROM n)
+            SELECT key AS topic_id, 'd' || topic_id AS desktop_id, CASE WHEN id % 4 <> 0 AND title <> '' THEN title WHEN id % 2 = 0 AND id % 3 <> 0 THEN 'old ' || topic_id ELSE '' END AS title,
+            '/p/' || provider AS project, CASE WHEN id % 5 <> 0 THEN modified ELSE 1704412800 END AS modified, archived, CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 'said' ELSE '' END AS excerpt FROM d""",
+        "op_s11_threads": f"""{TOPICS}, n AS (SELECT *, CAST(topic_id AS INT) AS id FROM topics) SELECT topic_id, CASE WHEN id % 3 = 0 THEN 'named ' || topic_id ELSE title END AS title,
+            CASE WHEN id % 2 = 0 THEN '/p' ELSE '' END AS project, CASE WHEN id % 4 <> 0 THEN modified ELSE 7 END AS modified, archived, '' AS excerpt, '' AS transcript FROM n WHERE id % 5 <> 0 AND id % 7 <> 0""",
+        "op_s13_headers": f"""{TOPICS}, n AS (SELECT *, CAST(topic_id AS INT) AS id FROM topics) SELECT topic_id, '/p/' || provider AS project,
+            CASE id % 3 WHEN 0 THEN modified - 1 WHEN 1 THEN modified ELSE modified + 2 END AS modified, archived, '/archived_sessions/' || CASE WHEN id % 3 = 0 THEN 1 ELSE 2 END || '/' || topic_id AS transcript
+            FROM n WHERE id % 2 = 0 AND id % 5 <> 0 AND id % 7 <> 0 AND id % 11 <> 0""",
+        "op_s14_sessions": f"""{TOPICS}, n AS (SELECT *, CAST(topic_id AS INT) AS id FROM topics) SELECT topic_id, CASE WHEN id % 2 = 0 THEN 'own title' ELSE title END AS title, '/p' AS project,
+            modified + CASE WHEN id % 2 = 1 THEN 5 ELSE 0 END AS modified, archived FROM n WHERE id % 3 <> 1 AND id % 5 <> 0 AND id % 7 <> 0 AND id % 13 <> 0 AND id % 17 <> 0""",
+        "op_x2_lost": f"""WITH {SEEN} SELECT event_id // 1000 AS part, count(*) AS n, bool_or(event_id % 3000 = 0 OR (path = '/src5/en/my_doc5.TXT' AND flags <> 0)) AS lost FROM seen GROUP BY 1""",
+        "op_x4_merge": f"""{CAT}, f AS (SELECT *, starts_with(rel_path, '/src3/') OR starts_with(rel_path, '/src6/de/') AS again FROM cat WHERE NOT is_dir)
+            SELECT rel_path, size + CASE WHEN again THEN 1 ELSE 0 END AS size, mtime FROM f WHERE NOT again OR entry_id % 3 <> 0""",
+        "op_x10_gap": f"""{CAT}, {LATEST} SELECT rel_path, size, mtime FROM cat WHERE NOT is_dir AND entry_id % 2 = 0 AND rel_path NOT IN (SELECT path FROM latest)
+            UNION ALL SELECT path, size, mtime FROM latest WHERE present""",
         "op_e15_extensions": r"""WITH p AS (SELECT p_partkey, list_filter(list_transform(string_split_regex(concat('..', p_type, ', .', p_brand, ' ', p_name, ',', p_type), '[\s,]+'),
             lambda x: lower(trim(x, '.'))), lambda x: x <> '') AS e FROM part)
             SELECT p_partkey, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), ';') AS exts FROM p""",

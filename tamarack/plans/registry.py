@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, present
 from ..operators import catalog as cat
 from ..operators import changes, coverage, search, topics
+from ..sources import sessions
 from ..streaming import feed
 from . import adapters as ad
 from . import language, oracle
@@ -43,6 +44,7 @@ MATCHES = {
     "op_f11_file_or": "folder:en|file:doc-9", "op_f12_size": "size:>1.5mb", "op_f13_modified": "dm:2024-01-10..2024-01-20", "op_f14_not_ancestor": "doc !node_modules",
     "op_f15_not_path": "my_doc !path:src1/", "op_p3_and": "doc 7 ext:pdf", "op_p3_or": "png|swift size:<2mb", "op_p4_not": "doc !kind:video", "op_p9_size": "size:100kb..700kb",
     "op_p10_date": "dm:week", "op_p10_ago": "dm:3d", "op_p7_unknown_key": "foo:doc", "op_f21_scan": "my_doc1", "op_f23_filter": "kind:code size:>1mb", "op_m1_alternatives": "doc-1|doc-2|my_doc3",
+    "op_p1_paste": "'file://host/src3/en/my%5Fdoc1'",
 }
 RANKED = {
     "op_r3_score": ("doc-1", {}), "op_r4_or_score": ("doc-1|my_doc2", {}), "op_r5_relevance": ("my", {}), "op_r6_natural_sort": ("doc", {"sort": "name", "ascending": True}),
@@ -445,6 +447,109 @@ def op_x1_stream(spark, sf_dir):
     return feed.current(spark, folder)
 
 
+@query
+def op_p5_whole_path(spark, sf_dir):
+    """A quoted path with blanks, that of the first part by name, as a search line."""
+    rows = ad.parts(spark, sf_dir)
+    line = rows.where("NOT is_dir").agg(F.min("rel_path")).first()[0]
+    return search.found(rows, f"'{line}'", search.Options(sort="name", now=NOW)).select("entry_id", "name")
+
+
+@query
+def op_s6_loose_files(spark, sf_dir):
+    return ad.catalog(spark, sf_dir).where(coverage.loose_file(["/src3/en", "/src4/de/"])).select("entry_id", "rel_path")
+
+
+@query
+def op_s8_not_entered(spark, sf_dir):
+    """What a scan meets when every seventh folder is a placeholder."""
+    rows = ad.catalog(spark, sf_dir).withColumn("cloud", F.col("is_dir") & (F.col("entry_id") % 7 == 0))
+    return coverage.entered(rows).select("entry_id", "rel_path")
+
+
+@query
+def op_s9_descriptors(spark, sf_dir):
+    """Conversations as descriptor files; some have no title, and every second was known before."""
+    heads = ad.topics(spark, sf_dir)[0].withColumn("id", F.col("topic_id").cast("int"))
+    fields = {
+        "sessionId": F.concat(F.lit("d"), "topic_id"), "cliSessionId": F.when(F.col("id") % 3 != 0, F.col("topic_id")), "title": F.when(F.col("id") % 4 != 0, F.col("title")),
+        "cwd": F.concat(F.lit("/p/"), "provider"), "lastActivityAt": F.when(F.col("id") % 5 != 0, F.col("modified") * 1000), "createdAt": F.lit("2024-01-05T00:00:00Z"), "isArchived": F.col("archived"),
+    }
+    files = heads.select(F.concat(F.lit("/d/"), "topic_id", F.lit(".json")).alias("file"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("value"))
+    known = heads.where("id % 2 = 0").select("topic_id", F.concat(F.lit("old "), "topic_id").alias("title"), F.lit("/old").alias("project"), F.lit("said").alias("excerpt"))
+    return sessions.descriptors(files, known).select("topic_id", "desktop_id", "title", "project", F.col("modified").cast("long").alias("modified"), "archived", "excerpt")
+
+
+@query
+def op_s11_threads(spark, sf_dir):
+    """Conversations as a thread table without a rollout_path; every fifth is a helper's."""
+    heads = ad.topics(spark, sf_dir)[0].withColumn("id", F.col("topic_id").cast("int"))
+    rows = heads.select(
+        F.col("topic_id").alias("id"), "title", F.when(F.col("id") % 3 == 0, F.concat(F.lit("named\n"), "topic_id")).otherwise(F.lit("")).alias("name"), F.when(F.col("id") % 2 == 0, F.lit("/p")).alias("cwd"),
+        F.when(F.col("id") % 4 != 0, F.col("modified") * 1000).alias("updated_at_ms"), F.lit(7).alias("updated_at"), F.col("archived").cast("int").alias("archived"),
+        F.when(F.col("id") % 5 == 0, F.lit("subagent")).otherwise(F.lit("user")).alias("thread_source"), F.when(F.col("id") % 7 == 0, F.lit("x-guardian")).alias("source"),
+    )
+    return sessions.threads(rows).select("topic_id", "title", "project", F.col("modified").cast("long").alias("modified"), "archived", "excerpt", "transcript")
+
+
+@query
+def op_s13_headers(spark, sf_dir):
+    """First lines of two files for each conversation; metadata know every second topic, and every seventh's text came from elsewhere."""
+    heads = ad.topics(spark, sf_dir)[0].withColumn("id", F.col("topic_id").cast("int"))
+    two = heads.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    source = F.when(F.col("id") % 5 == 0, F.struct(F.lit("x").alias("subagent")))
+    payload = F.struct(F.col("topic_id").alias("id"), F.lit("/cwd").alias("cwd"), source.alias("source"))
+    kind = F.when(F.col("id") % 11 == 0, F.lit("other")).otherwise(F.lit("session_meta"))
+    lines = two.select(F.concat_ws("/", F.lit("/archived_sessions"), "k", "topic_id").alias("file"), F.to_json(F.struct(kind.alias("type"), payload.alias("payload"))).alias("value"), (F.col("modified") + F.col("k") * (F.col("id") % 3 - 1)).cast("double").alias("changed"))
+    known = heads.where("id % 2 = 0").select("topic_id", F.concat(F.lit("/p/"), "provider").alias("project"), "archived")
+    return sessions.headers(lines, known, heads.where("id % 7 = 0")).select("topic_id", "project", F.col("modified").cast("long").alias("modified"), "archived", "transcript")
+
+
+@query
+def op_s14_sessions(spark, sf_dir):
+    """Conversations as sessions of several users; the snapshot names u1."""
+    heads = ad.topics(spark, sf_dir)[0].withColumn("id", F.col("topic_id").cast("int"))
+    user = F.element_at(F.array(F.lit("u1"), F.lit("u2"), F.lit("")), (F.col("id") % 3 + 1).cast("int"))
+    settings = F.when(F.col("id") % 5 == 0, F.lit('{"conversationTags": {"wbQuickAsk": "1"}}')).when(F.col("id") % 7 == 0, F.lit("{broken")).otherwise(F.lit('{"a": [1]}'))
+    rows = heads.select(
+        F.col("topic_id").alias("id"), F.lit("/p").alias("cwd"), user.alias("user_id"), "title", F.when(F.col("id") % 2 == 0, F.lit("own\ntitle")).alias("custom_title"), F.when(F.col("archived"), F.lit("Archived")).alias("status"),
+        (F.col("modified") * 1000).alias("created_at"), F.lit(0).cast("long").alias("updated_at"), ((F.col("modified") + 5) * 1000 * (F.col("id") % 2)).alias("last_activity_at"), F.when(F.col("id") % 13 == 0, F.lit(1)).alias("deleted_at"), settings.alias("session_settings"),
+    )
+    snapshot = f'{{"primary": {{"version": 1, "uid": "u1", "nickname": "n", "type": "t", "savedAt": {NOW * 1000 - 1}}}}}'
+    account = sessions.account(spark.createDataFrame([(snapshot,)], "value string"), NOW)
+    return sessions.sessions(rows, account, heads.where("id % 17 = 0")).select("topic_id", "title", "project", F.col("modified").cast("long").alias("modified"), "archived")
+
+
+@query
+def op_x2_lost(spark, sf_dir):
+    """Changes by thousands: how many, and whether they tell of lost ones; here one path counts as the root."""
+    flags = F.col("flags") + F.when(F.col("event_id") % 3000 == 0, changes.IDS_WRAPPED).otherwise(0)
+    rows = ad.seen(spark, sf_dir).withColumn("flags", flags)
+    return rows.groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(changes.lost("/src5/en/my_doc5.TXT")).alias("lost"))
+
+
+@query
+def op_x4_merge(spark, sf_dir):
+    """Two folders, one in the other, read again: every third file is gone, the others have grown."""
+    rows = ad.catalog(spark, sf_dir).where("NOT is_dir")
+    roots = spark.createDataFrame([("/src3",), ("/src3/en",), ("/src6/de",)], "path string")
+    listed = rows.where("(startswith(rel_path, '/src3/') OR startswith(rel_path, '/src6/de/')) AND entry_id % 3 <> 0").withColumn("size", F.col("size") + 1)
+    return changes.merged(rows, roots, listed)
+
+
+@query
+def op_x10_gap(spark, sf_dir):
+    """A stream whose first events tell of lost ones: all is stored, and applied to a new listing of every second file."""
+    folder = feed.working_folder(spark)
+    files = ad.catalog(spark, sf_dir).where("NOT is_dir")
+    feed.start_with(files, folder)
+    events = spark.readStream.schema(ad.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    rows = spark.sql(ad.SEEN_SQL, events=events).withColumn("flags", F.lit(changes.IDS_WRAPPED))
+    feed.follow(rows, folder, f"{folder}/progress").awaitTermination()
+    feed.rescanned(files.where("entry_id % 2 = 0"), folder, feed.pointer(spark, folder).batch)
+    return feed.current(spark, folder)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranked search: plain word, extension, excluded folder."""
     return _search("doc-1 ext:md;txt !src3")(spark, sf_dir)

@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import names
+
 SCHEMA = "path string, parent string, name string, is_dir boolean, is_link boolean, size bigint, mtime bigint"
+#: Fixed value: the file flag of what has its data elsewhere.
+PLACEHOLDER = 0x40000000
 
 
 class _Part(InputPartition):
@@ -23,31 +27,38 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, depth: int):
-        self.root, self.depth = root.rstrip("/") or "/", depth
+    def __init__(self, root: str, depth: int, packages: bool):
+        self.root, self.depth, self.packages = root.rstrip("/") or "/", depth, packages
+
+    def _scan(self, folder: str) -> Iterator[tuple[os.DirEntry, os.stat_result, bool, bool]]:
+        """Entries of a folder by name, with their data, whether each is a folder, and whether that is entered."""
+        try:
+            found = sorted(os.scandir(folder), key=lambda x: x.name)
+        except OSError:
+            return  # no access: its absence shows in coverage
+        for x in found:
+            try:
+                info, is_dir = x.stat(follow_symlinks=False), x.is_dir(follow_symlinks=False)
+            except OSError:
+                continue  # gone since the folder was read
+            package = "." in x.name and x.name.rpartition(".")[2].lower() in names.PACKAGES
+            yield x, info, is_dir, is_dir and (self.packages or not package) and not getattr(info, "st_flags", 0) & PLACEHOLDER
 
     def partitions(self) -> list[_Part]:
         """Upper folders are listed flat; those `depth` levels down with all below them."""
         parts, level = [], [self.root]
         for _ in range(self.depth):
             parts += [_Part(f, False) for f in level]
-            level = [x.path for f in level for x in os.scandir(f) if x.is_dir(follow_symlinks=False)]
+            level = [x.path for f in level for x, _, _, entered in self._scan(f) if entered]
         return parts + [_Part(f, True) for f in level]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         waiting = [partition.folder]
         while waiting:
-            folder = waiting.pop()
-            try:
-                found = sorted(os.scandir(folder), key=lambda x: x.name)
-            except OSError:
-                continue  # no access: its absence shows in coverage
-            for x in found:
-                info = x.stat(follow_symlinks=False)
-                is_dir = x.is_dir(follow_symlinks=False)
+            for x, info, is_dir, entered in self._scan(waiting.pop()):
                 rel = "/" + os.path.relpath(x.path, self.root)
                 yield rel, os.path.dirname(rel), unicodedata.normalize("NFC", x.name), is_dir, x.is_symlink(), 0 if is_dir else info.st_size, int(info.st_mtime)
-                if is_dir and partition.deep:
+                if entered and partition.deep:
                     waiting.append(x.path)
 
 
@@ -60,12 +71,13 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("split_depth", "1")))
+        return _Reader(self.options["path"], int(self.options.get("split_depth", "1")), self.options.get("packages", "false") == "true")
 
 
-def listing(spark: SparkSession, root: str, split_depth: int = 1) -> DataFrame:
+def listing(spark: SparkSession, root: str, split_depth: int = 1, packages: bool = False) -> DataFrame:
+    """All below root. Packages (unless `packages`) and folders that are only placeholders are listed but not entered."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("tree").option("split_depth", str(split_depth)).load(root)
+    return spark.read.format("tree").options(split_depth=str(split_depth), packages=str(packages).lower()).load(root)
 
 
 def as_entries(listed: DataFrame) -> DataFrame:

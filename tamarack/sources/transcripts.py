@@ -11,16 +11,16 @@ from ..operators import topics
 _RECORD = "struct<type:string,isMeta:boolean,cwd:string,timestamp:string,message:struct<content:string>>"
 
 
-def messages(lines: DataFrame) -> DataFrame:
+def messages(lines: DataFrame, key: Column | None = None) -> DataFrame:
     """(topic_id, msg_key, body, project, at) of lines (value, file): visible user and assistant texts.
 
     A line that is no whole JSON record gives nothing, as when the last line is still being written.
-    The key of a message is a hash of its line, so reading a file again gives the same keys.
+    The key of a message, unless given, is a hash of its line, so reading a file again gives the same keys.
     """
     r = F.from_json("value", _RECORD)
-    rows = lines.select("file", "value", r.alias("r"))
+    rows = lines.select("file", (F.xxhash64("value") if key is None else key).alias("msg_key"), r.alias("r"))
     body = topics.visible_text(F.col("r.type"), F.col("r.isMeta"), F.col("r.message.content"))
-    out = rows.select(topic_of(F.col("file")).alias("topic_id"), F.xxhash64("value").alias("msg_key"), body.alias("body"), F.col("r.cwd").alias("project"), topics.seconds(F.col("r.timestamp")).alias("at"))
+    out = rows.select(topic_of(F.col("file")).alias("topic_id"), "msg_key", body.alias("body"), F.col("r.cwd").alias("project"), topics.seconds(F.col("r.timestamp")).alias("at"))
     return out.where("body IS NOT NULL AND body <> ''")
 
 
