@@ -125,4 +125,4 @@ def test_whole_paths(spark):
     built = catalog.build(spark.createDataFrame(rows, "entry_id long, parent_id long, name string, is_dir boolean, size long, mtime long"))
     ids = lambda text, **o: {r.entry_id for r in search.found(built, text, search.Options(**o)).collect()}
     assert ids("/my dir/a b.txt") == {2} and ids("'/my dir'") == {1, 2, 3} and ids("~/a b.txt", home="/my dir") == {2}
-    assert ids("/my dir|c.txt") == {3} and ids("/my c.txt") == {3}  # no paths of entries: words and paths
+    assert ids("/my dir|c.txt") == {1, 3} and ids("/my c.txt") == {3}  # no paths of entries: words and paths
