@@ -14,10 +14,21 @@ from . import changes
 EXAMPLES = 5
 
 
+def _last_part(name: str) -> Column:
+    """What follows a name's last dot, in small letters; empty without a dot."""
+    return F.when(F.col(name).contains("."), F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
+
+
+def _forms(exts: list[str]) -> list[str]:
+    """Extensions in small letters, composed and decomposed, as names may hold either."""
+    return sorted({unicodedata.normalize(form, e.lower()) for e in exts for form in ("NFC", "NFD")})
+
+
 def reasons(catalog: DataFrame, excluded_paths: list[str], dependency_names: list[str], excluded_exts: list[str], hidden_ok: bool = False) -> DataFrame:
     """catalog and `reason`, the first rule that leaves an entry out, null where none does.
 
-    Order of rules: the user's paths, hidden names, dependency folders, package insides, file types.
+    Order of rules: the user's paths, hidden names, dependency folders, package insides, file types (of any
+    length and script).
     """
     path = F.col("rel_path")
     own = F.lit(False)
@@ -29,7 +40,7 @@ def reasons(catalog: DataFrame, excluded_paths: list[str], dependency_names: lis
         .when(F.lit(not hidden_ok) & F.col("hidden"), F.lit("hidden"))
         .when(inside, F.lit("dependency"))
         .when(F.col("in_package"), F.lit("package"))
-        .when(~F.col("is_dir") & F.col("ext").isin(excluded_exts), F.lit("file type"))
+        .when(~F.col("is_dir") & _last_part("name").isin(_forms(excluded_exts)), F.lit("file type"))
     )
     return catalog.withColumn("reason", reason)
 
@@ -98,14 +109,14 @@ def with_exclusions(existing: list[str], new: list[str]) -> list[str]:
 def explained(paths: DataFrame, judged: DataFrame, excluded_paths: list[str], root: str = "/") -> DataFrame:
     """(path, told, detail): why each path is or is not in the index.
 
-    judged: what a scan met, as `reasons` gives it (rel_path, ext, reason), and, if it has them, no_access and
+    judged: what a scan met, as `reasons` gives it (rel_path, reason), and, if it has them, no_access and
     cloud (boolean). The first of these holds: indexed, volume (below /Volumes, unless the root is one),
     excluded by the user (detail: the folder), file type (detail: the extension), another reason of the scan,
     no access, cloud, and pending for what no scan has met.
     """
     path = F.col("path")
     flags = {c: F.col(c) if c in judged.columns else F.lit(False) for c in ("no_access", "cloud")}
-    known = judged.select(F.col("rel_path").alias("met"), "ext", "reason", *[x.alias(c) for c, x in flags.items()])
+    known = judged.select(F.col("rel_path").alias("met"), "reason", *[x.alias(c) for c, x in flags.items()])
     own = F.lit(None).cast("string")
     for p in reversed(excluded_paths):
         own = F.when((path == p) | path.startswith(p.rstrip("/") + "/"), F.lit(p)).otherwise(own)
@@ -121,5 +132,5 @@ def explained(paths: DataFrame, judged: DataFrame, excluded_paths: list[str], ro
         .when(F.coalesce("cloud", F.lit(False)), "cloud")
         .otherwise("pending")
     )
-    detail = F.when(F.col("told") == "user excluded", own).when(F.col("told") == "file type", F.col("ext"))
+    detail = F.when(F.col("told") == "user excluded", own).when(F.col("told") == "file type", _last_part("met"))
     return paths.join(known, paths["path"] == known["met"], "left").withColumn("told", told).select("path", "told", detail.alias("detail"))

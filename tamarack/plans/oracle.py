@@ -94,7 +94,7 @@ def _matching() -> dict[str, str]:
         "op_p3_or": f"({has('png')} OR {has('swift')}) AND size < 2000000", "op_p4_not": f"{has('doc')} AND kind <> 5", "op_p9_size": "size BETWEEN 100000 AND 700000",
         "op_p10_date": "mtime BETWEEN epoch(TIMESTAMP '2024-01-29') AND epoch(TIMESTAMP '2024-02-05') - 1", "op_p10_ago": f"mtime BETWEEN {_age(3)} AND {NOW}",
         "op_p7_unknown_key": has("foo:doc"), "op_f21_scan": has("my_doc1"), "op_f23_filter": "kind = 7 AND size > 1000000",
-        "op_m1_alternatives": f"{has('doc-1')} OR {has('doc-2')} OR {has('my_doc3')}", "op_p1_paste": f"contains({path}, '/src3/en/my_doc1')",
+        "op_m1_alternatives": f"{has('doc-1')} OR {has('doc-2')} OR {has('my_doc3')}", "op_p1_paste": f"contains({path}, '/src3/en/')",
     }
 
 

@@ -44,7 +44,7 @@ MATCHES = {
     "op_f11_file_or": "folder:en|file:doc-9", "op_f12_size": "size:>1.5mb", "op_f13_modified": "dm:2024-01-10..2024-01-20", "op_f14_not_ancestor": "doc !node_modules",
     "op_f15_not_path": "my_doc !path:src1/", "op_p3_and": "doc 7 ext:pdf", "op_p3_or": "png|swift size:<2mb", "op_p4_not": "doc !kind:video", "op_p9_size": "size:100kb..700kb",
     "op_p10_date": "dm:week", "op_p10_ago": "dm:3d", "op_p7_unknown_key": "foo:doc", "op_f21_scan": "my_doc1", "op_f23_filter": "kind:code size:>1mb", "op_m1_alternatives": "doc-1|doc-2|my_doc3",
-    "op_p1_paste": "'file://host/src3/en/my%5Fdoc1'",
+    "op_p1_paste": "'file://host/src3%2Fen/'",
 }
 RANKED = {
     "op_r3_score": ("doc-1", {}), "op_r4_or_score": ("doc-1|my_doc2", {}), "op_r5_relevance": ("my", {}), "op_r6_natural_sort": ("doc", {"sort": "name", "ascending": True}),

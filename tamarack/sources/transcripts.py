@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import topics
 
 #: What is used of a record; content stays text because it is a string or an array.
-_RECORD = "struct<type:string,isMeta:boolean,cwd:string,timestamp:string,message:struct<content:string>>"
+_RECORD = "struct<type:string,isMeta:boolean,cwd:string,timestamp:string,customTitle:string,aiTitle:string,message:struct<content:string>>"
 
 
 def messages(lines: DataFrame, key: Column | None = None) -> DataFrame:
@@ -24,6 +24,22 @@ def messages(lines: DataFrame, key: Column | None = None) -> DataFrame:
     return out.where("body IS NOT NULL AND body <> ''")
 
 
+def heads(lines: DataFrame) -> DataFrame:
+    """(topic_id, title, project, excerpt) of lines (file, value, offset).
+
+    The title is the last one given to the conversation, else the first user text's 120 characters; the project is the
+    first folder named, the excerpt the first message's 220 characters. What is not there is empty.
+    """
+    rows = lines.select(topic_of(F.col("file")).alias("topic_id"), "offset", F.from_json("value", _RECORD).alias("r"))
+    body = F.nullif(topics.visible_text(F.col("r.type"), F.col("r.isMeta"), F.col("r.message.content")), F.lit(""))
+    given = F.nullif(F.coalesce("r.customTitle", "r.aiTitle"), F.lit(""))
+    rows = rows.select("topic_id", "offset", body.alias("body"), given.alias("given"), F.when(F.col("r.type") == "user", F.substring(body, 1, 120)).alias("asked"), F.nullif("r.cwd", F.lit("")).alias("cwd"))
+    first = lambda c, n=None: F.min_by(F.substring(c, 1, n) if n else F.col(c), F.when(F.col(c).isNotNull(), F.col("offset")))
+    last = F.max_by("given", F.when(F.col("given").isNotNull(), F.col("offset")))
+    title = F.coalesce(last, F.replace(first("asked"), F.lit("\n"), F.lit(" ")), F.lit(""))
+    return rows.groupBy("topic_id").agg(title.alias("title"), F.coalesce(first("cwd"), F.lit("")).alias("project"), F.coalesce(first("body", 220), F.lit("")).alias("excerpt"))
+
+
 def topic_of(file: Column) -> Column:
     return F.regexp_extract(file, r"([^/]+)\.jsonl$", 1)
 

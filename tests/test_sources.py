@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from tamarack.operators import catalog, changes, search
+from tamarack.operators import catalog, changes, coverage, search
 from tamarack.plans import language
 from tamarack.sources import listing, sessions, tails, transcripts
 from tamarack.streaming import feed
@@ -21,6 +21,16 @@ def test_packages_are_listed_but_not_entered(spark, tmp_path):
     assert everything == paths | {"/a/B.app/inside", "/a/B.app/inside/x.txt", "/C.Framework/Versions"}
 
 
+def test_file_types_of_any_length_and_script(spark):
+    names = ["a.PHOTOSLIBRARYX", "b.\u00c9t\u00e9", "c.E\u0301te\u0301", "d.txt", "photoslibraryx", "e.tar.gz"]
+    rows = [(i, 0, n, False, 1, 1) for i, n in enumerate(names, 1)]
+    built = catalog.build(spark.createDataFrame(rows, "entry_id long, parent_id long, name string, is_dir boolean, size long, mtime long"))
+    left = coverage.reasons(built, [], [], ["photoslibraryx", "\u00e9t\u00e9", "GZ"])
+    assert {r.entry_id for r in left.where("reason = 'file type'").collect()} == {1, 2, 3, 6}
+    told = coverage.explained(left.selectExpr("rel_path AS path"), left, [])
+    assert {r.detail for r in told.where("told = 'file type'").collect()} == {"photoslibraryx", "\u00e9t\u00e9", "e\u0301te\u0301", "gz"}
+
+
 def line(text, kind="user"):
     return json.dumps({"type": kind, "message": {"content": text}}) + "\n"
 
@@ -49,6 +59,14 @@ def test_tails_of_growing_files(spark, tmp_path):
     assert step(4) == (4, [("t1", "ONE"), ("t1", "zwei é"), ("t1", "three"), ("t1", "four"), ("t2", "other")])
 
 
+def test_heads_of_transcripts(spark):
+    records = [("a", {"type": "assistant", "message": {"content": "x" * 300}}), ("a", {"type": "user", "cwd": "/p", "message": {"content": "first\n" + "y" * 200}}), ("a", {"cwd": "/q", "aiTitle": ""})]
+    records += [("b", {"type": "user", "message": {"content": "ask"}}), ("b", {"aiTitle": "one"}), ("b", {"customTitle": "two", "aiTitle": "three"}), ("c", "no json")]
+    rows = [(f"/d/{k}.jsonl", json.dumps(r), i) for i, (k, r) in enumerate(records)]
+    got = transcripts.heads(spark.createDataFrame(rows, "file string, value string, offset long"))
+    assert {tuple(r) for r in got.collect()} == {("a", "first " + "y" * 114, "/p", "x" * 220), ("b", "two", "", "ask"), ("c", "", "", "")}
+
+
 def test_first_lines_and_headers(spark, tmp_path):
     meta = {"type": "session_meta", "payload": {"id": "s1", "cwd": "/p", "source": "cli"}}
     (tmp_path / "a").mkdir()
