@@ -77,3 +77,14 @@ links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.
 sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, root FROM reach JOIN sides ON a = node)
 SELECT node AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM reach LEFT JOIN sizes ON doc_id = node GROUP BY node"""
+
+
+def substring_dedup_sql(window: int = 13) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT r, doc_id, k, array_to_string(w[k:k + {window} - 1], ' ') AS x FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {window} + 2)) AS k FROM d WHERE len(w) >= {window}) s),
+firsts AS (SELECT x, min(doc_id) AS least FROM grams GROUP BY x),
+gone AS (SELECT r, list(DISTINCT p) AS places FROM (SELECT r, unnest(range(k, k + {window})) AS p FROM grams JOIN firsts USING (x) WHERE least < doc_id) g GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)"""

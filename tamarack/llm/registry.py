@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, licenses, mixing, ngram_join, oracle, pii, secrets, suffix_dedup, token_counts, toxicity
+from . import decontaminate, fingerprints, licenses, mixing, ngram_join, oracle, pii, secrets, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_licenses": licenses.op8_licenses,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secrets.op10_secrets,
+        "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql():
         "op8_licenses": oracle.licenses_sql(),
         "op9_decontaminate": oracle.decontaminate_sql(),
         "op10_secrets": oracle.secrets_sql(),
+        "op11_substring_dedup": oracle.substring_dedup_sql(),
     }
