@@ -88,3 +88,37 @@ gone AS (SELECT r, list(DISTINCT p) AS places FROM (SELECT r, unnest(range(k, k
 SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
   sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)"""
+
+
+def collocations_sql(longest: int = 4, least: int = 30, top: int = 2000, absorbed: int = 80) -> str:
+    return rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, m, array_to_string(w[k:k + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM w, range(1, {longest} + 1) s(m) WHERE len(w) >= m) g),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {least}),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS v FROM f WHERE m > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a::HUGEINT + y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(v[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(v[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a, array_to_string(v[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, a, v, size, unnest(range(1, m - size + 2)) AS i FROM c, range(2, {longest}) s(size) WHERE size < m) s),
+gone AS (SELECT lang, phrase FROM c JOIN (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL) i USING (lang, phrase) WHERE 100::HUGEINT * longer >= {absorbed}::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN gone USING (lang, phrase)) b JOIN totals USING (lang)
+WHERE rank <= {top}"""
+
+
+def lexical_search_sql(k: int = 10) -> str:
+    terms = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {terms} AS w FROM benchmark),
+sizes AS (SELECT count(*) FILTER (len(w) > 0) AS N, sum(len(w))::BIGINT AS L FROM d),
+wanted AS (SELECT DISTINCT q, item_id, unnest(w) AS t FROM b),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) s SEMI JOIN wanted USING (t) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, sizes GROUP BY t, N),
+norms AS (SELECT r, doc_id, 10 + (90 * len(w) * N) // L AS m FROM d, sizes WHERE len(w) > 0),
+scores AS (SELECT q, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM wanted JOIN tf USING (t) JOIN weights USING (t) JOIN norms USING (r) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) s WHERE rank <= {k}"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, licenses, mixing, ngram_join, oracle, pii, secrets, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import collocations, decontaminate, fingerprints, lexical_search, licenses, mixing, ngram_join, oracle, pii, secrets, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_secrets": secrets.op10_secrets,
         "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
 
@@ -29,4 +31,6 @@ def oracle_sql():
         "op9_decontaminate": oracle.decontaminate_sql(),
         "op10_secrets": oracle.secrets_sql(),
         "op11_substring_dedup": oracle.substring_dedup_sql(),
+        "op12_collocations": oracle.collocations_sql(),
+        "op13_lexical_search": oracle.lexical_search_sql(),
     }
