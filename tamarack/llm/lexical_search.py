@@ -116,14 +116,14 @@ def document_counts(docs: DataFrame, wanted) -> DataFrame:
 class _Best:
     """The best documents of each item so far: highest score first, then least id, documents without id last."""
 
-    def __init__(self, items: int, k: int):
-        self.k, self.floor = k, np.ones(items, np.int64)
+    def __init__(self, items: int, k: int, pool: int = POOL):
+        self.k, self.pool, self.floor = k, pool, np.ones(items, np.int64)
         self.rows = np.zeros((4, 0), np.int64)  # item, score, whether without id, id
 
     def add(self, scores: np.ndarray, ids: np.ndarray, no_id: np.ndarray) -> None:
         doc, item = np.nonzero(scores >= self.floor)
         self.rows = np.hstack([self.rows, np.stack([item, scores[doc, item], no_id[doc], ids[doc]])])
-        if self.rows.shape[1] > POOL:
+        if self.rows.shape[1] > self.pool:
             self.cut()
 
     def cut(self) -> np.ndarray:
@@ -136,7 +136,7 @@ class _Best:
         return self.rows
 
 
-def scored(docs: DataFrame, wanted, k: int) -> DataFrame:
+def scored(docs: DataFrame, wanted, k: int, cells: int = CELLS) -> DataFrame:
     """(key, doc_id, score): for each task the best k documents of each item of a broadcast block."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,21 +147,21 @@ def scored(docs: DataFrame, wanted, k: int) -> DataFrame:
             for rows, n, doc, term, tf in _counted(batch, block):
                 m = np.array([10 + 90 * x * block.documents // block.total for x in n.tolist()], np.int64)
                 share = block.weights[term] * (1_000_000_000 * tf // (1000 * tf + 8 * m[doc]))
-                step = max(1, CELLS // items)
+                step = max(1, cells // items)
                 for a in range(0, len(rows), step):
                     x, y = np.searchsorted(doc, [a, a + step])
                     each = block.first[term[x:y] + 1] - block.first[term[x:y]]
                     place = np.repeat(block.first[term[x:y]] - np.cumsum(each) + each, each) + np.arange(each.sum())
-                    cells = np.zeros(min(step, len(rows) - a) * items, np.int64)
-                    np.add.at(cells, np.repeat((doc[x:y] - a) * items, each) + block.items[place], np.repeat(share[x:y], each))
-                    best.add(cells.reshape(-1, items), ids[rows[a : a + step]], no_id[rows[a : a + step]])
+                    sums = np.zeros(min(step, len(rows) - a) * items, np.int64)
+                    np.add.at(sums, np.repeat((doc[x:y] - a) * items, each) + block.items[place], np.repeat(share[x:y], each))
+                    best.add(sums.reshape(-1, items), ids[rows[a : a + step]], no_id[rows[a : a + step]])
         item, score, without, doc_id = best.cut()
         yield pa.RecordBatch.from_arrays([pa.array(block.keys[item]), pa.array(doc_id, mask=without.astype(bool)), pa.array(score)], ["key", "doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "key long, doc_id long, score long")
 
 
-def ranked(docs: DataFrame, items: DataFrame, k: int = BEST, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def ranked(docs: DataFrame, items: DataFrame, k: int = BEST, item_bytes: int = ITEM_BYTES, cells: int = CELLS) -> DataFrame:
     """(item_id, rank int, doc_id long, score long): the k best documents of each row of items.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. Null and empty texts have no
@@ -183,7 +183,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = BEST, item_bytes: int = I
             counts = document_counts(docs, spark.sparkContext.broadcast(wanted)).collect()  # a row for each term of the block
             if not (counts := {r.term: r.n for r in counts}).get(-1):
                 break
-            some = scored(docs, spark.sparkContext.broadcast(wanted.weighted(counts)), k)
+            some = scored(docs, spark.sparkContext.broadcast(wanted.weighted(counts)), k, cells)
             found = some if found is None else found.unionByName(some)
         if found is None:
             return cut(rows.limit(0).selectExpr("item_id", "0 AS rank", "0L AS doc_id", "0L AS score"))
