@@ -21,8 +21,10 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Other columns travel in a struct, so their names cannot clash with score."""
+    columns, docs = docs.columns, storage.packed(docs, ["doc_id", "text"])
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out(F.col("doc_id")))
-    return toxicity.score(docs, toxicity.learn(docs, labels)).where("score < 0.5").drop("score")
+    return storage.unpacked(toxicity.score(docs, toxicity.learn(docs, labels)).where("score < 0.5"), columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars, where there is one, follows the masked text."""
+    columns, docs = docs.columns, storage.packed(docs, ["doc_id", "text", "n_chars"])
     found = secrets.find_secrets(docs).withColumn("text", secrets.redacted(F.col("text"), F.col("findings")))
-    return found.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    if "n_chars" in columns:
+        found = found.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return storage.unpacked(found, columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

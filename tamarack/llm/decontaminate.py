@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .storage import Stash, cut, kept
+from .storage import Stash, cut, kept, unused
 
 WINDOW = 10
 #: About so many bytes of text form a block of the index; a longer text is a block of its own.
@@ -222,16 +222,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
     """
     if clash := {"n_words", "n_hit", "items", "digest"} & {*docs.columns}:
         raise ValueError(f"documents already have columns {sorted(clash)}")
-    told = judged(docs, benchmark, size, block_bytes).dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("digest", "_digest")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (digest(F.col("text")) == F.col("_digest"))
-    return docs.join(told, same).select(*docs.columns, "n_words", "n_hit", "items")
+    of, by = unused(docs, "_doc_id", "_digest")
+    told = judged(docs, benchmark, size, block_bytes).dropDuplicates(["doc_id", "digest"]).withColumnsRenamed({"doc_id": of, "digest": by})
+    return docs.join(told, _same(of, by)).select(*docs.columns, "n_words", "n_hit", "items")
+
+
+def _same(of: str, by: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(of)) & (digest(F.col("text")) == F.col(by))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of docs that hold no window of any item, all columns."""
-    hit = judged(docs.select("doc_id", "text"), benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_doc_id"), F.col("digest").alias("_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (digest(F.col("text")) == F.col("_digest"))
-    return docs.join(kept(hit), same, "left_anti")  # whether texts are shuffled depends on how many are hit
+    """The rows of docs that hold no window of any item, all columns, whatever their names."""
+    of, by = unused(docs, "_doc_id", "_digest")
+    hit = judged(docs.select("doc_id", "text"), benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias(of), F.col("digest").alias(by))
+    return docs.join(kept(hit), _same(of, by), "left_anti")  # whether texts are shuffled depends on how many are hit
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

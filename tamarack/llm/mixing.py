@@ -17,19 +17,29 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Default weights are shares of about so many slots.
-SHARES = 1000
+from .storage import packed, unpacked, unused
+
+#: Default weights are shares of about so many slots, and of at least so many for each source.
+SHARES, PER_SOURCE = 1000, 16
+#: Columns that `mix` adds.
+ADDED = ("slot", "block", "place", "release", "deadline")
+#: The schedule is put together from pieces of so many slots.
+PIECE = 512
 BLOCK = 16
 BUCKET_ROWS = 10_000
 
 
 def sqrt_weights(docs: DataFrame, shares: int = SHARES) -> DataFrame:
-    """(source, weight long): the square root of each source's row count as whole parts of about `shares`, one at least."""
+    """(source, weight long): the square root of each source's row count as whole parts of about `shares`, one at least.
+
+    With many sources there are PER_SOURCE times as many parts as sources, so that rounding never levels them.
+    """
     size = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).count()
     size = size.select("source", F.floor(F.sqrt("count") * 1000).alias("root"))
-    total = F.sum("root").over(Window.partitionBy(F.lit(0)))  # one row for each source
-    part = F.expr(f"(2 * {shares} * root + total) div (2 * total)")
-    return size.withColumn("total", total).select("source", F.greatest(F.lit(1).cast("long"), part).alias("weight"))
+    every = Window.partitionBy(F.lit(0))  # one row for each source
+    size = size.withColumns({"total": F.sum("root").over(every), "parts": F.greatest(F.lit(shares).cast("long"), PER_SOURCE * F.count(F.lit(1)).over(every))})
+    part = F.expr("(2 * parts * root + total) div (2 * total)")
+    return size.select("source", F.greatest(F.lit(1).cast("long"), part).alias("weight"))
 
 
 def schedule(weights: DataFrame, slots: int) -> DataFrame:
@@ -40,11 +50,14 @@ def schedule(weights: DataFrame, slots: int) -> DataFrame:
     tasks = weights.agg(F.sort_array(F.collect_list(F.struct("source", "weight"))).alias("tasks"), F.sum("weight").alias("total"))  # one entry a source
     due = """array_min(transform(s.done, (a, i) -> IF(a * total div tasks[i].weight <= t,
         named_struct('due', ((a + 1) * total + tasks[i].weight - 1) div tasks[i].weight, 'i', i), NULL))).i"""
-    picks = f"""aggregate(sequence(0L, {slots - 1}L),
-        named_struct('done', transform(tasks, x -> 0L), 'picks', CAST(array() AS ARRAY<INT>)),
+    piece = f"""aggregate(sequence(c, least(c + {PIECE}L, {slots}L) - 1),
+        named_struct('done', all.done, 'picks', CAST(array() AS ARRAY<INT>)),
         (s, t) -> element_at(transform(array({due}), p -> named_struct(
-            'done', transform(s.done, (a, i) -> IF(i = p, a + 1, a)), 'picks', concat(s.picks, array(p)))), 1),
-        s -> s.picks)"""
+            'done', transform(s.done, (a, i) -> IF(i = p, a + 1, a)), 'picks', concat(s.picks, array(p)))), 1))"""
+    picks = f"""aggregate(sequence(0L, {slots - 1}L, {PIECE}L),
+        named_struct('done', transform(tasks, x -> 0L), 'picks', CAST(array() AS ARRAY<ARRAY<INT>>)),
+        (all, c) -> element_at(transform(array({piece}), r -> named_struct('done', r.done, 'picks', concat(all.picks, array(r.picks)))), 1),
+        all -> flatten(all.picks))"""
     rows = tasks.select("tasks", F.posexplode(F.expr(picks)).alias("slot", "pick"))
     rows = rows.select("slot", F.col("tasks")[F.col("pick")]["source"].alias("source"))
     k = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1  # `slots` rows at most
@@ -77,10 +90,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -
     below 1 and a source with two weights are errors. Sorting by (slot, place) gives the mixed order: a
     slot is one block of `block` rows of one source. A source that has no blocks left leaves its slots
     empty. Null and empty source names are one source; rows with equal doc_id follow each other; no
-    rows give no rows. Clashing column names are refused.
+    rows give no rows. An added column whose name docs has already gets an underscore before it.
     """
-    if clash := {"slot", "block", "place", "release", "deadline", "nth", "weight", "total", "k", "mix_source", "mix_key", "mix_bucket", "mix_base"} & {*docs.columns}:
-        raise ValueError(f"documents already have columns {sorted(clash)}")
+    columns, added = docs.columns, unused(docs, *ADDED)
+    docs = packed(docs, ["doc_id", "source"])
     spark = docs.sparkSession
     weights = sqrt_weights(docs) if weights is None else weights.select(F.coalesce("source", F.lit("")).alias("source"), F.col("weight").cast("long").alias("weight"))
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).count()
@@ -101,7 +114,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -
         "release": F.expr(f"block * {total} div weight"),
         "deadline": F.expr(f"((block + 1) * {total} + weight - 1) div weight"),
     })
-    return out.select(*docs.columns, "slot", "block", "place", "release", "deadline")
+    out = out.select(*docs.columns, F.struct(*ADDED).alias("_mix"))
+    return unpacked(out, columns, also=[F.col("_mix")[c].alias(name) for c, name in zip(ADDED, added, strict=True)])
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
@@ -115,7 +129,7 @@ def mix_sql(table: str, columns: str, shares: int = SHARES, block: int = BLOCK)
     return f"""
 WITH RECURSIVE mix_docs AS (SELECT *, coalesce(source, '') AS s FROM {table}),
 r AS (SELECT s, CAST(floor(sqrt(count(*)) * 1000) AS BIGINT) AS root FROM mix_docs GROUP BY s),
-given AS (SELECT s, greatest(1, (2 * {shares} * root + CAST(t AS BIGINT)) // (2 * CAST(t AS BIGINT))) AS w FROM r, (SELECT sum(root) AS t FROM r) z),
+given AS (SELECT s, greatest(1, (2 * greatest({shares}, {PER_SOURCE} * n) * root + CAST(t AS BIGINT)) // (2 * CAST(t AS BIGINT))) AS w FROM r, (SELECT sum(root) AS t, count(*) AS n FROM r) z),
 shared AS (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) AS g FROM given),
 q AS (SELECT s, CAST(w // g AS BIGINT) AS w FROM given, shared),
 tasks AS (SELECT list(s ORDER BY s) AS names, list(w ORDER BY s) AS ws, CAST(sum(w) AS BIGINT) AS total FROM q),

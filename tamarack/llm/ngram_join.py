@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .graph import components
-from .storage import Stash, cut, kept
+from .storage import Stash, cut, kept, unused
 
 WORDS = 5
 PERCENT = 80
@@ -322,10 +322,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     linked = link_components(docs.select(key.alias("doc_id"), "text"), words, percent)
     linked = cut(linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("copies")))
-    gone = kept(linked.where("copies > 1 OR doc_id <> component_id").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")))
-    again = kept(linked.where("copies > 1 AND doc_id = component_id").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_digest"))
-    one = docs.join(again, same).dropDuplicates(["_id", "_digest"]).select(docs.columns)
+    of, by = unused(docs, "_doc_id", "_digest")
+    named = [F.col("doc_id.id").alias(of), F.col("doc_id.digest").alias(by)]
+    gone = kept(linked.where("copies > 1 OR doc_id <> component_id").select(named))
+    again = kept(linked.where("copies > 1 AND doc_id = component_id").select(named))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col(by))
+    one = docs.join(again, same).dropDuplicates([of, by]).select(docs.columns)
     return docs.join(gone, same, "left_anti").unionByName(one)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +36,29 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores before it until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def packed(df: DataFrame, used: list[str], rest: str = "_rest") -> DataFrame:
+    """The used columns, those that df has, and all others in one struct, where their names clash with nothing."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in used]
+    return df.select(*[c for c in used if c in df.columns], F.struct(*others).alias(rest) if others else F.lit(None).cast("string").alias(rest))
+
+
+def unpacked(df: DataFrame, columns: list[str], rest: str = "_rest", also: Sequence[Column] = ()) -> DataFrame:
+    """The columns as they were before `packed`, and some more."""
+    inside = {f.name for f in df.schema[rest].dataType} if df.schema[rest].dataType.typeName() == "struct" else set()
+    return df.select(*[F.col(f"{rest}.`{c}`") if c in inside else F.col(f"`{c}`") for c in columns], *also)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -354,8 +354,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Tru
     """
     blocks.small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("key")
-    # rows that are alike in all are sorted and counted once
-    same = Window.partitionBy("key")
+    # rows that are alike in all, by their bytes, are sorted and counted once
+    same = Window.partitionBy("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2("text", 256))
     texts = texts.withColumns({"copies": F.count(F.lit(1)).over(same), "copy": F.row_number().over(same.orderBy("key"))})
     spans = repeated_spans(texts.where("copy = 1").select("key", "text"), length).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -1,5 +1,7 @@
 """General interfaces and odd inputs: empty tables, clashing columns, ties, ledgers, weights."""
 
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -32,11 +34,58 @@ def test_empty_benchmark_and_labels(spark, docs):
 
 
 def test_clashing_columns_are_refused(docs):
-    for column, run in [("slot", mixing.mix), ("score", lambda d: toxicity.score(d, {})), ("findings", secrets.find_secrets), ("blocks", licenses.scan_licenses), ("items", lambda d: decontaminate.contamination(d, d))]:
-        with pytest.raises(ValueError):
+    for column, run in [("score", lambda d: toxicity.score(d, {})), ("findings", secrets.find_secrets), ("blocks", licenses.scan_licenses), ("items", lambda d: decontaminate.contamination(d, d))]:
+        with pytest.raises(ValueError, match=column):
             run(docs.withColumn(column, F.lit(1)))
 
 
+#: Names that the library uses inside.
+INSIDE = ("_doc_id", "_digest", "_id", "__digest", "slot", "block", "k", "nth", "weight", "total", "mix_source", "score", "findings", "blob", "n_words", "n_hit", "items", "digest", "name", "key", "_rest", "a", "b", "copies", "component_id")
+
+
+def test_filters_take_columns_of_any_name(spark, sf, docs):
+    """Stages and operators that return all columns of docs keep those that are named as their own."""
+    wide = docs.withColumns({c: F.lit(f"own {c}") for c in INSIDE}).cache()
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert ngram_join.one_of_each(wide).count() == ngram_join.one_of_each(docs).count()
+    assert decontaminate.clean(wide, benchmark).count() == decontaminate.clean(docs, benchmark).count()
+    for name, stage in corpus_pipeline.STAGES:
+        plain, out = stage(spark, docs, sf), stage(spark, wide, sf)
+        own = [c for c in out.columns if c not in wide.columns]
+        assert out.columns == [*wide.columns, *own] and len(own) == (5 if name == "mix" else 0)
+        assert out.where(" OR ".join(f"`{c}` <> 'own {c}' OR `{c}` IS NULL" for c in INSIDE)).count() == 0
+        assert sorted(out.select(docs.columns).collect(), key=str) == sorted(plain.select(docs.columns).collect(), key=str)
+    mixed = mixing.mix(wide)
+    assert mixed.columns[-5:] == ["_slot", "_block", "place", "release", "deadline"]
+
+
+def test_schedule_of_many_slots_and_sources(spark):
+    """A hundred thousand slots; and more sources than a thousand keep the proportions of their square roots."""
+    slots = mixing.schedule(spark.createDataFrame([("a", 50021), ("b", 49999)], "source string, weight long").coalesce(1), 100020)
+    ahead = slots.withColumn("off", F.abs((F.col("k") + 1) * 100020.0 / F.when(F.col("source") == "a", 50021).otherwise(49999) - F.col("slot") - 1))
+    assert slots.count() == 100020 == slots.select("slot").distinct().count() and ahead.agg(F.max("off")).first()[0] <= 2.01
+    rows = spark.range(3000).select(F.concat(F.lit("s"), F.col("id")).alias("source"), F.when(F.col("id") < 10, 100).otherwise(1).alias("n"))
+    weights = mixing.sqrt_weights(rows.select("source", F.explode(F.sequence(F.lit(1), F.col("n")))))
+    got = {r.source: r.weight for r in weights.collect()}
+    assert len(got) == 3000 and {got[f"s{k}"] for k in range(10)} == {155} and {got[f"s{k}"] for k in range(10, 3000)} == {16}
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "eyJ.eyJ." * 130_000, "eyJa.eyJ" * 130_000, "-----BEGIN " * 90_000, "-----BEGIN " + "A " * 500_000, "password " * 110_000, "password" + " " * 1_000_000, "a" * 1_000_000, "ghp_" * 260_000, "xoxa-" * 200_000, "AKIA" * 260_000, "1.1." * 250_000, "4 " * 500_000, "+1 " * 330_000, "a@a." * 250_000, "@" * 1_000_000, "the of " * 150_000, "mit license " * 80_000, "b4d " * 250_000])
+def test_long_texts_of_every_rule_take_seconds(spark, text):
+    docs = spark.createDataFrame([(1, text), (2, "clean")], "doc_id long, text string")
+    began = time.monotonic()
+    assert secrets.find_secrets(docs).count() == 2
+    assert licenses.scan_licenses(docs).select("blocks").count() == 2
+    assert docs.select(F.size(fingerprints.signatures(F.col("text")))).collect() and time.monotonic() - began < 60
+
+
+def test_linear_token_rule_equals_the_plain_one():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(rng.choice(["eyJ", "e", "y", "J", ".", "a", "-", " ", ".eyJ"]) for _ in range(rng.randrange(25)))
+        assert [m.span() for m in secrets.RULES["jwt"][1].finditer(t)] == [m.span("span") for m in secrets._LINEAR["jwt"].finditer(t)]
+
+
 def test_extra_columns_stay(docs):
     wide = docs.withColumns({"n": F.lit(1), "key": F.lit("k"), "name": F.lit(2.5)})
     assert {*wide.columns} < {*secrets.find_secrets(wide).columns}
