@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,7 +19,8 @@ KIND_EXTENSIONS = {
     "bash json yaml yml toml xml sql lua dart cs r pl gradle plist ipynb",
     8: "zip rar 7z tar gz bz2 xz tgz zst dmg iso pkg jar war apk ipa",
 }
-KIND_NAMES = ("folder", "app", "document", "image", "video", "audio", "code", "archive")
+#: Words for the kind codes 1 to 8 in a search line.
+KIND_NAMES = ("folder", "app", "doc", "image", "video", "audio", "code", "archive")
 #: Directory extensions that make a package, and directory names whose contents are noise.
 PACKAGES = (
     "app bundle framework plugin kext appex xpc prefpane qlgenerator mdimporter saver component vst vst3 photoslibrary "
@@ -32,8 +33,29 @@ NOISE = (
     ".pytest_cache .terraform"
 ).split()
 SYSTEM = "System private usr bin sbin opt Library cores".split()
-#: A few characters only; a full table would need data that is not at hand.
-PINYIN = {"文": "wen", "档": "dang", "项": "xiang", "目": "mu", "备": "bei", "份": "fen", "中": "zhong"}
+#: Characters that have a syllable in Latin letters, and the range's name in regular expressions.
+HAN_FIRST, HAN_LAST, HAN = 0x4E00, 0x9FFF, r"[\x{4E00}-\x{9FFF}]"
+#: How syllables are spelt: without marks, whatever else is left out below.
+_SPELLING = "Han-Latin; NFD; [:Mn:] Remove; NFC"
+_syllables: dict[str, list[str]] = {}
+
+
+def syllables(spark: SparkSession) -> list[str]:
+    """The syllable of each character from HAN_FIRST to HAN_LAST in letters a to z, by the ICU library that Spark brings.
+
+    Made once an application, on the driver: a list of fixed length.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _syllables:
+        spelt = spark._jvm.com.ibm.icu.text.Transliterator.getInstance(_SPELLING).transliterate("\n".join(map(chr, range(HAN_FIRST, HAN_LAST + 1))))
+        _syllables.clear()
+        _syllables[app] = [re.sub("[^a-z]", "", x.lower()) for x in spelt.split("\n")]
+    return _syllables[app]
+
+
+def syllable_table(spark: SparkSession) -> Column:
+    """`syllables` as one array for all rows: a subquery, so plans do not spell it out."""
+    return spark.createDataFrame([(syllables(spark),)], "syllables array<string>").scalar()
 
 
 def fold(x: Column) -> Column:
@@ -66,18 +88,25 @@ def decoded_size(size: Column) -> Column:
     return F.when(size < 2**31, size).otherwise(big)
 
 
-def alternate_keys(name: Column) -> Column:
-    """Further search keys of a name with characters above ASCII: syllables and initials, or its lower case."""
-    syllables = F.create_map(*[F.lit(x) for pair in PINYIN.items() for x in pair])
-    known = lambda c: F.coalesce(syllables[c], fold(c))
-    chars = F.split(name, "")
-    full = F.array_join(F.transform(chars, known), "")
-    short = F.array_join(F.transform(chars, lambda c: F.coalesce(F.left(syllables[c], F.lit(1)), fold(c))), "")
+def alternate_keys(name: Column, table: Column) -> Column:
+    """Further search keys of a name with characters above ASCII: syllables and initials if it has Han characters, else its lower case.
+
+    table is a column that `syllable_table` fills. All that is no Han character stays, A-Z folded.
+    """
+    chars = F.regexp_extract_all(name, F.lit("(?s)."), F.lit(0))
+
+    def spelt(size: int | None) -> Column:
+        def one(c: Column) -> Column:
+            syllable = F.get(table, F.ascii(c) - HAN_FIRST)
+            return F.when(c.rlike(HAN), syllable if size is None else F.left(syllable, F.lit(size))).otherwise(fold(c))
+
+        return F.array_join(F.transform(chars, one), "")
+
     none = F.array().cast("array<string>")
     low = F.lower(name)
     return (
         F.when(~name.rlike(r"[^\x00-\x7F]"), none)
-        .when(name.rlike(r"[\x{4E00}-\x{9FFF}]"), F.array(full, short))
+        .when(name.rlike(HAN), F.array(spelt(None), spelt(1)))
         .when(low != fold(name), F.array(low))
         .otherwise(none)
     )

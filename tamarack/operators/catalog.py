@@ -48,11 +48,14 @@ def classified(entries: DataFrame, user_area: Column | bool = True) -> DataFrame
     noisy = F.exists("ancestors", lambda a: a.isin(names.NOISE) | a.startswith("."))
     system = F.coalesce(F.get("ancestors", F.lit(0)).isin(names.SYSTEM), F.lit(False))
     packed = F.exists("ancestors", names.is_package)
+    # the table of syllables is a column for the time of one projection, since lambdas take no subqueries
+    table = "_syllables"
+    entries = entries.withColumn(table, names.syllable_table(entries.sparkSession))
     return entries.withColumns({
         "folded": names.fold(F.col("name")), "ext": ext, "kind": names.kind(F.col("name"), F.col("is_dir")), "size": names.decoded_size(F.col("size")),
         "mtime": F.least(F.greatest("mtime", F.lit(0)), F.lit(2**32 - 1)), "hidden": F.col("name").startswith("."), "noise": noisy | system, "in_package": packed,
-        "user_area": F.lit(user_area) if isinstance(user_area, bool) else user_area, "alt_keys": names.alternate_keys(F.col("name")),
-    })
+        "user_area": F.lit(user_area) if isinstance(user_area, bool) else user_area, "alt_keys": names.alternate_keys(F.col("name"), F.col(table)),
+    }).drop(table)
 
 
 def build(entries: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,15 @@ class Options:
     kind: int | None = None
     now: int = 0
     home: str = "/"
+    root: str = "/"  # where the catalog's root stands; paths in a line may begin with it
+    folder: str = "/"  # relative paths in a line begin here
+    syllables: bool = True  # Han names are found by their syllables in Latin letters, too
+    zone: str = "UTC"
+    first_weekday: int = 0  # Monday
+
+
+def understood(line: str, o: Options, is_path: Callable[[str], bool] | None = None) -> language.Search:
+    return language.understand(line, o.now, is_path, zone=o.zone, first_weekday=o.first_weekday)
 
 
 def found(catalog: DataFrame, line: str, o: Options) -> DataFrame:
@@ -34,15 +44,17 @@ def found(catalog: DataFrame, line: str, o: Options) -> DataFrame:
 
     def is_path(path: str) -> bool:
         path = o.home.rstrip("/") + path[1:] if path.startswith("~") else path
+        path = path if path.startswith("/") else f"{o.folder.rstrip('/')}/{path}"
+        path = path.removeprefix(o.root.rstrip("/")) if o.root != "/" else path
         return not catalog.where(F.col("rel_path") == (path.rstrip("/") or "/")).limit(1).isEmpty()
 
-    search = language.understand(line, o.now, is_path)
-    rows = catalog.where(language.predicate(search, o.home) & (F.col("entry_id") != 0))
+    search = understood(line, o, is_path)
+    rows = catalog.where(language.predicate(search, o.home, o.root, o.syllables) & (F.col("entry_id") != 0))
     if "deleted" in catalog.columns:
         rows = rows.where("NOT deleted")
     if o.kind is not None:
         rows = rows.where(F.col("kind") == o.kind)
-    return rows.withColumn("score", language.score(search, o.now) if o.sort == "relevance" else F.lit(0))
+    return rows.withColumn("score", language.score(search, o.now, o.syllables) if o.sort == "relevance" else F.lit(0))
 
 
 def order(o: Options) -> list[Column]:
@@ -65,7 +77,7 @@ def results(rows: DataFrame, by: list[Column], full: int = FULL, head: int = SOR
 
 def search(catalog: DataFrame, line: str, o: Options, limit: int | None = None) -> DataFrame:
     """All results as `results` gives them, or the best `limit` with rank; an empty line lists recent files."""
-    if not language.understand(line, o.now).clauses:
+    if not understood(line, o).clauses:
         return recent(catalog, o.kind)
     rows = found(catalog, line, o)
     return results(rows, order(o)) if limit is None else top(rows, order(o), limit)
@@ -105,7 +117,7 @@ def can_narrow(before: str, after: str, now: int = 0) -> bool:
 
 def search_sources(sources: list[tuple[str, DataFrame]], line: str, o: Options, limit: int | None = None) -> DataFrame:
     """One order over several catalogs, of all results or the best `limit`: by the sort key, then by source, then by entry id."""
-    rows, empty = None, not language.understand(line, o.now).clauses
+    rows, empty = None, not understood(line, o).clauses
     for i, (name, catalog) in enumerate(sources):
         if not empty:
             own, by = found(catalog, line, o), order(o)

@@ -39,6 +39,15 @@ SELECT CAST(10 + p_partkey AS BIGINT), CAST(1 AS BIGINT), concat(p_name, ' ', CA
        CAST(p_size * 100000 AS BIGINT), CAST(1704067200 + (p_partkey % 30) * 86400 AS BIGINT) FROM {part}
 """
 
+#: Some characters, of which names in HAN_SQL begin with two.
+HAN = "文档项目备份中国人小上下天山水火木金土日月年学生书包图报告同会议计表格新旧女张王李"
+#: The first source again, its files under names that begin with Han characters.
+HAN_SQL = f"""
+SELECT entry_id, parent_id, CASE WHEN is_dir THEN name ELSE concat(substring('{HAN}', CAST(entry_id % {len(HAN)} AS INT) + 1, 1),
+  substring('{HAN}', CAST((entry_id * 7 + entry_id % 61) % {len(HAN)} AS INT) + 1, 1), name) END AS name, is_dir, size, mtime
+FROM (SELECT * FROM ({ENTRIES_SQL}) x) e
+"""
+
 #: Files as a change feed saw them last: one row a path of the documents catalog, or a new one.
 SEEN_SQL = """
 SELECT concat('/src', CAST(user_id % 20 AS STRING), '/en/my_doc', CAST(user_id AS STRING), '.TXT') AS path, event_id,
@@ -60,6 +69,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_ops.build(entries(spark, sf_dir))
 
 
+def han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog_ops.build(spark.sql(HAN_SQL, documents=table(spark, sf_dir, "documents")))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_ops.build(spark.sql(PARTS_SQL, part=table(spark, sf_dir, "part")))
 

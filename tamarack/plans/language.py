@@ -9,12 +9,16 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 import re
+import re._parser as sre
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
+from zoneinfo import ZoneInfo
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.errors import PySparkException
@@ -35,10 +39,19 @@ class Atom:
     ancestors: bool = False  # a plain negated word also excludes what lies in folders of that name
 
 
+class Problem(NamedTuple):
+    """What cannot be understood (regex, kind, size or date), and where it stands in the line: from start, end exclusive."""
+
+    kind: str
+    token: str
+    start: int
+    end: int
+
+
 @dataclass
 class Search:
     clauses: list[list[Atom]]
-    problems: list[str] = field(default_factory=list)
+    problems: list[Problem] = field(default_factory=list)
 
     @property
     def timed(self) -> bool:
@@ -62,27 +75,31 @@ def size_range(text: str) -> tuple[int, int] | None:
     return None if a is None or b is None or a > b else (a, b)
 
 
-def date_range(text: str, now: int) -> tuple[int, int] | None:
-    """Whole seconds, both ends in: today, yesterday, week, month, year, Nh Nd Nw, dates, `>d`, `<d`, `a..b`; UTC."""
-    at = dt.datetime.fromtimestamp(now, dt.UTC)
-    day = at.replace(hour=0, minute=0, second=0, microsecond=0)
-    stamp = lambda x: int(x.timestamp())
-    starts = {"today": day, "week": day - dt.timedelta(days=day.weekday()), "month": day.replace(day=1), "year": day.replace(month=1, day=1)}
+def date_range(text: str, now: int, zone: str = "UTC", first_weekday: int = 0) -> tuple[int, int] | None:
+    """Whole seconds, both ends in: today, yesterday, week, month, year, Nh Nd Nw, dates, `>d`, `<d`, `a..b`.
+
+    Days begin at midnight in the zone, weeks on first_weekday (0 is Monday).
+    """
+    where = ZoneInfo(zone)
+    at = dt.datetime.fromtimestamp(now, where)
+    day = at.replace(hour=0, minute=0, second=0, microsecond=0, fold=0)
+    stamp = lambda x: max(0, int(x.timestamp()))
+    starts = {"today": day, "week": day - dt.timedelta(days=(day.weekday() - first_weekday) % 7), "month": day.replace(day=1), "year": day.replace(month=1, day=1)}
     if text in starts:
         days = {"today": 1, "week": 7, "month": calendar.monthrange(day.year, day.month)[1], "year": 366 if calendar.isleap(day.year) else 365}[text]
         return stamp(starts[text]), stamp(starts[text] + dt.timedelta(days=days)) - 1
     if text == "yesterday":
-        return stamp(day) - 86_400, stamp(day) - 1
+        return stamp(day - dt.timedelta(days=1)), stamp(day) - 1
     if m := re.fullmatch(r"(\d+)([hdw])", text):
         back = int(m[1]) * {"h": 3600, "d": 86_400, "w": 604_800}[m[2]]
-        return (now - back, now) if 0 <= back <= 100 * 366 * 86_400 else None
+        return (now - back, now) if 0 <= back <= 100 * 365 * 86_400 else None
 
     def whole(x: str) -> tuple[int, int] | None:
         m = re.fullmatch(r"(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?", x)
         if not m or int(m[1]) < 1970:
             return None
         try:
-            first = dt.datetime(int(m[1]), int(m[2] or 1), int(m[3] or 1), tzinfo=dt.UTC)
+            first = dt.datetime(int(m[1]), int(m[2] or 1), int(m[3] or 1), tzinfo=where)
         except ValueError:
             return None
         days = 1 if m[3] else calendar.monthrange(first.year, first.month)[1] if m[2] else 366 if calendar.isleap(first.year) else 365
@@ -90,7 +107,7 @@ def date_range(text: str, now: int) -> tuple[int, int] | None:
 
     if text[:1] in ("<", ">"):
         d = whole(text[1:])
-        return None if d is None else ((d[1] + 1, MOST) if text[0] == ">" else (0, d[0] - 1))
+        return None if d is None else (d[1] + 1, MOST) if text[0] == ">" else (0, d[0] - 1) if d[0] > 0 else None
     low, dots, high = text.partition("..")
     a, b = whole(low), whole(high if dots else low)
     return (a[0], b[1]) if a and b and a[0] <= b[1] else None
@@ -109,7 +126,7 @@ def _is_pattern(value: str) -> bool:
     return True
 
 
-def _atom(token: str, now: int) -> Atom | str:
+def _atom(token: str, when: Callable[[str], tuple[int, int] | None]) -> Atom | str:
     """The atom of a token, or what is wrong with it."""
     negated, body = token.startswith("!"), token[token.startswith("!") :]
     plain = negated and not re.search(r"[:/*?]", body) and not body.startswith("~")
@@ -123,7 +140,7 @@ def _atom(token: str, now: int) -> Atom | str:
     if key in ("file", "folder"):
         return Atom(key, value.lower(), negated)
     if key in ("size", "dm"):
-        bounds = size_range(value) if key == "size" else date_range(value.lower(), now)
+        bounds = size_range(value) if key == "size" else when(value.lower())
         return Atom("size" if key == "size" else "modified", bounds, negated) if bounds else "size" if key == "size" else "date"
     if key == "path":
         return Atom("path", value.lower(), negated)
@@ -156,28 +173,47 @@ def pasted(line: str) -> str:
     return m[1] if m and "." in m[1].rpartition("/")[2] else text
 
 
-def understand(line: str, now: int, is_path: Callable[[str], bool] | None = None) -> Search:
+_TOKENS = re.compile(r'\||(?:"[^"]*"?|[^\s|"])+')
+
+
+def _placed(line: str) -> list[tuple[str, int, int]]:
+    """Tokens that are no `|`, without their quotes and `!`, and where they stand in the line as it was given."""
+    found = [(m[0].replace('"', ""), m.start(), m.end()) for m in _TOKENS.finditer(line) if m[0] != "|"]
+    return [(pasted(token.removeprefix("!")).lower(), a, b) for token, a, b in found]
+
+
+def understand(
+    line: str, now: int, is_path: Callable[[str], bool] | None = None, *, zone: str = "UTC", first_weekday: int = 0, caret: int | None = None, composing: bool = False
+) -> Search:
     """Quotes keep blanks and `|` in a token; no parentheses; OR binds tighter than AND. The line is taken in NFC.
 
-    A whole line with blanks that is_path knows as a path from the root or the home folder is one atom.
+    A whole line with a slash and blanks that is_path knows is one atom. Problems of a token in which the
+    caret stands are not told, none are while an input method composes.
     """
+    given = line
     line = unicodedata.normalize("NFC", pasted(line))
-    if is_path and re.match("[/~]", line) and re.search(r"\s", line) and is_path(line):
+    if is_path and "/" in line and re.search(r"\s", line) and is_path(line):
         return Search([[Atom("path", line.lower())]])
-    clauses, problems, joined = [], [], False
-    for m in re.finditer(r'\||(?:"[^"]*"?|[^\s|"])+', line):
+    clauses, problems, joined, places = [], [], False, _placed(given)
+    for m in _TOKENS.finditer(line):
         if m[0] == "|":
             joined = bool(clauses)
             continue
         token = m[0].replace('"', "")
         if token in ("", "!"):
             continue
-        atom = _atom(token, now)
+        atom = _atom(token, lambda text: date_range(text, now, zone, first_weekday))
         if not joined:
             clauses.append([])
         joined = False
+        key = token.removeprefix("!").lower().partition(":")[0] + ":"
+        at = next((k for k, x in enumerate(places) if ":" in token and x[0].startswith(key)), None)
+        _, start, end = ("", m.start(), m.end()) if at is None else places[at]
+        if at is not None:
+            places = places[at + 1 :]
         if isinstance(atom, str):
-            problems.append(f"{atom}: {token}")
+            if not composing and (caret is None or not start <= caret <= end):
+                problems.append(Problem(atom, token, start, end))
         else:
             clauses[-1].append(atom)
     clauses = [c for c in clauses if c]
@@ -195,34 +231,101 @@ def path_pattern(value: str, home: str, root: str = "/") -> str:
     return re.sub(r"(?<=/)(?=/)", "[^/]*", re.sub(r"[^/\w]", lambda m: re.escape(m[0]), value))
 
 
-def _name(value: str) -> Column:
-    hit = F.col("folded").contains(value)
-    keys = F.exists("alt_keys", lambda k: k.contains(value))
-    return (hit | keys) if value else F.lit(True)
+def _name(value: str, syllables: bool = True) -> Column:
+    return F.col("folded").contains(value) | _keyed(lambda k: k.contains(value), value, syllables) if value else F.lit(True)
+
+
+def _keyed(test: Callable[[Column], Column], needle: str, syllables: bool) -> Column:
+    """Whether an alternate key passes: those of Han names for ASCII needles, where they are wanted; all keys for others."""
+    some = F.exists("alt_keys", test)
+    return some if not needle.isascii() else F.col("name").rlike(names.HAN) & some if syllables else F.lit(False)
+
+
+#: Seconds that a pattern may take for one entry.
+BUDGET = 0.02
+
+
+def _repeats(items: list, inside: bool = False) -> tuple[int, bool]:
+    """How many open repeats a parsed pattern has, and whether one of them stands in or around another choice."""
+    n, nested = 0, False
+    for op, value in items:
+        name, open_ = str(op), False
+        parts = [x for x in (value if isinstance(value, (list, tuple)) else [value]) if isinstance(x, sre.SubPattern)]
+        if name == "BRANCH":
+            parts, nested = value[1], nested or inside
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            open_ = value[1] == sre.MAXREPEAT or value[1] > 9
+            nested |= inside and value[0] != value[1]
+            n += open_
+        for part in parts:
+            more, deep = _repeats(part.data, inside or open_)
+            n, nested = n + more, nested or deep
+    return n, nested
 
 
-def matches(a: Atom, home: str = "/") -> Column:
-    """Predicate of an atom over catalog columns, before negation."""
+def may_explode(pattern: str) -> bool:
+    """Whether matching may take more than about the cube of a name's length: choices inside an open repeat, or many open repeats.
+
+    What Python's parser does not know counts as such.
+    """
+    try:
+        n, nested = _repeats(sre.parse(pattern).data)
+    except (re.error, OverflowError, RecursionError):
+        return True
+    return nested or n > 3
+
+
+def _budgeted(target: Column, pattern: str, seconds: float = BUDGET) -> Column | None:
+    """Whether target holds a match, null where that takes longer than the budget; None if the other engine refuses the pattern."""
+    import regex
+
+    try:
+        regex.compile(pattern)
+    except regex.error:
+        return None
+
+    @F.arrow_udf("boolean")
+    def search(texts: pa.Array) -> pa.Array:
+        own, out = regex.compile(pattern), []
+        for text in texts:
+            try:
+                out.append(text.as_py() is not None and own.search(text.as_py(), timeout=seconds) is not None)
+            except TimeoutError:
+                out.append(None)
+        return pa.array(out, pa.bool_())
+
+    return search(target)
+
+
+def matches(a: Atom, home: str = "/", root: str = "/", syllables: bool = True) -> Column:
+    """Predicate of an atom over catalog columns, before negation; null where a pattern's budget ran out."""
     v = a.value
     if a.kind == "name":
         if not a.ancestors:
-            return _name(v)
-        return _name(v) | F.exists("ancestors", lambda x: names.fold(x) == v)
+            return _name(v, syllables)
+        if v in root.lower().split("/"):
+            return F.lit(True)
+        return _name(v, syllables) | F.exists("ancestors", lambda x: (names.fold(x) == v) | (F.lower(x) == v))
     if a.kind == "case":
         return F.col("name").contains(v)
     if a.kind == "file":
-        return (F.col("kind") != 1) & _name(v)
+        return (F.col("kind") != 1) & _name(v, syllables)
     if a.kind == "folder":
-        return (F.col("kind") == 1) & _name(v)
+        return (F.col("kind") == 1) & _name(v, syllables)
     if a.kind == "path":
-        pattern = path_pattern(v, home)
+        pattern = path_pattern(v, home, root)
         whole = F.concat(names.fold(F.col("rel_path")), F.when(F.col("is_dir"), F.lit("/")).otherwise(F.lit("")))
-        return whole.rlike(pattern) if "[^/]*" in pattern else whole.contains(v.replace("~", home, 1) if v.startswith("~") else v)
+        plain = home.lower() + v[1:] if v.startswith("~") else v
+        plain = plain[len(root) :] or "/" if root != "/" and plain.startswith(root.lower()) else plain
+        return whole.rlike(pattern) if "[^/]*" in pattern else whole.contains(plain)
     if a.kind == "glob":
         return (names.fold(F.col("rel_path")) if "/" in v else F.col("folded")).rlike(names.glob_regex(v))
     if a.kind == "regex":
         target = F.col("rel_path" if "/" in v else "name")
         literal = re.match(r"\^([\w ]+)(?![*?{|\w ])", v)
+        hit = _budgeted(target, v) if may_explode(v) else None
+        if hit is not None:
+            return hit
         hit = target.rlike(v)
         return target.startswith(literal[1]) & hit if literal and "|" not in v else hit
     if a.kind == "ext":
@@ -236,18 +339,33 @@ def matches(a: Atom, home: str = "/") -> Column:
     return F.col("size" if a.kind == "size" else "mtime").between(low, high)
 
 
-def predicate(search: Search, home: str = "/") -> Column:
-    """Clauses without a negation first, the one with the longest shortest word before all others."""
+def predicate(search: Search, home: str = "/", root: str = "/", syllables: bool = True) -> Column:
+    """Clauses without a negation first, the one with the longest shortest word before all others.
+
+    An entry that a pattern took too long for is left out, negated or not, unless an alternative before it has matched.
+    """
 
     def weight(clause: list[Atom]) -> tuple:
         return any(a.negated for a in clause), -min(len(a.value) if a.kind == "name" else 0 for a in clause)
 
-    one = lambda a: ~matches(a, home) if a.negated else matches(a, home)
-    clauses = [reduce(Column.__or__, map(one, c)) for c in sorted(search.clauses, key=weight)]
+    def one(a: Atom) -> Column:
+        hit = matches(a, home, root, syllables)
+        return ~hit if a.negated else hit
+
+    def whole(clause: list[Atom]) -> Column:
+        if not any(a.kind == "regex" for a in clause):
+            return reduce(Column.__or__, map(one, clause))
+        first, *others = map(one, clause)
+        out = F.when(first, True).when(first.isNull(), False)
+        for x in others:
+            out = out.when(x, True).when(x.isNull(), False)
+        return out.otherwise(False) if others else first
+
+    clauses = [whole(c) for c in sorted(search.clauses, key=weight)]
     return reduce(Column.__and__, clauses) if clauses else F.lit(True)
 
 
-def score(search: Search, now: int) -> Column:
+def score(search: Search, now: int, syllables: bool = True) -> Column:
     """Integer relevance of a row that matches."""
     zero = F.lit(0)
     total, hits, length = zero, zero, zero
@@ -256,7 +374,7 @@ def score(search: Search, now: int) -> Column:
             quality = names.match_quality(F.col("name"), F.col("name"), a.value)
         else:
             quality = names.match_quality(F.col("name"), F.col("folded"), a.value)
-        base = F.when(quality > 0, quality * 200 + 200).otherwise(zero if a.kind == "case" else _alternate(a.value))
+        base = F.when(quality > 0, quality * 200 + 200).otherwise(zero if a.kind == "case" else _alternate(a.value, syllables))
         if a.kind in ("file", "folder"):
             base = F.when((F.col("kind") != 1) if a.kind == "file" else (F.col("kind") == 1), base).otherwise(zero)
         hit = (base > 0).cast("int")
@@ -271,9 +389,8 @@ _BONUS = """if(user_area AND NOT noise AND NOT in_package AND NOT hidden, 60, 0)
   - if(noise, 350, 0) - if(in_package, 300, 0) - if(hidden, 200, 0) - 5 * least(depth, 16)"""
 
 
-def _alternate(needle: str) -> Column:
+def _alternate(needle: str, syllables: bool) -> Column:
     """Points of a hit in an alternate key: 500 at the start of a syllable key, else 350."""
-    han = F.col("name").rlike(r"[\x{4E00}-\x{9FFF}]")
-    first = F.exists("alt_keys", lambda k: k.startswith(needle))
-    some = F.exists("alt_keys", lambda k: k.contains(needle))
-    return F.when(han & first, 500).when(some, 350).otherwise(0)
+    some = _keyed(lambda k: k.contains(needle), needle, syllables)
+    first = _keyed(lambda k: k.startswith(needle), needle, syllables) if needle.isascii() else F.lit(False)
+    return F.when(first, 500).when(some, 350).otherwise(0)

@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from ..functions import names
-from .adapters import ENTRIES_SQL, NOW, PARTS_SQL, SEEN_SQL
-
-_A, _Z = names.UPPER, names.LOWER
+from .adapters import ENTRIES_SQL, HAN_SQL, NOW, PARTS_SQL, SEEN_SQL
+
+_A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Fixed values, written here a second time so that a slip in the library's own shows as a difference.
+_PACKAGES = (
+    "app bundle framework plugin kext appex xpc prefpane qlgenerator mdimporter saver component vst vst3 photoslibrary "
+    "musiclibrary tvlibrary fcpbundle imovielibrary xcodeproj xcworkspace playground xcarchive dsym rtfd scptd lproj logicx "
+    "band screenstudio pages numbers key"
+)
+_NOISE = (
+    "node_modules .git .svn .hg __pycache__ .venv venv site-packages Pods DerivedData .gradle .npm .pnpm-store .yarn .cache "
+    ".cargo .rustup .Trash Caches Cache .next .nuxt bower_components .idea .build .swiftpm CMakeFiles .tox .mypy_cache "
+    ".pytest_cache .terraform"
+)
+_SYSTEM = "System private usr bin sbin opt Library cores"
+_KINDS = {
+    3: "pdf doc docx xls xlsx ppt pptx pages numbers key txt md markdown rtf rtfd csv tsv epub mobi odt ods odp tex log",
+    4: "png jpg jpeg gif heic heif webp bmp tiff tif svg psd ai sketch fig raw cr2 cr3 nef arw dng ico icns avif",
+    5: "mp4 mov mkv avi wmv flv webm m4v mpg mpeg 3gp rmvb",
+    6: "mp3 wav flac aac m4a ogg wma aiff aif opus mid midi caf",
+    7: "swift c h m mm cpp hpp cc js jsx mjs cjs ts tsx py rb go rs java kt php html htm css scss less vue svelte astro sh zsh "
+    "bash json yaml yml toml xml sql lua dart cs r pl gradle plist ipynb",
+    8: "zip rar 7z tar gz bz2 xz tgz zst dmg iso pkg jar war apk ipa",
+}
+_SYLLABLES = dict(zip(
+    "文档项目备份中国人小上下天山水火木金土日月年学生书包图报告同会议计表格新旧女张王李",
+    "wen dang xiang mu bei fen zhong guo ren xiao shang xia tian shan shui huo mu jin tu ri yue nian xue sheng shu bao tu bao gao tong hui yi ji biao ge xin jiu nu zhang wang li".split(),
+    strict=True,
+))
 
 
 def _list(words: list[str]) -> str:
@@ -14,8 +39,8 @@ def _list(words: list[str]) -> str:
 
 def _tree(label: str, entries: str) -> str:
     """CTEs `label`: a classified catalog over an entries query."""
-    packages, noise, system = _list(names.PACKAGES), _list(names.NOISE), _list(names.SYSTEM)
-    exts = " ".join(f"WHEN ext IN {_list(v.split())} THEN {k}" for k, v in names.KIND_EXTENSIONS.items())
+    packages, noise, system = _list(_PACKAGES.split()), _list(_NOISE.split()), _list(_SYSTEM.split())
+    exts = " ".join(f"WHEN ext IN {_list(v.split())} THEN {k}" for k, v in _KINDS.items())
     last = "CASE WHEN contains({0}, '.') THEN lower(string_split({0}, '.')[-1]) ELSE '' END"
     ext = r"lower(regexp_extract({}, '\.([\x00-\x2D\x2F-\x7F]{{1,8}})$', 1))"
     return f"""
@@ -32,6 +57,10 @@ def _tree(label: str, entries: str) -> str:
   len(list_filter(ancestors, lambda a: {last.format("a")} IN {packages})) > 0 AS in_package, TRUE AS user_area FROM {label}_x)"""
 
 
+_HAN_TREE = "WITH RECURSIVE" + _tree("cat", HAN_SQL.replace("{documents}", "documents")) + f""",
+syl(c, s) AS (VALUES {", ".join(f"('{c}', '{x}')" for c, x in _SYLLABLES.items())}),
+han AS (SELECT cat.*, a.s || b.s || substr(folded, 3) AS full_key, a.s[1] || b.s[1] || substr(folded, 3) AS initials
+  FROM cat JOIN syl a ON a.c = name[1] JOIN syl b ON b.c = name[2] WHERE NOT is_dir)"""
 _ENTRIES = ENTRIES_SQL.replace("{documents}", "documents")
 CAT = "WITH RECURSIVE" + _tree("cat", _ENTRIES)
 BOTH = CAT + "," + _tree("parts", PARTS_SQL.replace("{part}", "part"))
@@ -47,10 +76,15 @@ def _recency(t: str) -> str:
 
 
 def quality(needle: str) -> str:
-    quoted = names.boundary_pattern(needle).replace("'", "''")
-    n = len(needle)
+    n, before, here = len(needle), "substr(name, p - 1, 1)", "substr(name, p, 1)"
+    starts = f"contains(' _.([+,-', {before})"
+    if needle[0].isalpha():
+        starts += f" OR regexp_matches({before}, '[0-9]') OR (regexp_matches({before}, '[a-z]') AND regexp_matches({here}, '[A-Z]'))"
+    elif needle[0].isdigit():
+        starts += f" OR regexp_matches({before}, '[A-Za-z]')"
+    word = f"len(list_filter(range(2, length(name) + 1), lambda p: substr(folded, p, {n}) = '{needle}' AND ({starts}))) > 0"
     return f"""CASE WHEN folded = '{needle}' OR (starts_with(folded, '{needle}') AND regexp_matches(substr(folded, {n + 1}), '^\\.[^.]*$')) THEN 4
-      WHEN starts_with(folded, '{needle}') THEN 3 WHEN regexp_matches(name, '{quoted}') THEN 2 WHEN contains(folded, '{needle}') THEN 1 ELSE 0 END"""
+      WHEN starts_with(folded, '{needle}') THEN 3 WHEN {word} THEN 2 WHEN contains(folded, '{needle}') THEN 1 ELSE 0 END"""
 
 
 def score(*needles: str) -> str:
@@ -59,6 +93,11 @@ def score(*needles: str) -> str:
     hits = "(" + " + ".join(f"CASE WHEN {x} > 0 THEN 1 ELSE 0 END" for x in q) + ")" if q else "0"
     length = "(" + " + ".join(f"CASE WHEN {x} > 0 THEN {len(n)} ELSE 0 END" for x, n in zip(q, needles, strict=True)) + ")"
     text = f"CASE WHEN {hits} = 0 THEN 400 ELSE ({total}) // greatest({hits}, 1) - 2 * least(greatest(strlen(name) - {length}, 0), 64) END" if q else "400"
+    return points(text)
+
+
+def points(text: str) -> str:
+    """Score of a row whose words are worth `text`."""
     return f"""CAST({text} + CASE WHEN {CLEAN} THEN 60 ELSE 0 END + CASE kind WHEN 2 THEN 150 WHEN 1 THEN 20 ELSE 0 END + {_recency("mtime")}
       - CASE WHEN noise THEN 350 ELSE 0 END - CASE WHEN in_package THEN 300 ELSE 0 END - CASE WHEN hidden THEN 200 ELSE 0 END - 5 * least(depth, 16) AS INTEGER)"""
 
@@ -275,7 +314,34 @@ def statements() -> dict[str, str]:
         "WHEN size < 999500 THEN CAST(round(size / 1e3) AS BIGINT) || ' KB' "
         r"WHEN size < 999950000 THEN regexp_replace(CAST(CAST(round(size / 1e6, 1) AS DECIMAL(20,1)) AS VARCHAR), '\.?0+$', '') || ' MB' "
         r"ELSE regexp_replace(CAST(CAST(round(size / 1e9, 2) AS DECIMAL(20,2)) AS VARCHAR), '\.?0+$', '') || ' GB' END AS shown FROM cat",
-        "op_e7_alternate_keys": r"""WITH n AS (SELECT doc_id, string_split(text, ' ')[1] AS name FROM documents)
-            SELECT doc_id, CASE WHEN regexp_matches(name, '[^\x00-\x7F]') AND lower(name) <> translate(name, '""" + _A + "', '" + _Z + """') THEN lower(name) ELSE '' END AS keys FROM n""",
+        "op_e7_alternate_keys": rf"""WITH n AS (SELECT doc_id, text AS name FROM documents)
+            SELECT doc_id, CASE WHEN regexp_matches(name, '[^\x00-\x7F]') AND lower(name) <> translate(name, '{_A}', '{_Z}') THEN lower(name) ELSE '' END AS keys FROM n""",
+        "op_e7_syllables": f"{_HAN_TREE} SELECT entry_id, full_key AS full, initials FROM han",
+        "op_f1_syllables": f"""{_HAN_TREE} SELECT entry_id, 'wd' AS line FROM han WHERE contains(full_key, 'wd') OR contains(initials, 'wd') OR contains(folded, 'wd')
+            UNION ALL SELECT entry_id, 'wend' FROM han WHERE contains(full_key, 'wend') OR contains(initials, 'wend') OR contains(folded, 'wend')""",
+        "op_f1_no_syllables": f"{_HAN_TREE} SELECT entry_id, name FROM cat WHERE contains(name, '文档') OR contains(folded, 'wd')",
+        "op_r2_alternate_points": _HAN_TREE + " SELECT entry_id, " + points("CASE WHEN starts_with(full_key, 'wd') OR starts_with(initials, 'wd') THEN 500 ELSE 350 END - 2 * least(strlen(name) - 2, 64)")
+        + " AS score FROM han WHERE contains(full_key, 'wd') OR contains(initials, 'wd')",
+        "op_p11_kinds": CAT + " " + " UNION ALL ".join(f"SELECT '{w}' AS word, count(*) FILTER ({'kind = ' + str(k) if k < 9 else 'FALSE'}) AS n FROM cat" for k, w in enumerate("folder app doc image video audio code archive document".split(), 1)),
+        "op_p10_zone": _zones(),
+        "op_f7_budget": CAT + r" SELECT entry_id, regexp_matches(name, '^(?:[a-z]+_|[a-z]+[0-9])+[0-9]*\.(?:md|TXT)$') AS hit FROM cat",
+        "op_a13_totals": f"{BOTH}, n AS (SELECT (SELECT count(*) FROM cat) AS c, (SELECT count(*) FROM parts) AS p) SELECT 'docs' AS source, c AS n FROM n UNION ALL SELECT 'parts', p FROM n UNION ALL SELECT 'all', c + p FROM n",
     }
     return out
+
+
+def _zones() -> str:
+    """Bounds of days as local times at fixed distances from UTC: -5 h (-4 from 10 March 2024), +5:30 h, +1 h (+2 from 31 March)."""
+    shift = {
+        "America/New_York": "m - CASE WHEN m < 1710054000 THEN 18000 ELSE 14400 END", "Asia/Kolkata": "m + 19800", "Europe/Berlin": "m + CASE WHEN m < 1711846800 THEN 3600 ELSE 7200 END",
+    }
+    # 2024-04-01T00:00Z is the evening of Sunday, 31 March in New York, and Monday in the other two
+    west = {"today": ("03-31", "03-31"), "yesterday": ("03-30", "03-30"), "week": ("03-31", "04-06"), "month": ("03-01", "03-31")}
+    east = {"today": ("04-01", "04-01"), "yesterday": ("03-31", "03-31"), "week": ("04-01", "04-07"), "month": ("04-01", "04-30")}
+    both = {"day": ("01-15", "01-15"), "span": ("01-10", "01-12"), "after": ("02-04", "12-31"), "before": ("01-01", "01-04")}
+    rows = []
+    for zone, local in shift.items():
+        for what, (a, b) in ((west if zone.startswith("America") else east) | both).items():
+            low = "DATE '1970-01-01'" if what == "before" else f"DATE '2024-{a}'"
+            rows.append(f"SELECT '{what} {zone}' AS what, count(*) FILTER (CAST(make_timestamp(({local}) * 1000000) AS DATE) BETWEEN {low} AND DATE '2024-{b}') AS n FROM e")
+    return "WITH e AS (SELECT CAST(1704067200 + event_id * 997 % 8640000 AS BIGINT) AS m FROM events) " + " UNION ALL ".join(rows)

@@ -392,9 +392,72 @@ def op_e13_size_text(spark, sf_dir):
 
 @query
 def op_e7_alternate_keys(spark, sf_dir):
-    """Alternate keys of the first words of documents, taken as names."""
-    d = ad.table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ")[0].alias("name"))
-    return d.select("doc_id", F.array_join(names.alternate_keys(F.col("name")), ",").alias("keys"))
+    """Alternate keys of whole texts of documents, taken as names."""
+    d = ad.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("name"), names.syllable_table(spark).alias("table"))
+    return d.select("doc_id", F.array_join(names.alternate_keys(F.col("name"), F.col("table")), ",").alias("keys"))
+
+
+@query
+def op_e7_syllables(spark, sf_dir):
+    """Syllables and initials of names that begin with Han characters."""
+    return ad.han(spark, sf_dir).where("NOT is_dir").select("entry_id", F.col("alt_keys")[0].alias("full"), F.col("alt_keys")[1].alias("initials"))
+
+
+@query
+def op_f1_syllables(spark, sf_dir):
+    """`wd` finds names by the initials of their syllables, `wend` by the syllables."""
+    rows, o = ad.han(spark, sf_dir), search.Options(sort="name", now=NOW)
+    one = search.found(rows, "wd", o).select("entry_id", F.lit("wd").alias("line"))
+    return one.unionByName(search.found(rows, "wend", o).select("entry_id", F.lit("wend").alias("line")))
+
+
+@query
+def op_f1_no_syllables(spark, sf_dir):
+    """Without syllables only characters count: those of the name, and its lower case for needles beyond ASCII."""
+    rows, o = ad.han(spark, sf_dir), search.Options(sort="name", now=NOW, syllables=False)
+    return search.found(rows, "文档|wd", o).select("entry_id", "name")
+
+
+@query
+def op_r2_alternate_points(spark, sf_dir):
+    return search.found(ad.han(spark, sf_dir), "wd", search.Options(now=NOW)).select("entry_id", "score")
+
+
+@query
+def op_p11_kinds(spark, sf_dir):
+    """How many entries each kind word finds; a word that is none is left out of the line."""
+    words = ("folder", "app", "doc", "image", "video", "audio", "code", "archive", "document")
+    tests = {w: language.predicate(language.understand(f"kind:{w} !kind:zzz", NOW)) for w in words}
+    counts = ad.catalog(spark, sf_dir).agg(*[F.count_if(t).alias(w) for w, t in tests.items()])
+    return counts.unpivot([], list(words), "word", "n")
+
+
+@query
+def op_p10_zone(spark, sf_dir):
+    """Days, weeks from Sunday and months of other time zones, also where clocks are changed."""
+    now = NOW + 60 * 86_400  # 2024-04-01
+    lines = {"today": "dm:today", "yesterday": "dm:yesterday", "week": "dm:week", "month": "dm:month", "day": "dm:2024-01-15", "span": "dm:2024-01-10..2024-01-12", "after": "dm:>2024-02-03", "before": "dm:<2024-01-05"}
+    zones = (("America/New_York", 6), ("Asia/Kolkata", 0), ("Europe/Berlin", 0))
+    tests = {f"{k} {z}": language.predicate(language.understand(line, now if k in ("today", "yesterday", "week", "month") else NOW, zone=z, first_weekday=w)) for k, line in lines.items() for z, w in zones}
+    rows = ad.table(spark, sf_dir, "events").select((F.lit(1704067200) + F.col("event_id") * 997 % (100 * 86_400)).alias("mtime"))
+    counts = rows.agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
+    return counts.unpivot([], list(tests), "what", "n")
+
+
+@query
+def op_f7_budget(spark, sf_dir):
+    """A pattern with choices inside a repeat, and its negation, by the engine that keeps to a budget."""
+    rows, o = ad.catalog(spark, sf_dir), search.Options(sort="name", now=NOW)
+    line = r'"regex:^(?:[a-z]+_|[a-z]+[0-9])+[0-9]*\.(?:md|TXT)$"'
+    one = search.found(rows, line, o).select("entry_id", F.lit(True).alias("hit"))
+    return one.unionByName(search.found(rows, "!" + line, o).select("entry_id", F.lit(False).alias("hit")))
+
+
+@query
+def op_a13_totals(spark, sf_dir):
+    """Live entries of each source and of all, as a footer shows them."""
+    both = ad.catalog(spark, sf_dir).select(F.lit("docs").alias("source")).unionByName(ad.parts(spark, sf_dir).select(F.lit("parts").alias("source")))
+    return both.rollup("source").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("source", F.lit("all")).alias("source"), "n")
 
 
 @query

@@ -88,12 +88,64 @@ def test_ranges():
     assert language.date_range("2026-02-31", NOW) is None and language.date_range("nope", NOW) is None
     assert language.date_range("2024-01", NOW) == (1704067200, 1706745599)
     assert language.date_range("7d", NOW) == (NOW - 604_800, NOW)
-    assert language.understand("foo kind:bad", NOW).problems == ["kind: kind:bad"]
+    assert language.understand("foo kind:bad", NOW).problems == [("kind", "kind:bad", 4, 12)]
     assert language.size_range(".5mb") == (500_000, 500_000) and language.size_range(">1e3") == (1001, language.MOST) and language.date_range("0d", NOW) == (NOW, NOW)
     assert language.understand("ext:.pdf", NOW).clauses[0][0].value == [".pdf"] and language.understand("e\u0301", NOW).clauses[0][0].value == "\u00e9"
     assert language.understand("regex:[", NOW).clauses[0][0].value == "regex:["
 
 
+def test_local_days():
+    """New York: 10 March 2024 has 23 hours, 3 November 25; weeks may begin on Sunday."""
+    noon = 1710090000  # 2024-03-10 13:00 EDT
+    day = language.date_range("today", noon, "America/New_York")
+    assert day[1] - day[0] + 1 == 23 * 3600 and language.date_range("yesterday", noon, "America/New_York")[1] == day[0] - 1
+    day = language.date_range("2024-11-03", noon, "America/New_York")
+    assert day[1] - day[0] + 1 == 25 * 3600
+    assert language.date_range("week", noon, "America/New_York", 6)[0] == language.date_range("today", noon, "America/New_York")[0]
+    assert language.date_range("36500d", NOW) is not None and language.date_range("36501d", NOW) is None and language.date_range("<1970", NOW) is None
+
+
+def test_problems_have_places_and_wait_for_the_caret():
+    line = 'doc kind:bad "size:x y"|dm:never !regex:['
+    told = language.understand(line, NOW).problems
+    assert [(p.kind, line[p.start : p.end]) for p in told] == [("kind", "kind:bad"), ("size", '"size:x y"'), ("date", "dm:never"), ("regex", "!regex:[")]
+    assert [p.kind for p in language.understand(line, NOW, caret=8).problems] == ["size", "date", "regex"]
+    assert language.understand(line, NOW, composing=True).problems == [] and len(language.understand(line, NOW, composing=True).clauses) == 1
+    assert language.understand("kind:bad kind:doc kind:bad", NOW).problems == [("kind", "kind:bad", 0, 8), ("kind", "kind:bad", 18, 26)]
+
+
+def test_every_han_character_has_a_syllable(spark):
+    table = names.syllables(spark)
+    assert len(table) == 0x9FFF - 0x4E00 + 1 and sum(x.islower() and x.isascii() for x in table) > 20_900 and table[0] == "yi" and table[ord("女") - 0x4E00] == "nu"
+    rows = spark.createDataFrame([("项目文档.MD",), ("É文x😀Ü.md",), ("éa",), ("ÉA",), ("plain",)], "name string")
+    got = [r[0] for r in rows.withColumn("t", names.syllable_table(spark)).select(names.alternate_keys(F.col("name"), F.col("t"))).collect()]
+    assert got == [["xiangmuwendang.md", "xmwd.md"], ["Éwenx😀Ü.md", "Éwx😀Ü.md"], [], ["éa"], []]
+
+
+def test_syllables_are_an_option(tree):
+    assert ids(tree, "xmwd") == {17} and ids(tree, "xmwd", syllables=False) == set() and ids(tree, "éclair", syllables=False) == {18} and ids(tree, "文档") == {17}
+    assert search.found(tree, "xmwd", search.Options(now=NOW)).first().score > search.found(tree, "mwd", search.Options(now=NOW)).first().score
+
+
+def test_patterns_keep_to_a_budget(spark, tree):
+    """A name on which backtracking would take for ever is left out, from the negated search too; others are judged as ever."""
+    assert [language.may_explode(p) for p in (r"^(a+)+$", "(a|aa)+$", "(?:a?){30}", "a*b*c*d*e", r"^photo\d+\.", "a|b+", "(?<=x)y+[a-z]*")] == [True, True, True, True, False, False, False]
+    bad = "a" * 60 + "X"
+    rows = tree.where("entry_id = 16").withColumns({"name": F.explode(F.array(F.lit(bad), F.lit("aaaa"), F.lit("b")))})
+    find = lambda line: sorted(r.name for r in search.found(rows, line, search.Options(sort="name", now=NOW)).collect())
+    assert find('"regex:^(a|aa)+$"') == ["aaaa"] and find('!"regex:^(a|aa)+$"') == ["b"]
+    assert find('regex:X$|"regex:^(a|aa)+$"') == ["aaaa", bad] and find('"regex:^(a|aa)+$"|regex:X$') == ["aaaa"]
+    assert find("regex:^(a+)+$") == ["aaaa"] and find("!regex:^(a+)+$") == [bad, "b"]  # this one the engine tells in time
+
+
+def test_paths_below_another_root(tree):
+    assert ids(tree, "/Vol/src/deep", root="/Vol") == {5, 14, 15} and ids(tree, "!vol", root="/Vol") == set()
+    spaced = tree.withColumn("rel_path", F.when(F.col("entry_id") == 16, "/a b/c d.md").otherwise(F.col("rel_path")))
+    for line, o in (("/a b/c d.md", {}), ("a b/c d.md", {}), ("b/c d.md", {"folder": "/a b"}), ("~/c d.md", {"home": "/a b"}), ("/Vol/a b/c d.md", {"root": "/Vol"})):
+        whole = search.found(spaced, line, search.Options(now=NOW, **o))
+        assert ({r.entry_id for r in whole.collect()} == {16}) == (line != "b/c d.md"), line
+
+
 def test_narrowing_equals_full_search(tree):
     for chain in (["r", "re", "readme"], ["x", "xm"], ["re", "readme !node_modules"]):
         rows = tree
