@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import names
+from . import replay
 
 
 @F.pandas_udf(StringType())
@@ -154,20 +155,11 @@ def active_branch(messages: DataFrame) -> DataFrame:
     """(conv, id, ord) on the branch that ends at each conversation's last message.
 
     messages: conv, id, parent, ord. Where no two messages share a parent all of them stay; else the
-    chain of parents from the last one is followed. A conversation is one group: its own messages.
+    links back from the last one are followed. Whole transcripts, with their notices and repairs, are in `replay`.
     """
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        if not pdf["parent"].dropna().duplicated().any():
-            return pdf[["conv", "id", "ord"]]
-        parent, at, keep = dict(zip(pdf["id"], pdf["parent"], strict=True)), pdf["id"].iloc[-1], set()
-        while at in parent and at not in keep:
-            keep.add(at)
-            at = parent[at]
-        return pdf[pdf["id"].isin(keep)][["conv", "id", "ord"]]
-
-    return messages.select("conv", "id", "parent", "ord").groupBy("conv").applyInPandas(follow, "conv string, id string, ord long")
+    no = F.lit(False)
+    rows = messages.select("conv", "ord", "id", "parent", F.lit(None).cast("string").alias("logical"), F.lit("message").alias("type"), no.alias("compact"), no.alias("teammate"), F.lit(True).alias("real_user"), no.alias("custom"), no.alias("notice"))
+    return messages.join(replay.active(rows), ["conv", "ord"], "left_semi").select("conv", "id", "ord")
 
 
 def visible_text(kind: Column, meta: Column, content: Column) -> Column:

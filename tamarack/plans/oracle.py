@@ -324,6 +324,13 @@ def statements() -> dict[str, str]:
         + " AS score FROM han WHERE contains(full_key, 'wd') OR contains(initials, 'wd')",
         "op_p11_kinds": CAT + " " + " UNION ALL ".join(f"SELECT '{w}' AS word, count(*) FILTER ({'kind = ' + str(k) if k < 9 else 'FALSE'}) AS n FROM cat" for k, w in enumerate("folder app doc image video audio code archive document".split(), 1)),
         "op_p10_zone": _zones(),
+        "op_t9_replay": """WITH RECURSIVE r AS (SELECT conv_id AS conv, turn AS ord, conv_id % 3 = 2 AND turn = 3 AS fork, turn % 7 = 6 AS note, role = 'user' AND turn % 7 <> 6 AND NOT (conv_id % 3 = 2 AND turn = 3) AS typed,
+              CASE WHEN conv_id % 3 = 2 AND turn = 3 THEN 0 WHEN turn % 5 = 4 AND turn % 7 <> 6 THEN turn - 2 WHEN turn >= 1 THEN turn - 1 END AS parent, conv_id % 3 = 0 AND turn % 4 = 3 AS filtered FROM conversations),
+            t AS (SELECT *, CASE WHEN typed AND ord = 4 AND conv % 3 = 2 THEN 0 ELSE parent END AS target FROM r),
+            branched AS (SELECT conv FROM r WHERE fork OR filtered UNION SELECT conv FROM r WHERE typed AND parent IS NOT NULL GROUP BY conv, parent HAVING count(*) > 1),
+            way(conv, ord) AS (SELECT conv, max(ord) FROM t SEMI JOIN branched USING (conv) WHERE NOT fork GROUP BY conv
+              UNION SELECT w.conv, b.ord FROM way w JOIN t a ON a.conv = w.conv AND a.ord = w.ord JOIN t b ON b.conv = a.conv AND b.ord = a.target)
+            SELECT CAST(conv AS VARCHAR) AS conv, CAST(ord AS BIGINT) AS ord FROM t WHERE NOT fork AND (conv NOT IN (SELECT conv FROM branched) OR (conv, ord) IN (SELECT (conv, ord) FROM way))""",
         "op_f7_budget": CAT + r" SELECT entry_id, regexp_matches(name, '^(?:[a-z]+_|[a-z]+[0-9])+[0-9]*\.(?:md|TXT)$') AS hit FROM cat",
         "op_a13_totals": f"{BOTH}, n AS (SELECT (SELECT count(*) FROM cat) AS c, (SELECT count(*) FROM parts) AS p) SELECT 'docs' AS source, c AS n FROM n UNION ALL SELECT 'parts', p FROM n UNION ALL SELECT 'all', c + p FROM n",
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, present
 from ..operators import catalog as cat
-from ..operators import changes, coverage, search, topics
+from ..operators import changes, coverage, replay, search, topics
 from ..sources import sessions
 from ..streaming import feed
 from . import adapters as ad
@@ -491,6 +491,20 @@ def op_t9_branch(spark, sf_dir):
     return topics.active_branch(rows).select("conv", "ord")
 
 
+@query
+def op_t9_replay(spark, sf_dir):
+    """Conversations as transcripts with branches, notes between agents, notices of filters and of forks: the records on show."""
+    c = ad.table(spark, sf_dir, "conversations")
+    turn = F.col("turn")
+    fork, note, m = (F.col("conv_id") % 3 == 2) & (turn == 3), turn % 7 == 6, lambda t: F.concat(F.lit("m"), t.cast("string"))
+    parent = F.when(fork, m(F.lit(0))).when(note, None).when(turn % 5 == 4, m(turn - 2)).when(turn >= 1, m(turn - 1))
+    filtered = F.when((F.col("conv_id") % 3 == 0) & (turn % 4 == 3), F.struct(F.lit(True).alias("contentFilterNotice")))
+    said = F.when(note, F.concat(F.lit('<teammate-message from="w">'), "text", F.lit("</teammate-message>"))).otherwise(F.col("text"))
+    value = F.struct(F.when(fork, replay.FORK).otherwise("message").alias("type"), m(turn).alias("id"), parent.alias("parentId"), "role", said.alias("content"), filtered.alias("providerData"))
+    lines = c.select(F.col("conv_id").cast("string").alias("conv"), turn.cast("long").alias("ord"), F.to_json(value).alias("value"))
+    return replay.active(replay.records(lines))
+
+
 @query
 def op_e18_explain(spark, sf_dir):
     """Why paths are or are not in the index: every entry's, and as many that no scan has met."""
