@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .subtrees import above, holding
+
 #: Bits of a change's flags.
 MUST_SCAN, USER_DROPPED, KERNEL_DROPPED, IDS_WRAPPED, ROOT_CHANGED = 0x01, 0x02, 0x04, 0x08, 0x20
 _EVENT = "decimal(38,0)"  # an event id, or a batch and an event id
 
 
-def above(path: Column) -> Column:
-    """Paths of all folders that a path lies in, but the root."""
-    parts = F.split(path, "/")
-    ups = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    return F.filter(ups, lambda up: up != path)
-
-
 def lost(root: str = "/") -> Column:
     """Whether an event (path, flags) says that others are missing: ids wrapped, the root changed, or the root is to be scanned again."""
     flags = F.col("flags")
@@ -62,25 +57,21 @@ def upserted(catalog: DataFrame, seen: DataFrame, cursor: int = -1) -> DataFrame
     old = catalog.select("rel_path", "size", "mtime", F.lit(None).cast(_EVENT).alias("event_id"))
     old = old.join(new.select(F.col("path").alias("rel_path")), "rel_path", "left_anti")
     rows = old.unionByName(new.where("present").select(F.col("path").alias("rel_path"), "size", "mtime", F.col("event_id").cast(_EVENT)))
-    gone = new.where("NOT present").select(F.col("path").alias("up"), F.col("event_id").cast(_EVENT).alias("gone"))
-    inside = rows.select("rel_path", "event_id", F.explode(above(F.col("rel_path"))).alias("up")).join(gone, "up")
-    inside = inside.where("event_id IS NULL OR gone > event_id").select("rel_path").distinct()
-    return rows.join(inside, "rel_path", "left_anti").select("rel_path", "size", "mtime")
+    gone = new.where("NOT present").groupBy("path").agg(F.max(F.col("event_id").cast(_EVENT)).alias("gone"))
+    inside = holding(rows, gone, name="_gone", itself=False)
+    kept = ~F.exists("_gone", lambda x: F.col("event_id").isNull() | (x["gone"] > F.col("event_id")))
+    return inside.where(kept).select("rel_path", "size", "mtime")
 
 
 def merged(catalog: DataFrame, roots: DataFrame, listed: DataFrame) -> DataFrame:
     """(rel_path, size, mtime) after the folders at roots (path) were read again: listed takes the place of all at and below them."""
-    at = outer_roots(roots).select(F.col("path").alias("up"))
-    ups = F.concat(above(F.col("rel_path")), F.array("rel_path"))
-    inside = catalog.select("rel_path", F.explode(ups).alias("up")).join(at, "up", "left_semi").select("rel_path").distinct()
-    return catalog.join(inside, "rel_path", "left_anti").select("rel_path", "size", "mtime").unionByName(listed.select("rel_path", "size", "mtime"))
+    rest = holding(catalog.select("rel_path", "size", "mtime"), roots.select("path").distinct(), name="_roots").where(F.size("_roots") == 0)
+    return rest.drop("_roots").unionByName(listed.select("rel_path", "size", "mtime"))
 
 
 def swept(catalog: DataFrame, removed: DataFrame) -> DataFrame:
     """catalog and `deleted`: entries at removed paths (path) and all below them."""
-    ups = F.transform(F.sequence(F.lit(1), F.size("ancestors") + 1), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(F.concat("ancestors", F.array("name")), F.lit(1), n), "/")))
-    hit = catalog.select("entry_id", F.explode(ups).alias("path")).join(removed.select("path"), "path", "left_semi").select("entry_id").distinct()
-    return catalog.join(hit.withColumn("deleted", F.lit(True)), "entry_id", "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    return holding(catalog, removed.select("path").distinct(), name="_gone").withColumn("deleted", F.size("_gone") > 0).drop("_gone")
 
 
 def reconciled(catalog: DataFrame, root: str, touched: DataFrame) -> DataFrame:
@@ -96,9 +87,7 @@ def outer_roots(roots: DataFrame) -> DataFrame:
 
 def inherited(catalog: DataFrame, renamed: DataFrame) -> DataFrame:
     """catalog with `ancestors` after folders (old path from the root, new name) were renamed; flags follow from them."""
-    levels = F.transform(F.sequence(F.lit(1), F.size("ancestors")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ancestors", F.lit(1), n), "/").alias("old")))
-    deep = catalog.where(F.size("ancestors") > 0).select("entry_id", F.explode(levels).alias("x")).select("entry_id", "x.n", "x.old")
-    hit = deep.join(renamed.select(F.ltrim(F.col("old"), F.lit("/")).alias("old"), "new"), "old")
-    names = hit.groupBy("entry_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "new"))).alias("to"))  # a path's levels at most
-    moved = F.transform("ancestors", lambda a, i: F.coalesce(F.try_element_at("to", i + 1), a))
-    return catalog.join(names, "entry_id", "left").withColumn("ancestors", moved).drop("to")
+    rows = holding(catalog, renamed.select(F.concat(F.lit("/"), F.ltrim(F.col("old"), F.lit("/"))).alias("path"), "new"), name="_renamed", itself=False)
+    new = F.map_from_entries(F.transform("_renamed", lambda x: F.struct(F.size(F.split(x["path"], "/")) - 1, x["new"])))  # by depth
+    moved = F.transform("ancestors", lambda a, i: F.coalesce(F.try_element_at(F.col("_to"), i + 1), a))
+    return rows.withColumn("_to", new).withColumn("ancestors", moved).drop("_renamed", "_to")

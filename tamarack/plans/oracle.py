@@ -324,6 +324,21 @@ def statements() -> dict[str, str]:
         + " AS score FROM han WHERE contains(full_key, 'wd') OR contains(initials, 'wd')",
         "op_p11_kinds": CAT + " " + " UNION ALL ".join(f"SELECT '{w}' AS word, count(*) FILTER ({'kind = ' + str(k) if k < 9 else 'FALSE'}) AS n FROM cat" for k, w in enumerate("folder app doc image video audio code archive document".split(), 1)),
         "op_p10_zone": _zones(),
+        "op_x8_upkeep": f"""{CAT}, {LATEST}, told AS (SELECT *, lower(path) AS lp, event_id % 50 = 0 AS is_dir FROM latest
+              WHERE NOT starts_with(path, '/src5/') AND NOT list_contains(string_split(path, '/')[:-2], 'src6')),
+            old AS (SELECT c.*, lower(rel_path) AS lp, t.path, t.present, t.is_dir AS now_dir, t.size AS now_size, t.mtime AS now_mtime FROM cat c LEFT JOIN told t ON t.lp = lower(c.rel_path)),
+            gone AS (SELECT rel_path FROM old WHERE path IS NOT NULL AND (NOT present OR now_dir <> is_dir)),
+            stay AS (SELECT * FROM old o WHERE NOT EXISTS (FROM gone g WHERE o.rel_path = g.rel_path OR starts_with(o.rel_path, g.rel_path || '/'))),
+            ups AS (SELECT path, mtime, unnest(range(2, len(string_split(path, '/')))) AS n FROM told WHERE present),
+            need AS (SELECT array_to_string(string_split(path, '/')[1:n], '/') AS path, max(mtime) AS mtime FROM ups GROUP BY 1),
+            fresh AS (SELECT path, is_dir, CASE WHEN is_dir THEN 0 ELSE size END AS size, mtime FROM told WHERE present AND lp NOT IN (SELECT lp FROM stay)
+              UNION ALL SELECT path, TRUE, 0, mtime FROM need WHERE lower(path) NOT IN (SELECT lp FROM stay)),
+            new AS (SELECT *, (SELECT max(entry_id) FROM cat) + row_number() OVER (ORDER BY replace(path, '/', chr(1))) AS entry_id FROM fresh),
+            homes AS (SELECT entry_id, lp FROM stay WHERE is_dir UNION ALL SELECT entry_id, lower(path) FROM new WHERE is_dir)
+            SELECT entry_id, parent_id, CASE WHEN path IS NULL THEN name ELSE string_split(path, '/')[-1] END AS name, is_dir, CASE WHEN path IS NULL THEN size WHEN now_dir THEN 0 ELSE now_size END AS size,
+              coalesce(now_mtime, mtime) AS mtime, rel_path, depth, array_to_string(ancestors, '/') AS ancestors FROM stay
+            UNION ALL SELECT n.entry_id, coalesce(h.entry_id, 0), string_split(path, '/')[-1], is_dir, size, mtime, path, len(string_split(path, '/')) - 1, array_to_string(string_split(path, '/')[2:-2], '/')
+            FROM new n LEFT JOIN homes h ON h.lp = lower(regexp_extract(path, '^(.*)/', 1))""",
         "op_t9_replay": """WITH RECURSIVE r AS (SELECT conv_id AS conv, turn AS ord, conv_id % 3 = 2 AND turn = 3 AS fork, turn % 7 = 6 AS note, role = 'user' AND turn % 7 <> 6 AND NOT (conv_id % 3 = 2 AND turn = 3) AS typed,
               CASE WHEN conv_id % 3 = 2 AND turn = 3 THEN 0 WHEN turn % 5 = 4 AND turn % 7 <> 6 THEN turn - 2 WHEN turn >= 1 THEN turn - 1 END AS parent, conv_id % 3 = 0 AND turn % 4 = 3 AS filtered FROM conversations),
             t AS (SELECT *, CASE WHEN typed AND ord = 4 AND conv % 3 = 2 THEN 0 ELSE parent END AS target FROM r),

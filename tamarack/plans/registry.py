@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, present
 from ..operators import catalog as cat
-from ..operators import changes, coverage, replay, search, topics
+from ..operators import changes, coverage, replay, search, topics, upkeep
 from ..sources import sessions
 from ..streaming import feed
 from . import adapters as ad
@@ -212,6 +212,14 @@ def op_x8_upsert(spark, sf_dir):
     return changes.upserted(ad.catalog(spark, sf_dir).where("NOT is_dir"), _latest(spark, sf_dir))
 
 
+@query
+def op_x8_upkeep(spark, sf_dir):
+    """The whole catalog after the change feed: parents that it lacks, new ids, some files that are folders now, some paths left out."""
+    seen = _latest(spark, sf_dir).withColumn("is_dir", F.col("event_id") % 50 == 0)
+    after = upkeep.upkept(ad.catalog(spark, sf_dir), seen, None, ["/src5"], ["src6"], ["zip"])
+    return after.select("entry_id", "parent_id", "name", "is_dir", "size", "mtime", "rel_path", "depth", F.array_join("ancestors", "/").alias("ancestors"))
+
+
 @query
 def op_m2_multi(spark, sf_dir):
     both = [("docs", ad.catalog(spark, sf_dir)), ("parts", ad.parts(spark, sf_dir))]
