@@ -2,9 +2,8 @@
 
 DataFrame functions only. Base patterns give e-mail addresses, IP addresses, card and phone numbers.
 Their spans seed a graph between lexical patterns and instances (what stands there, in lower case). A
-mention has up to three patterns: the two words before it, the word before it with the mention's form, and
-the form alone (letter runs as a, digit runs as 0, other signs as they are, with the number of digits).
-Spark scores the graph in turns: a pattern is as good as the share of its occurrences whose instance is
+mention has up to two patterns, the word before it and the two words before it; how the mention itself looks
+is no pattern, so numbers in running prose are never taken for cards by their length. Spark scores the graph in turns: a pattern is as good as the share of its occurrences whose instance is
 trusted, an instance as good as its best pattern. Patterns that reach CONFIDENCE with enough different
 instances then mark further identifier-like tokens, those the base patterns miss, as personal data of the
 kind they stand for.
@@ -21,7 +20,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, kept
 
 KINDS = ("email", "ip", "card", "phone")
 #: What a span of each kind must look like. A look-behind, or \G for what follows an
@@ -134,16 +133,9 @@ def _words_before(before: Column, n: int) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(whole, "[0-9]", "0"), r"\s+", " "), F.lit(""))
 
 
-def form(of: Column) -> Column:
-    """Letter runs as a, digit runs as 0, other signs as they are, and how many digits there are."""
-    shape = F.regexp_replace(F.regexp_replace(of, "[0-9]+", "0"), "[A-Za-z]+", "a")
-    return F.concat(F.regexp_replace(shape, r"(?:(?:a0|0a)a?){3,}+", "m"), F.lit("#"), F.length(_digits(of)).cast("string"))
-
-
-def patterns(before: Column, of: Column) -> Column:
-    """The lexical patterns of a mention."""
-    one, two = _words_before(before, 1), _words_before(before, 2)
-    made = F.array(F.concat(F.lit("2 "), two), F.concat(F.lit("1 "), one, F.lit(" "), form(of)), F.concat(F.lit("0 "), form(of)))
+def patterns(before: Column) -> Column:
+    """The lexical patterns of a mention: two words before it, one word before it."""
+    made = F.array(*[F.concat(F.lit(f"{n} "), _words_before(before, n)) for n in (2, 1)])
     return F.filter(made, lambda p: p.isNotNull())
 
 
@@ -171,7 +163,7 @@ def mentions(rows: DataFrame) -> DataFrame:
     spans = spans.withColumn("free", F.when(F.size("tokens") > 0, apart).otherwise(F.col("tokens")))
     base = F.concat(*[F.transform(k, partial(_ranked, k)) for k in KINDS])
     both = F.concat(*[F.transform(k, partial(_of_kind, k)) for k in KINDS], F.transform("free", lambda t: t.withField("kind", F.lit(None).cast("string"))))
-    told = F.transform(both, lambda m: F.struct(m["kind"].alias("kind"), patterns(m["before"], m["of"]).alias("patterns"), F.lower(m["of"]).alias("instance"), m["start"].alias("start"), m["stop"].alias("stop")))
+    told = F.transform(both, lambda m: F.struct(m["kind"].alias("kind"), patterns(m["before"]).alias("patterns"), F.lower(m["of"]).alias("instance"), m["start"].alias("start"), m["stop"].alias("stop")))
     return cut(spans.select("key", "doc_id", base.alias("base"), told.alias("told")))
 
 
@@ -201,7 +193,7 @@ def trusted_patterns(edges: DataFrame, confidence: float = CONFIDENCE, min_seeds
         support = support.where(F.col("seeds") >= min_seeds).join(total, "pattern")
         current = cut(support.select("pattern", "kind", (F.col("gain") / F.col("total")).alias("score")))
     best = current.where(F.col("score") >= confidence).groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("b"))
-    return best.select("pattern", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
+    return kept(best.select("pattern", F.col("b.kind").alias("kind"), F.col("b.score").alias("score")))  # its size decides how mentions, of which one pattern may have very many, are joined
 
 
 def discovered(found: DataFrame, good: DataFrame) -> DataFrame:
@@ -228,18 +220,19 @@ def find_pii(docs: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
 
 
 def held_out_seeds(docs: DataFrame, parts: int = 10, confidence: float = CONFIDENCE) -> DataFrame:
-    """(kind, hidden, found, wrong): how well patterns find seeds that they were not shown.
+    """(kind, hidden, found, wrong): how well patterns find seeds that they were not shown, and what else they mark.
 
     Of the base instances one in `parts`, by hash, takes part as an ordinary token. hidden: their mentions;
-    found: those marked with their own kind; wrong: those marked with another one.
+    found: those marked with their own kind; wrong: those marked with another one. Kind `none` has all ordinary
+    tokens: found are those that stay unmarked, wrong those that are marked.
     """
     seen = mentions(base_spans(docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")))
     seen = seen.select("key", F.explode("told").alias("m")).select("key", "m.*").distinct()
     hide = F.pmod(F.xxhash64("instance"), F.lit(parts)) == 0
     shown = seen.withColumn("truth", F.when(hide, F.col("kind"))).withColumn("kind", F.when(~hide, F.col("kind")))
     marked = discovered(shown, trusted_patterns(pattern_edges(shown), confidence)).withColumnRenamed("kind", "told")
-    out = shown.where("truth IS NOT NULL").join(marked, ["key", "start", "stop"], "left").groupBy(F.col("truth").alias("kind"))
-    return out.agg(F.count(F.lit(1)).alias("hidden"), F.count_if(F.expr("told = truth")).alias("found"), F.count_if(F.expr("told <> truth")).alias("wrong"))
+    out = shown.where("truth IS NOT NULL OR kind IS NULL").join(marked, ["key", "start", "stop"], "left").groupBy(F.coalesce("truth", F.lit("none")).alias("kind"))
+    return out.agg(F.count(F.lit(1)).alias("hidden"), F.count_if(F.expr("told <=> truth")).alias("found"), F.count_if(F.expr("told IS NOT NULL AND NOT (told <=> truth)")).alias("wrong"))
 
 
 def _joined(spans: Column) -> Column:
