@@ -58,6 +58,9 @@ def syllable_table(spark: SparkSession) -> Column:
     return spark.createDataFrame([(syllables(spark),)], "syllables array<string>").scalar()
 
 
+ASCII_LOWER = str.maketrans(UPPER, LOWER)
+
+
 def fold(x: Column) -> Column:
     """A-Z to a-z; nothing else changes case."""
     return F.translate(x, UPPER, LOWER)

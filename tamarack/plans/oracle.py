@@ -324,6 +324,13 @@ def statements() -> dict[str, str]:
         + " AS score FROM han WHERE contains(full_key, 'wd') OR contains(initials, 'wd')",
         "op_p11_kinds": CAT + " " + " UNION ALL ".join(f"SELECT '{w}' AS word, count(*) FILTER ({'kind = ' + str(k) if k < 9 else 'FALSE'}) AS n FROM cat" for k, w in enumerate("folder app doc image video audio code archive document".split(), 1)),
         "op_p10_zone": _zones(),
+        "op_s5_scope": CAT + """, p AS (SELECT entry_id, rel_path AS p, is_dir, string_split(substr(rel_path, 2), '/') AS parts FROM cat)
+            SELECT entry_id, CASE WHEN p = '/src1/en' OR starts_with(p, '/src1/en/') THEN 'user path' WHEN p = '/src2' OR starts_with(p, '/src2/') THEN 'system'
+              WHEN starts_with(p, '/src4/') AND p <> '/src4/de' AND NOT starts_with(p, '/src4/de/') THEN 'system' WHEN starts_with(p, '/src3/') THEN 'library'
+              WHEN parts[1] IN ('node_modules', 'src5') THEN 'dependency' WHEN len(parts) > 1 AND parts[1] IN ('src9.app', 'src11.PhotosLibrary', 'src13.xcworkspace') THEN 'package'
+              WHEN NOT is_dir AND (ends_with(p, '.zip') OR ends_with(p, '.xyz')) THEN 'file type' WHEN p = '/src6/fr' OR starts_with(p, '/src6/fr/') OR parts[1] = 'src8' THEN 'built in' ELSE '' END AS reason FROM p""",
+        "op_x11_epochs": """WITH e AS (SELECT user_id % 5 AS source, event_id // 700 - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS epoch, event_id AS seq, event_type FROM events),
+            h AS (SELECT *, max(epoch) OVER (PARTITION BY source ORDER BY seq ROWS UNBOUNDED PRECEDING) AS highest FROM e) SELECT source, epoch, seq, event_type FROM h WHERE epoch >= highest""",
         "op_x8_upkeep": f"""{CAT}, {LATEST}, told AS (SELECT *, lower(path) AS lp, event_id % 50 = 0 AS is_dir FROM latest
               WHERE NOT starts_with(path, '/src5/') AND NOT list_contains(string_split(path, '/')[:-2], 'src6')),
             old AS (SELECT c.*, lower(rel_path) AS lp, t.path, t.present, t.is_dir AS now_dir, t.size AS now_size, t.mtime AS now_mtime FROM cat c LEFT JOIN told t ON t.lp = lower(c.rel_path)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, present
 from ..operators import catalog as cat
-from ..operators import changes, coverage, replay, search, topics, upkeep
+from ..operators import changes, coverage, replay, scope, search, topics, upkeep
 from ..sources import sessions
 from ..streaming import feed
 from . import adapters as ad
@@ -122,6 +122,28 @@ def op_s5_exclusion(spark, sf_dir):
     return _left_out(spark, sf_dir).select("entry_id", "reason")
 
 
+SCOPE = scope.Scope(user_paths=("/src1/en",), library="/src3", limited=True, system_roots=("/src2",), system="/src4", system_kept="/src4/de", dependencies=("node_modules", "src5"), extensions=("zip", "xyz"), always_paths=("/src6/fr",), always_names=("src8",))
+
+
+@query
+def op_s5_scope(spark, sf_dir):
+    """All rules of a scan's scope over the catalog's paths, in their order."""
+    rows = ad.catalog(spark, sf_dir)
+    return rows.select("entry_id", F.coalesce(SCOPE.reason(F.col("rel_path"), F.col("is_dir")), F.lit("")).alias("reason"))
+
+
+@query
+def op_x11_epochs(spark, sf_dir):
+    """The events as a stream of several watchers, each replaced after some thousand events: what retired ones still send is dropped."""
+    folder = feed.working_folder(spark)
+    events = spark.readStream.schema(ad.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    epoch = F.expr("event_id div 700 - CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END")
+    rows = events.select((F.col("user_id") % 5).alias("source"), epoch.alias("epoch"), F.col("event_id").alias("seq"), "event_type")
+    out = feed.of_living_streams(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
 @query
 def op_a2_coverage(spark, sf_dir):
     return coverage.counters(_left_out(spark, sf_dir))

@@ -115,6 +115,26 @@ def follow(feed: DataFrame, folder: str, checkpoint: str, every: str | None = No
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def of_living_streams(feed: DataFrame) -> DataFrame:
+    """The rows of a stream (source, epoch, seq, any others) that do not come from a retired watcher.
+
+    A source's watcher is replaced now and then and counts its epoch up; what an earlier one still sends after the
+    first row of a later one, by seq, is dropped. The highest epoch of each source is kept in the stream's
+    state, so it also holds for later micro-batches. A source's rows of one micro-batch are put in order in one task.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def pick(key: tuple, parts, state: GroupState):
+        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        known = state.get[0] if state.exists else None
+        highest = rows["epoch"].cummax() if known is None else rows["epoch"].cummax().clip(lower=known)
+        state.update((int(highest.iloc[-1]),))
+        yield rows[rows["epoch"] >= highest]
+
+    return feed.groupBy("source").applyInPandasWithState(pick, feed.schema, "epoch long", "append", GroupStateTimeout.NoTimeout)
+
+
 def coalesced_per_window(feed: DataFrame, seconds: int = 1, late: str = "10 seconds") -> DataFrame:
     """Flags OR-ed and last event by path and time window, for feeds with an event time `ts`."""
     windowed = feed.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds"), "path")
