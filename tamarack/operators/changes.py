@@ -87,7 +87,8 @@ def outer_roots(roots: DataFrame) -> DataFrame:
 
 def inherited(catalog: DataFrame, renamed: DataFrame) -> DataFrame:
     """catalog with `ancestors` after folders (old path from the root, new name) were renamed; flags follow from them."""
-    rows = holding(catalog, renamed.select(F.concat(F.lit("/"), F.ltrim(F.col("old"), F.lit("/"))).alias("path"), "new"), name="_renamed", itself=False)
+    own = catalog.withColumn("_folder", F.concat(F.lit("/"), F.array_join("ancestors", "/")))
+    rows = holding(own, renamed.select(F.concat(F.lit("/"), F.ltrim(F.col("old"), F.lit("/"))).alias("path"), "new"), "_folder", "_renamed")
     new = F.map_from_entries(F.transform("_renamed", lambda x: F.struct(F.size(F.split(x["path"], "/")) - 1, x["new"])))  # by depth
     moved = F.transform("ancestors", lambda a, i: F.coalesce(F.try_element_at(F.col("_to"), i + 1), a))
-    return rows.withColumn("_to", new).withColumn("ancestors", moved).drop("_renamed", "_to")
+    return rows.withColumn("_to", new).withColumn("ancestors", moved).drop("_renamed", "_to", "_folder")

@@ -1,7 +1,8 @@
 """Folder trees: as a Spark data source, and walked in rounds that share out what is found.
 
 `spark.read.format("tree").load(path)` has one partition for each folder at `split_depth` levels below the
-root; filters that say what a path begins with, or does not, keep the scan out of other folders. `walked`
+root; filters that say what a path begins with, or does not, keep the scan out of other folders where
+spark.sql.python.filterPushdown.enabled is set. `walked`
 begins with the root: a task lists folders until it has met a number of entries and gives back those it has not
 come to, which the next round deals out anew. So neither many folders in one place nor deep ones hold up a task.
 Links are listed but not followed. The tree must be reachable from every executor.
@@ -37,14 +38,6 @@ class _Reader(DataSourceReader):
         self.root, self.depth, self.packages = root.rstrip("/") or "/", depth, packages
         self.only, self.never = [], []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Keep out of folders that no wanted path lies in; Spark still applies all filters to the rows."""
-        for f in filters:
-            inner = f.child if isinstance(f, Not) else f
-            if isinstance(inner, StringStartsWith) and inner.attribute == ("path",):
-                (self.never if isinstance(f, Not) else self.only).append(inner.value)
-        return filters
-
     def _wanted(self, folder: str) -> bool:
         """Whether paths below a folder can pass the filters."""
         below = "/" + os.path.relpath(folder, self.root) + "/"
@@ -82,6 +75,16 @@ class _Reader(DataSourceReader):
                     waiting.append(x.path)
 
 
+class _Pushed(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Keep out of folders that no wanted path lies in; Spark still applies all filters to the rows."""
+        for f in filters:
+            inner = f.child if isinstance(f, Not) else f
+            if isinstance(inner, StringStartsWith) and inner.attribute == ("path",):
+                (self.never if isinstance(f, Not) else self.only).append(inner.value)
+        return filters
+
+
 class TreeSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -91,13 +94,15 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("split_depth", "1")), self.options.get("packages", "false") == "true")
+        kind = _Pushed if self.options.get("pushdown") == "true" else _Reader
+        return kind(self.options["path"], int(self.options.get("split_depth", "1")), self.options.get("packages", "false") == "true")
 
 
 def listing(spark: SparkSession, root: str, split_depth: int = 1, packages: bool = False) -> DataFrame:
     """All below root. Packages (unless `packages`) and folders that are only placeholders are listed but not entered."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("tree").options(split_depth=str(split_depth), packages=str(packages).lower()).load(root)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    return spark.read.format("tree").options(split_depth=str(split_depth), packages=str(packages).lower(), pushdown=pushdown).load(root)
 
 
 #: Entries that a task of `walked` lists before it gives back the folders it has not come to.

@@ -55,7 +55,7 @@ def test_filters_keep_the_scan_out(spark, tmp_path, monkeypatch):
     for p in ("a/b/c", "a/x", "z/y"):
         (tmp_path / p).mkdir(parents=True)
         (tmp_path / p / "f").write_text("")
-    reader = listing._Reader(str(tmp_path), 1, False)
+    reader = listing._Pushed(str(tmp_path), 1, False)
     from pyspark.sql.datasource import EqualTo, Not, StringStartsWith
 
     given = [Not(StringStartsWith(("path",), "/a/b/")), StringStartsWith(("path",), "/a"), EqualTo(("name",), "f")]
