@@ -64,6 +64,9 @@ def main() -> None:
     narrowed = search.found(catalog, "doc-1", search.Options(now=NOW)).drop("score").cache()
     narrowed.count()
     timed("narrowed", lambda: search.search(narrowed, "doc-12", search.Options(now=NOW), BEST).collect())
+    han = adapters.han(spark, sf_dir).coalesce(int(cpus)).cache()
+    han.count()
+    timed("syllables", lambda: search.search(han, "wd", search.Options(now=NOW), BEST).collect())
     heads, messages = (x.cache() for x in adapters.topics(spark, sf_dir))
     timed("topics_build", lambda: (heads.count(), messages.count()), 1)
     timed("topics", lambda: topics.search(heads, messages, "the ing").collect())

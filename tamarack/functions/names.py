@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def syllables(spark: SparkSession) -> list[str]:
 
 def syllable_table(spark: SparkSession) -> Column:
     """`syllables` as one array for all rows: a subquery, so plans do not spell it out."""
-    return spark.createDataFrame([(syllables(spark),)], "syllables array<string>").scalar()
+    return spark.createDataFrame(pa.table({"syllables": pa.array([syllables(spark)], pa.list_(pa.string()))})).scalar()
 
 
 ASCII_LOWER = str.maketrans(UPPER, LOWER)

@@ -238,7 +238,7 @@ def _name(value: str, syllables: bool = True) -> Column:
 def _keyed(test: Callable[[Column], Column], needle: str, syllables: bool) -> Column:
     """Whether an alternate key passes: those of Han names for ASCII needles, where they are wanted; all keys for others."""
     some = F.exists("alt_keys", test)
-    return some if not needle.isascii() else F.col("name").rlike(names.HAN) & some if syllables else F.lit(False)
+    return some if not needle.isascii() else (F.size("alt_keys") == 2) & some if syllables else F.lit(False)  # Han names have two
 
 
 #: Seconds that a pattern may take for one entry.
