@@ -118,9 +118,11 @@ def containments(line: Column, ordered: dict[str, list[str]], width: dict[str, i
         def judged(own: Column) -> Column:
             def block(e: Column, i: Column) -> Column:
                 near = F.filter(F.slice(own, i + 1, fact["width"]), lambda x: x["word"] < e["word"] + fact["width"])
-                ranks = F.array_distinct(F.transform(near, lambda x: x["rank"]))
-                enough = (F.size(near) >= fact["need"]) & (fact["size"] - F.array_min(ranks) >= fact["need"]) & (F.size(ranks) >= fact["need"])
-                return F.struct(fact["label"].alias("label"), e["word"].alias("word"), F.when(enough, F.size(ranks) / fact["size"]).alias("share"))
+                ranks = F.transform(near, lambda x: x["rank"])
+                # length: as many words as are needed; position: from the block's rarest word on the template has as many
+                open_ = (F.size(near) >= fact["need"]) & (fact["size"] - F.array_min(ranks) >= fact["need"])
+                both = F.when(open_, F.size(F.array_distinct(ranks)))  # the overlap itself only of what both leave
+                return F.struct(fact["label"].alias("label"), e["word"].alias("word"), F.when(both >= fact["need"], both / fact["size"]).alias("share"))
 
             return F.filter(F.transform(own, block), lambda x: x["share"].isNotNull())
 

@@ -299,3 +299,39 @@ def test_op7_toxicity(spark, corpus):
     auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
     assert auc > 0.9 and sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.94
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_toxicity_matcher_and_curve():
+    """Matches, exceptions and features against a search for each term at each place; the curve against its own definition."""
+    import math
+    import random
+
+    import numpy as np
+
+    from tamarack.llm import toxicity
+
+    rng = random.Random(8)
+    words = ["bad", "badly", "b4d", "bäd", "ВАД", "ok", "sop", "soap", "s0p", "a", "the", "xbad", "bad-sop", "ba", "d"]
+    for _ in range(400):
+        text = "".join(rng.choice(words) + rng.choice([" ", "  ", ", ", "-", "\n", ""]) for _ in range(rng.randrange(12)))
+        lexicon = {t: round(rng.uniform(0.5, 3), 2) for t in rng.sample([" bad ", " bad", " ba", " sop ", " so", " a ", " ok ", " xb"], rng.randrange(1, 8))}
+        exceptions = rng.sample(["bad sop", "ok bad", "the bad", "sop a", "a sop"], rng.randrange(3))
+        folded = toxicity.fold(text)
+        places = [k for k in range(1, len(folded)) if folded[k - 1] == " " and folded[k] != " "]
+        found = {}
+        for k in places:
+            weights = [w for t, w in lexicon.items() if folded.startswith(t, k - 1)]
+            spoken = folded.split()
+            at = len(folded[:k].split())
+            near = {f"{spoken[at - 1]} {spoken[at]}" if at else "", f"{spoken[at]} {spoken[at + 1]}" if at + 1 < len(spoken) else ""}
+            if weights and not near & {*exceptions}:
+                found[k] = max(weights)
+        got = toxicity.Matcher(lexicon, exceptions).features(text)
+        total = sum(found.values())
+        want = (math.log1p(total), math.log1p(100 * total / max(1, len(folded.split()))), max(found.values())) if found else (0.0, 0.0, 0.0)
+        assert got == pytest.approx(want), (text, lexicon, exceptions)
+    x = np.array([[rng.uniform(0, 3), rng.uniform(0, 5), rng.uniform(0, 3)] for _ in range(500)])
+    y = np.array([int(rng.random() < 1 / (1 + math.exp(-(a + b - 4)))) for a, b, _ in x])
+    curve = toxicity.fit_curve(x, y)
+    loss = lambda w: float(np.mean(np.logaddexp(0, (1 - 2 * y) * (np.column_stack([x, np.ones(len(x))]) @ w))))
+    assert all(loss(np.asarray(curve)) <= loss(np.asarray(curve) + np.array(d)) + 1e-3 for d in ([0.1, 0, 0, 0], [-0.1, 0, 0, 0], [0, 0.1, 0, 0], [0, -0.1, 0, 0], [0, 0, 0, 0.1], [0, 0, 0, -0.1]))
