@@ -16,28 +16,84 @@ FORK = "resend-fork-notice"
 CUSTOM = ("custom-title", "ai-title", "file-history-snapshot", "summary", "topic", "goal-result", "goal-progress", FORK)
 #: Records that are looked at together.
 ORDS = 10_000
+#: What clients wrap around a user's words, and how summaries and their prompts began before records told them apart.
+_WRAPPED = (r"<system-reminder[^>]*>[\s\S]*?</system-reminder>\s*", r"<image_local_path>[\s\S]*?</image_local_path>\s*")
+_QUERY = r"<user_query>([\s\S]*?)</user_query>"
+_REMINDER = r"""(?i)^<system-reminder\b[^>]*data-role=["']compact-summary["']"""
+_PROMPTS = (
+    r"(?i)^\s*<compact-request\b",
+    r"(?i)^\s*Your task is to write a detailed and structured summary[\s\S]*<conversation_history_summary\b",
+    r"(?i)^(?:\s|\*)*+Your ONLY output should be the\s+<conversation_history_summary>[\s\S]*<conversation_history_summary\b",
+    r"(?i)^(?:\s|\*)*+Your task is to create a detailed summary of the conversation so far[\s\S]*<conversation_history_summary\b",
+    r"(?i)^\s*Please continue with the conversation based on the summarized context above\b",
+    r"(?i)^\s*Please\s+summarize\s+the\s+conversation\s+above[\s\S]*<(?:conversation_history_summary|cb_summary)\b",
+)
+_SUMMARY, _SUMMARY_OPENS, _SUMMARY_CLOSES = r"(?i)^\s*<conversation_history_summary\b", r"(?i)^\s*<cb_summary\b", r"(?i)</cb_summary>\s*$"
+_SUMMARY_HOLDS = r"(?i)<previous_(?:tool_call|user_message|assistant_message)\b"
 _TEAMMATE = r"(?is)^\s*<teammate-message\b[^>]*>.*</teammate-message>\s*$"
 _FLAGS = ("compact", "teammate", "real_user", "custom", "notice")
 
 
+def _of(path: str) -> Column:
+    return F.get_json_object("value", f"$.{path}")
+
+
+def _true(path: str) -> Column:
+    return F.coalesce(_of(f"providerData.{path}") == "true", F.lit(False))
+
+
+def _content(between: str, types: tuple[str, ...] = ()) -> Column:
+    """A record's text: contentText, else content; a string, or the texts of its blocks (of these types, if any are named)."""
+
+    def one(field: str) -> Column:
+        blocks = F.from_json(_of(field), "array<struct<type:string,text:string>>")
+        held = F.filter(blocks, lambda b: b["text"].isNotNull() & (b["type"].isin(*types) if types else F.lit(True)))
+        return F.when(_of(f"{field}[0]").isNotNull(), F.array_join(F.transform(held, lambda b: b["text"]), between)).otherwise(F.nullif(_of(field), F.lit("[]")))
+
+    return F.coalesce(one("contentText"), one("content"), F.lit(""))
+
+
+def _is_teammate() -> Column:
+    return _of("providerData.teammateMessage.from").isNotNull() | _content("").rlike(_TEAMMATE)
+
+
+def _is_compact() -> Column:
+    return _true("isCompactInternal") | _of("providerData.compactType").isNotNull()
+
+
+def visible_text() -> Column:
+    """What a transcript line (column value) shows of a user's or an assistant's words; empty for all that clients wrote themselves.
+
+    Reminders and paths around a user's words are taken away; compactions, their prompts and summaries, notes between
+    agents and meta records have no text.
+    """
+    body, blank = _content("\n", ("text", "input_text", "output_text")), r"^\s+|\s+$"
+    typed = body
+    for wrapped in _WRAPPED:
+        typed = F.regexp_replace(typed, wrapped, "")
+    user = F.coalesce(_of("role") == "user", F.lit(False))
+    shown = F.when(user, F.regexp_replace(F.regexp_replace(typed, _QUERY, "$1"), blank, "")).otherwise(body)
+    plain = F.regexp_replace(shown, blank, "")
+    prompt, summary = F.lit(False), body.rlike(_SUMMARY) | (body.rlike(_SUMMARY_OPENS) & body.rlike(_SUMMARY_CLOSES) & body.rlike(_SUMMARY_HOLDS))
+    for pattern in _PROMPTS:
+        prompt = prompt | plain.rlike(pattern)
+    said = F.coalesce((_of("type") == "message") & _of("role").isin("user", "assistant"), F.lit(False))
+    hidden = (user & _true("isMeta")) | _is_compact() | F.regexp_replace(body, blank, "").rlike(_REMINDER) | F.when(user, prompt).otherwise(summary) | _is_teammate()
+    return F.when(~said | (plain == "") | hidden, F.lit("")).otherwise(shown)
+
+
 def records(lines: DataFrame) -> DataFrame:
     """(conv, ord, id, parent, logical, type and flags) of transcript lines (conv, ord, value): JSON objects.
 
     compact: a user's message that a compaction wrote; teammate: a note between agents; real_user: a message
     that the user typed; custom: no part of the conversation; notice: says that a filter cut the history.
     """
-    of = lambda path: F.get_json_object("value", f"$.{path}")
+    of, true = _of, _true
     told = lambda path: F.nullif(F.trim(of(path)), F.lit(""))
-    true = lambda path: F.coalesce(of(f"providerData.{path}") == "true", F.lit(False))
-    text = lambda path: F.coalesce(F.get_json_object("value", f"$.{path}"), F.lit(""))
     client = F.from_json(of("providerData.clientMeta"), "map<string,string>")
     steer = F.coalesce(F.exists(F.map_values(client), lambda x: F.coalesce(F.get_json_object(x, "$.queueOrigin"), F.lit("")) == "steer"), F.lit(False))
-    body = F.when(of("contentText").isNotNull(), of("contentText")).otherwise(text("content"))
-    blocks = F.from_json(body, "array<struct<text:string>>")
-    body = F.when(body.startswith("[{"), F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "")).otherwise(body)
     message, user = F.coalesce(of("type") == "message", F.lit(False)), F.coalesce(of("role") == "user", F.lit(False))
-    told_compact = true("isCompactInternal") | of("providerData.compactType").isNotNull()
-    teammate = of("providerData.teammateMessage.from").isNotNull() | body.rlike(_TEAMMATE)
+    told_compact, teammate = _is_compact(), _is_teammate()
     own = lines.select("conv", "ord", told("id").alias("id"), told("parentId").alias("parent"), told("logicalParentId").alias("logical"), of("type").alias("type"), message.alias("m"), user.alias("u"), told_compact.alias("c"), teammate.alias("teammate"), (true("skipRun") | true("isMeta") | steer).alias("aside"), true("contentFilterNotice").alias("notice"))
     return own.select("conv", "ord", "id", "parent", "logical", "type", (F.col("m") & F.col("u") & F.col("c")).alias("compact"), "teammate", F.expr("m AND u AND NOT c AND NOT aside AND NOT teammate").alias("real_user"), F.coalesce(F.col("type").isin(*CUSTOM), F.lit(False)).alias("custom"), "notice")
 

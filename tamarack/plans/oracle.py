@@ -324,6 +324,13 @@ def statements() -> dict[str, str]:
         + " AS score FROM han WHERE contains(full_key, 'wd') OR contains(initials, 'wd')",
         "op_p11_kinds": CAT + " " + " UNION ALL ".join(f"SELECT '{w}' AS word, count(*) FILTER ({'kind = ' + str(k) if k < 9 else 'FALSE'}) AS n FROM cat" for k, w in enumerate("folder app doc image video audio code archive document".split(), 1)),
         "op_p10_zone": _zones(),
+        "op_t10_visible_text": r"""WITH c AS (SELECT conv_id, turn, role, turn % 9 AS k, coalesce(text, '') AS t FROM conversations),
+            s AS (SELECT *, CASE WHEN role = 'user' THEN regexp_replace(t, '^\s+|\s+$', '', 'g') ELSE t END AS own FROM c)
+            SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') OR k IN (2, 4, 8) OR (k = 7 AND role = 'user') OR (k = 3 AND role = 'assistant') OR (k = 5 AND role = 'user') THEN ''
+              WHEN k = 1 AND role = 'user' THEN own WHEN k = 1 THEN '<system-reminder data-role="x">no' || chr(10) || 'no</system-reminder>' || chr(10) || '<user_query>' || t || '</user_query> <image_local_path>/p</image_local_path>'
+              WHEN k = 3 THEN '<conversation_history_summary>' || regexp_replace(t, '\s+$', '')
+              WHEN k = 5 THEN 'Please summarize the' || chr(10) || 'conversation above ' || t || '<cb_summary>' WHEN k = 6 AND role = 'user' THEN regexp_replace(t, '^\s+', '') || chr(10) || '[{' WHEN k = 6 THEN t || chr(10) || '[{'
+              WHEN trim(own) = '' THEN '' ELSE own END AS shown FROM s""",
         "op_s5_scope": CAT + """, p AS (SELECT entry_id, rel_path AS p, is_dir, string_split(substr(rel_path, 2), '/') AS parts FROM cat)
             SELECT entry_id, CASE WHEN p = '/src1/en' OR starts_with(p, '/src1/en/') THEN 'user path' WHEN p = '/src2' OR starts_with(p, '/src2/') THEN 'system'
               WHEN starts_with(p, '/src4/') AND p <> '/src4/de' AND NOT starts_with(p, '/src4/de/') THEN 'system' WHEN starts_with(p, '/src3/') THEN 'library'

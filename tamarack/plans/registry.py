@@ -535,6 +535,22 @@ def op_t9_replay(spark, sf_dir):
     return replay.active(replay.records(lines))
 
 
+@query
+def op_t10_visible_text(spark, sf_dir):
+    """What conversations show, as transcripts in which clients wrapped, cut up or wrote some of the words."""
+    c = ad.table(spark, sf_dir, "conversations")
+    k, text = F.col("turn") % 9, F.coalesce("text", F.lit(""))
+    block = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    wrapped = F.concat(F.lit("<system-reminder data-role=\"x\">no\nno</system-reminder>\n<user_query>"), text, F.lit("</user_query> <image_local_path>/p</image_local_path>"))
+    said = F.when(k == 1, wrapped).when(k == 2, F.concat(F.lit("<system-reminder data-role='compact-summary'>"), text)).when(k == 3, F.concat(F.lit(" <conversation_history_summary>"), text))
+    said = said.when(k == 4, F.concat(F.lit("<Teammate-Message a>"), text, F.lit("</teammate-message>"))).when(k == 5, F.concat(F.lit("Please summarize the\nconversation above "), text, F.lit("<cb_summary>"))).otherwise(text)
+    blocks = F.array(block("input_text", text), block("reasoning", F.lit("hidden")), block("output_text", F.lit("[{")))
+    head = [F.when(k == 8, "note").otherwise("message").alias("type"), F.col("role")]
+    one = F.to_json(F.struct(*head, said.alias("content"), F.when(k == 7, F.struct(F.lit(True).alias("isMeta"))).alias("providerData")))
+    line = F.when(k == 6, F.to_json(F.struct(*head, blocks.alias("content")))).otherwise(one)
+    return c.withColumn("value", line).select("conv_id", "turn", replay.visible_text().alias("shown"))
+
+
 @query
 def op_e18_explain(spark, sf_dir):
     """Why paths are or are not in the index: every entry's, and as many that no scan has met."""

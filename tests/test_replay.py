@@ -119,3 +119,21 @@ def test_a_long_conversation_is_shared_out(spark):
     rows = spark.range(n, numPartitions=4).select(F.lit("c").alias("conv"), F.col("id").alias("ord"), F.concat(F.lit("m"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("m"), parent)).alias("parent"), F.lit(None).cast("string").alias("logical"), F.lit("message").alias("type"), F.lit(False).alias("compact"), F.lit(False).alias("teammate"), F.lit(False).alias("real_user"), F.lit(False).alias("custom"), (F.col("id") == n - 1).alias("notice"))
     shown = replay.active(rows, 1000)
     assert shown.count() == n - 2 * (n // 100) and shown.where("ord % 100 IN (48, 49)").count() == 0
+
+
+def test_visible_text(spark):
+    say = lambda content, role="user", **more: {"type": "message", "role": role, "content": content} | more
+    cases = [
+        (say([{"type": "input_text", "text": "visible prompt"}, {"type": "reasoning", "text": "private"}, {"type": "tool", "text": "arguments"}]), "visible prompt"),
+        (say([{"type": "output_text", "text": "one"}, {"type": "text", "text": "two"}], "assistant"), "one\ntwo"),
+        (say('<system-reminder data-role="user-context">private</system-reminder>\n<user_query>visible prompt</user_query><image_local_path>/private/path</image_local_path>'), "visible prompt"),
+        (say('Please inspect <svg><path d="M0 0" /></svg>.'), 'Please inspect <svg><path d="M0 0" /></svg>.'),
+        (say("x", providerData={"isMeta": True}), ""), (say("x", "assistant", providerData={"isMeta": True}), "x"), (say("x", providerData={"isCompactInternal": True}), ""), (say("x", "assistant", providerData={"compactType": "auto"}), ""),
+        (say("<teammate-message from='w'>x</teammate-message>"), ""), (say("x", providerData={"teammateMessage": {"from": "w"}}), ""), (say("** \n Your ONLY output should be the <conversation_history_summary> y <conversation_history_summary z"), ""),
+        (say("Please continue with the conversation based on the summarized context above."), ""), (say("Please continue with the conversation based on the summarized context above.", "assistant"), "Please continue with the conversation based on the summarized context above."),
+        (say("<cb_summary> <previous_tool_call a> </cb_summary>", "assistant"), ""), (say("<cb_summary> a </cb_summary>", "assistant"), "<cb_summary> a </cb_summary>"), (say("  \n ", "assistant"), ""), (say(" a ", "assistant"), " a "), (say(" a "), "a"),
+        (say("[{ not blocks"), "[{ not blocks"), (say([]), ""), ({"type": "tool", "role": "user", "content": "x"}, ""), (say("x", "system"), ""), ({"type": "message", "role": "user", "contentText": "told", "content": "x"}, "told"), ({}, ""),
+    ]
+    rows = spark.createDataFrame([(k, json.dumps(x)) for k, (x, _) in enumerate(cases)], "k long, value string")
+    got = {r.k: r.t for r in rows.select("k", replay.visible_text().alias("t")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
