@@ -84,6 +84,13 @@ def uncovered(all_roots: DataFrame, indexed: DataFrame) -> DataFrame:
     return all_roots.join(indexed, "root", "left_anti")
 
 
+def uncovered_summary(all_roots: DataFrame, indexed: DataFrame) -> DataFrame:
+    """One row: how many roots no indexed source has, and the first EXAMPLES of them."""
+    rest = uncovered(all_roots.select("root").distinct(), indexed)
+    first = rest.orderBy("root").limit(EXAMPLES).agg(F.array_join(F.array_sort(F.collect_list("root")), ";").alias("examples"))
+    return rest.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(first))  # one row each
+
+
 def normalized(path: str) -> str | None:
     """An absolute path in NFC without doubled or closing slashes and without `.` and `..`; None for other texts."""
     if not path.startswith("/"):

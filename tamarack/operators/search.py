@@ -143,6 +143,34 @@ def supplemented(results: DataFrame, hits: DataFrame, catalog: DataFrame, versio
     return own.unionByName(new.select(own.columns))
 
 
+def supplemented_sources(found_rows: DataFrame, hits: DataFrame, sources: list[tuple[str, DataFrame, int]], o: Options) -> DataFrame:
+    """Results of several sources with further hits, in one order: (rank, source, entry_id, tier, reason, total, sorted_count).
+
+    found_rows: as `search_sources` gives them. hits: source, entry_id, version, reason, nth. sources: name, catalog and the version that was
+    searched. Hits of unknown sources, of another version of their own source and on entries that are not live go; of several
+    on an entry the last one, by nth, tells the reason. By relevance hits that are no results follow all results, last
+    modified first; in any other order all rows stand where they belong.
+    """
+    columns = ["source", "source_ix", "entry_id", "name", "folded", "score", "mtime", "size"]
+    live = None
+    for k, (name, catalog, version) in enumerate(sources):
+        catalog = catalog.where("NOT deleted") if "deleted" in catalog.columns else catalog
+        own = hits.where((F.col("source") == name) & (F.col("version").isNull() | (F.col("version") == version)))
+        own = own.groupBy("entry_id").agg(F.max_by("reason", "nth").alias("reason")).join(catalog.select("entry_id", "name", "folded", "mtime", "size"), "entry_id")
+        own = own.withColumns({"source": F.lit(name), "source_ix": F.lit(k), "score": F.lit(0)})
+        live = own if live is None else live.unionByName(own)
+    key = ["source_ix", "entry_id"]
+    rows = found_rows.select(columns).join(live.select(*key, "reason"), key, "left").withColumn("tier", F.lit(0))
+    more = live.join(found_rows.select(key), key, "left_anti").withColumn("tier", F.lit(1))
+    both = rows.unionByName(more.select(rows.columns))
+    if o.sort == "relevance":
+        by = [F.col("tier"), F.desc("score"), F.when(F.col("tier") == 1, F.col("mtime")).desc()]
+    else:
+        by = [order(o)[0]]
+    ranked = results(both, [*by, F.col("source_ix"), F.col("entry_id")])
+    return ranked.select("rank", "source", "entry_id", "tier", "reason", "total", "sorted_count")
+
+
 def merged_with_topics(files: DataFrame, topics: DataFrame, o: Options) -> DataFrame:
     """Files (entry_id, name, score, mtime, size) and topics (topic_id, title, score, modified) in one list.
 

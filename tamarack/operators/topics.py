@@ -116,11 +116,23 @@ def relevance(topics: DataFrame, query: str, now: int, normalize: bool = True) -
 
 
 def upserted(topics: DataFrame, updates: DataFrame) -> DataFrame:
-    """(topic_id, title, op): what an upsert by topic_id does; rows that would not change are left out."""
-    old = topics.select("topic_id", F.col("title").alias("old_title"), F.lit(True).alias("known"))
+    """updates and `op`: what an upsert by topic_id does; rows that would change no column are left out.
+
+    All columns of updates that topics has, too, are compared, null being a value like others.
+    """
+    both = [c for c in updates.columns if c in topics.columns and c != "topic_id"]
+    old = topics.select("topic_id", F.struct(F.lit(True).alias("known"), *[F.col(c) for c in both]).alias("_old"))
+    same = F.lit(True)
+    for c in both:
+        same = same & F.col(c).eqNullSafe(F.col("_old")[c])
     at = updates.join(old, "topic_id", "left")
-    op = F.when(F.col("known").isNull(), "insert").when(~F.col("title").eqNullSafe(F.col("old_title")), "update")
-    return at.withColumn("op", op).where("op IS NOT NULL").select("topic_id", "title", "op")
+    op = F.when(F.col("_old").isNull(), "insert").when(~same, "update")
+    return at.withColumn("op", op).where("op IS NOT NULL").select(*updates.columns, "op")
+
+
+def title_messages(topics: DataFrame, key: str = "meta") -> DataFrame:
+    """(topic_id, msg_key, body): a topic's title and project as a message, by which it is found, too."""
+    return topics.select("topic_id", F.lit(key).alias("msg_key"), F.concat(F.col("title"), F.lit("\n"), F.coalesce("project", F.lit(""))).alias("body"))
 
 
 def message_changes(messages: DataFrame, updates: DataFrame) -> DataFrame:

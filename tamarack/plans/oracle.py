@@ -293,8 +293,14 @@ def statements() -> dict[str, str]:
         "op_a7_topic_count": f"{TOPICS} SELECT count(*) AS n FROM topics WHERE NOT archived AND provider <> 'west'",
         "op_a8_thread_summary": f"{TOPICS} SELECT topic_id, count(*) AS items, max(msg_key) AS last FROM said GROUP BY topic_id",
         "op_t12_titles": f"{TOPICS} SELECT topic_id, title, provider, modified, archived, messages FROM topics",
-        "op_k3_topic_upsert": f"""{TOPICS}, n AS (SELECT topic_id, CASE WHEN modified % 3 = 0 THEN title || '!' ELSE title END AS title, CAST(topic_id AS INT) % 5 = 0 AS fresh, modified % 3 = 0 AS other FROM topics)
-            SELECT topic_id, title, CASE WHEN fresh THEN 'insert' ELSE 'update' END AS op FROM n WHERE fresh OR other""",
+        "op_k3_topic_upsert": f"""{TOPICS}, n AS (SELECT topic_id, CASE WHEN modified % 3 = 0 THEN title || '!' ELSE title END AS title, CASE WHEN CAST(topic_id AS INT) % 7 <> 0 THEN provider END AS provider, modified,
+              CAST(topic_id AS INT) % 13 = 0 OR archived AS archived, CAST(topic_id AS INT) % 5 = 0 AS fresh, modified % 3 = 0 OR CAST(topic_id AS INT) % 7 = 0 OR (CAST(topic_id AS INT) % 13 = 0 AND NOT archived) AS other FROM topics)
+            SELECT topic_id, title, provider, modified, archived, CASE WHEN fresh THEN 'insert' ELSE 'update' END AS op FROM n WHERE fresh OR other""",
+        "op_k3_title_messages": f"{TOPICS} SELECT topic_id, 'meta' AS msg_key, title || chr(10) || provider AS body FROM topics",
+        "op_a5_summary": """WITH r AS (SELECT DISTINCT source AS root FROM documents WHERE CAST(substring(source, 4) AS INT) % 2 <> 0)
+            SELECT count(*) AS n, (SELECT string_agg(root, ';' ORDER BY root) FROM (SELECT root FROM r ORDER BY root LIMIT 5) f) AS examples FROM r""",
+        "op_m3_sources": _supplemented("tier, CASE WHEN tier = 0 THEN -score END, CASE WHEN tier = 1 THEN -mtime END"),
+        "op_m3_by_size": _supplemented("size"),
         "op_k4_message_changes": f"""{TOPICS}, n AS (SELECT topic_id, msg_key, body, CASE WHEN msg_key % 3 = 0 THEN '' WHEN msg_key % 3 = 1 THEN body || '.' ELSE body END AS new, msg_key % 4 <> 2 AS known FROM messages),
             o AS (SELECT topic_id, msg_key, CASE WHEN new = '' AND known THEN 'delete' WHEN new <> '' AND NOT known THEN 'insert' WHEN new <> '' AND new <> body THEN 'update' END AS op FROM n)
             SELECT * FROM o WHERE op IS NOT NULL""",
@@ -366,6 +372,16 @@ def statements() -> dict[str, str]:
     return out
 
 
+def _supplemented(order: str) -> str:
+    both = f"""SELECT 0 AS ix, 'docs' AS source, entry_id, folded, mtime, size, ext, {score("1", "txt")} AS score FROM cat UNION ALL SELECT 1, 'parts', entry_id, folded, mtime, size, ext, {score("1", "txt")} FROM parts"""
+    return f"""{BOTH}, u AS ({both}), res AS (SELECT * FROM u WHERE contains(folded, '1') AND (ext = 'log' OR contains(folded, 'txt'))),
+      h AS (SELECT ['docs', 'parts', 'gone'][event_id % 3 + 1] AS source, CASE WHEN event_id % 3 = 0 THEN user_id + 100000 ELSE user_id + 10 END AS entry_id, event_id % 4 AS version, event_type, event_id FROM events),
+      d AS (SELECT source, entry_id, arg_max(event_type, event_id) AS reason FROM h WHERE version = 0 OR (source = 'docs' AND version = 2) OR (source = 'parts' AND version = 3) GROUP BY ALL),
+      rows_ AS (SELECT u.*, reason, CASE WHEN r.entry_id IS NULL THEN 1 ELSE 0 END AS tier FROM u LEFT JOIN res r ON r.ix = u.ix AND r.entry_id = u.entry_id LEFT JOIN d ON d.source = u.source AND d.entry_id = u.entry_id
+        WHERE r.entry_id IS NOT NULL OR reason IS NOT NULL)
+      SELECT row_number() OVER (ORDER BY {order}, ix, entry_id) AS rank, source, entry_id, tier, reason, count(*) OVER () AS total, count(*) OVER () AS sorted_count FROM rows_"""
+
+
 def _zones() -> str:
     """Bounds of days as local times at fixed distances from UTC: -5 h (-4 from 10 March 2024), +5:30 h, +1 h (+2 from 31 March)."""
     shift = {

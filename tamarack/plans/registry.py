@@ -346,10 +346,51 @@ def op_t12_titles(spark, sf_dir):
 
 @query
 def op_k3_topic_upsert(spark, sf_dir):
-    """Every third topic retitled, every fifth unknown before."""
+    """Every third topic retitled, some moved to another provider, some archived, every fifth unknown before."""
     heads, _ = ad.topics(spark, sf_dir)
-    new = heads.select("topic_id", F.when(F.col("modified") % 3 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"))
-    return topics.upserted(heads.where("CAST(topic_id AS INT) % 5 <> 0"), new)
+    k = F.col("topic_id").cast("int")
+    new = heads.select(
+        "topic_id", F.when(F.col("modified") % 3 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"),
+        F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("provider")).alias("provider"), "modified", ((k % 13 == 0) | F.col("archived")).alias("archived"),
+    )
+    return topics.upserted(heads.where(k % 5 != 0), new)
+
+
+@query
+def op_k3_title_messages(spark, sf_dir):
+    """Titles and projects (here the provider) as messages."""
+    return topics.title_messages(ad.topics(spark, sf_dir)[0].withColumn("project", F.col("provider")))
+
+
+@query
+def op_a5_summary(spark, sf_dir):
+    """How many document sources are not among the indexed ones, and the first of them."""
+    roots = ad.table(spark, sf_dir, "documents").select(F.col("source").alias("root"))
+    return coverage.uncovered_summary(roots, roots.where("CAST(substring(root, 4) AS INT) % 2 = 0").distinct())
+
+
+def _hits_of_two(spark, sf_dir):
+    e = ad.table(spark, sf_dir, "events")
+    source = F.element_at(F.array(F.lit("docs"), F.lit("parts"), F.lit("gone")), (F.col("event_id") % 3 + 1).cast("int"))
+    entry = F.when(F.col("event_id") % 3 == 0, F.col("user_id") + 100000).otherwise(F.col("user_id") + 10)
+    return e.select(source.alias("source"), entry.alias("entry_id"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 4).alias("version"), F.col("event_type").alias("reason"), F.col("event_id").alias("nth"))
+
+
+def _supplemented(spark, sf_dir, **options):
+    docs, parts, o = ad.catalog(spark, sf_dir), ad.parts(spark, sf_dir), search.Options(now=NOW, **options)
+    rows = search.search_sources([("docs", docs), ("parts", parts)], "1 ext:log|txt", o)
+    return search.supplemented_sources(rows, _hits_of_two(spark, sf_dir), [("docs", docs, 2), ("parts", parts, 3)], o)
+
+
+@query
+def op_m3_sources(spark, sf_dir):
+    """Two sources of versions 2 and 3, and hits of several versions on both; results by relevance stay ahead."""
+    return _supplemented(spark, sf_dir)
+
+
+@query
+def op_m3_by_size(spark, sf_dir):
+    return _supplemented(spark, sf_dir, sort="size", ascending=True)
 
 
 @query
