@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..plans import language
+from .catalog import _kept
 
 #: An empty line lists so many recent files.
 RECENT = 200
@@ -152,7 +153,7 @@ def supplemented_sources(found_rows: DataFrame, hits: DataFrame, sources: list[t
     modified first; in any other order all rows stand where they belong.
     """
     columns = ["source", "source_ix", "entry_id", "name", "folded", "score", "mtime", "size"]
-    live = None
+    found_rows, live = _kept(found_rows.select(columns)), None  # read twice
     for k, (name, catalog, version) in enumerate(sources):
         catalog = catalog.where("NOT deleted") if "deleted" in catalog.columns else catalog
         own = hits.where((F.col("source") == name) & (F.col("version").isNull() | (F.col("version") == version)))
@@ -160,9 +161,9 @@ def supplemented_sources(found_rows: DataFrame, hits: DataFrame, sources: list[t
         own = own.withColumns({"source": F.lit(name), "source_ix": F.lit(k), "score": F.lit(0)})
         live = own if live is None else live.unionByName(own)
     key = ["source_ix", "entry_id"]
-    rows = found_rows.select(columns).join(live.select(*key, "reason"), key, "left").withColumn("tier", F.lit(0))
+    rows = found_rows.join(live.select(*key, "reason"), key, "left").withColumn("tier", F.lit(0))
     more = live.join(found_rows.select(key), key, "left_anti").withColumn("tier", F.lit(1))
-    both = rows.unionByName(more.select(rows.columns))
+    both = _kept(rows.unionByName(more.select(rows.columns)))  # counted, then put in order
     if o.sort == "relevance":
         by = [F.col("tier"), F.desc("score"), F.when(F.col("tier") == 1, F.col("mtime")).desc()]
     else:
