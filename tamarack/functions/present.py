@@ -34,6 +34,12 @@ def highlights(folded: Column, needles: list[str]) -> Column:
     return F.aggregate(F.array_sort(F.concat(*hits)), F.array().cast(_SPANS), merge)
 
 
+def in_utf16(text: Column, spans: Column) -> Column:
+    """Ranges of characters as ranges of UTF-16 units, of which characters above U+FFFF take two."""
+    units = lambda n: n + F.length(F.regexp_replace(F.substring(text, F.lit(1), n), r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.transform(spans, lambda x: F.struct(units(x["start"]).alias("start"), units(x["stop"]).alias("stop")))
+
+
 def abbreviated(path: Column, home: str) -> Column:
     """The home folder as ~."""
     base = home if home == "/" else home.rstrip("/")

@@ -222,6 +222,20 @@ def understand(
     return Search(clauses, problems)
 
 
+def literals(search: Search) -> list[str]:
+    """What a result's name is highlighted for: words that are asked for, and the parts of globs between their wildcards."""
+    out = []
+    for clause in search.clauses:
+        for a in clause:
+            if a.negated:
+                continue
+            if a.kind in ("name", "case") or (a.kind in ("file", "folder") and len(clause) == 1):
+                out.append(a.value.lower())
+            elif a.kind == "glob":
+                out += re.split("[*?]", a.value)
+    return list(dict.fromkeys(x for x in out if x))
+
+
 def path_pattern(value: str, home: str, root: str = "/") -> str:
     """What rel_path must contain; an empty inner component stands for any one name."""
     if value.startswith("~"):

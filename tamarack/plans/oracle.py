@@ -164,10 +164,10 @@ GRAMS = r"""grams AS (SELECT DISTINCT topic_id, unnest(list_concat(
   list_filter(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3)), lambda g: regexp_matches(g, '^[\x00-\x7F]{3}$')))) AS gram FROM folded)"""
 
 
-def _span_sql() -> str:
+def _span_sql(needles: tuple[str, ...], shift: int = 0) -> str:
     hits = " ".join(
-        f"UNION ALL SELECT entry_id, p - 1 AS a, p - 1 + {len(n)} AS b FROM (SELECT entry_id, folded, unnest(range(1, length(folded) + 1)) AS p FROM cat) WHERE substr(folded, p, {len(n)}) = '{n}'"
-        for n in ("doc", "oc", "1")
+        f"UNION ALL SELECT entry_id, p - 1 + {shift} AS a, p - 1 + {len(n) + shift} AS b FROM (SELECT entry_id, folded, unnest(range(1, length(folded) + 1)) AS p FROM cat) WHERE substr(folded, p, {len(n)}) = '{n}'"
+        for n in needles
     )[10:]
     return f"""{CAT}, hits AS ({hits}),
       ordered AS (SELECT *, max(b) OVER (PARTITION BY entry_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits),
@@ -310,7 +310,8 @@ def statements() -> dict[str, str]:
         "op_s12_changed_threads": f"{TOPICS} SELECT topic_id, count(*) AS items, max(msg_key) AS last FROM said WHERE CAST(topic_id AS INT) % 2 = 0 GROUP BY topic_id",
         "op_e6_size_codec": """WITH b AS (SELECT l_orderkey, l_linenumber, CAST(trunc(l_extendedprice * 100000) AS BIGINT) AS v FROM lineitem)
             SELECT l_orderkey, l_linenumber, CASE WHEN v < 2147483648 THEN v ELSE least(v >> 12, 2147483647) * 4096 END AS kept FROM b""",
-        "op_e10_highlight": _span_sql(),
+        "op_e10_highlight": _span_sql(("doc", "oc", "1")),
+        "op_e10_line": _span_sql(("doc", "2", "y", "7", "1"), 2),
         "op_e11_abbreviate": f"{CAT} SELECT entry_id, CASE WHEN rel_path = '/src2/en' THEN '~' WHEN starts_with(rel_path, '/src2/en/') THEN '~' || substr(rel_path, 9) ELSE rel_path END AS shown FROM cat",
         "op_e12_date_text": f"""{CAT}, t AS (SELECT entry_id, make_timestamp(mtime * 1000000) AS ts, make_timestamp(CAST({NOW} AS BIGINT) * 1000000) AS now FROM cat)
             SELECT entry_id, CASE WHEN CAST(ts AS DATE) = CAST(now AS DATE) THEN 'Today ' || strftime(ts, '%H:%M') WHEN CAST(ts AS DATE) = CAST(now AS DATE) - 1 THEN 'Yesterday ' || strftime(ts, '%H:%M')

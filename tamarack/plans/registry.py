@@ -441,6 +441,15 @@ def op_e10_highlight(spark, sf_dir):
     return ad.catalog(spark, sf_dir).select("entry_id", F.array_join(F.transform(spans, lambda x: F.concat_ws("-", x["start"], x["stop"])), ",").alias("spans"))
 
 
+@query
+def op_e10_line(spark, sf_dir):
+    """Highlights of a line's words and of its globs' literal parts, in UTF-16 units, over names with a character above U+FFFF before them."""
+    needles = language.literals(language.understand("*doc?2* case:Y !en file:7 size:>1 folder:x|1", NOW))
+    shown = F.concat(F.lit("\U0001F600"), F.col("name"))
+    spans = present.in_utf16(shown, present.highlights(F.lower(shown), needles))
+    return ad.catalog(spark, sf_dir).select("entry_id", F.array_join(F.transform(spans, lambda x: F.concat_ws("-", x["start"], x["stop"])), ",").alias("spans"))
+
+
 @query
 def op_e11_abbreviate(spark, sf_dir):
     return ad.catalog(spark, sf_dir).select("entry_id", present.abbreviated(F.col("rel_path"), "/src2/en").alias("shown"))

@@ -162,6 +162,13 @@ def test_highlights(spark):
     assert got == [[(0, 3), (4, 8)], [], []]
 
 
+def test_literals_and_units(spark):
+    say = lambda line: language.literals(language.understand(line, NOW))
+    assert say("a*b?c !d case:E file:f folder:g|h path:i ext:md") == ["a", "b", "c", "e", "f", "h"] and say("* ! !x") == [] and say("aa AA") == ["aa"]
+    df = spark.createDataFrame([("x😀ab😀😀ab",)], "f string")
+    assert [tuple(s) for s in df.select(present.in_utf16(F.col("f"), present.highlights(F.col("f"), ["ab", "😀a"])).alias("h")).first().h] == [(1, 5), (7, 11)]
+
+
 def test_patterns_are_judged_by_the_engine_that_runs_them(tree):
     assert ids(tree, "regex:\\p{Lu}LA") == {18} and language.understand(r"a regex:(?P<a>d)", NOW).problems
     assert ids(tree, r"md regex:(?P<a>d)") == ids(tree, "md")
