@@ -41,7 +41,7 @@ def test_walks_share_out_what_they_find(spark, tmp_path):
         (tmp_path / p).write_text("")
     os.symlink(tmp_path / "wide", tmp_path / "link")
     scope = Scope(library="/Library", system_roots=None, extensions=("zip",))
-    for at_once in (7, 50_000):
+    for at_once in (25, 50_000):
         rows = listing.walked(spark, str(tmp_path), scope, at_once).collect()
         assert len({r.path for r in rows}) == len(rows)
         left = {r.path: r.reason for r in rows if r.reason}
