@@ -104,6 +104,13 @@ def test_results_tell_total_and_what_is_sorted(spark):
     assert len(some) == 300 and sorted(r.rank for r in some if r.rank) == list(range(1, 11)) and {(r.total, r.sorted_count) for r in some} == {(300, 10)}
 
 
+def test_many_results_are_all_ranked(spark):
+    rows = spark.range(1, 7001).select(F.col("id").alias("entry_id"), (F.col("id") % 7).alias("score"))
+    got = search.results(rows, [F.desc("score"), F.col("entry_id")], full=200).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 7001)) and {(r.total, r.sorted_count) for r in got} == {(7000, 7000)}
+    assert [r.entry_id for r in got] == sorted(range(1, 7001), key=lambda i: (-(i % 7), i))
+
+
 def test_files_of_equal_score_go_by_id(spark):
     files = spark.createDataFrame([(i, f"n{i}", 5, 0, 0) for i in (9, 10, 100)], "entry_id long, name string, score long, mtime long, size long")
     heads = spark.createDataFrame([("x", "t", 5, 0)], "topic_id string, title string, score long, modified long")
