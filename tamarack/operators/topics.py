@@ -66,14 +66,18 @@ def search(topics: DataFrame, messages: DataFrame, query: str, providers: list[s
     return rows.orderBy(F.desc("modified"), "topic_id").limit(limit).join(F.broadcast(more))  # one row
 
 
-def grams(folded: Column) -> Column:
-    """Distinct characters, pairs, and triples of ASCII characters of a text."""
+def grams(texts: DataFrame, folded: str) -> DataFrame:
+    """texts and `grams`: distinct characters, pairs, and triples of ASCII characters of a text; rows without a text go.
 
-    def runs(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.length(folded) - (n - 1))
-        return F.when(F.length(folded) >= n, F.transform(at, lambda i: F.substring(folded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(runs(1), runs(2), F.filter(runs(3), lambda g: g.rlike(r"^[\x00-\x7F]{3}$"))))
+    Each text is cut into characters once: finding the nth one anew for every gram would cost the square of its length.
+    """
+    both = lambda a, b: F.concat(a, b)
+    rest = lambda x, start: F.slice(x, F.lit(start), F.size("_chars"))
+    least = lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0)))
+    rows = texts.where(F.col(folded) != "").withColumn("_chars", F.split(folded, ""))
+    rows = rows.withColumn("_pairs", F.zip_with(least(F.col("_chars")), rest("_chars", 2), both))
+    triples = F.filter(F.zip_with(least(F.col("_pairs")), rest("_chars", 3), both), lambda g: F.octet_length(g) == 3)
+    return rows.withColumn("grams", F.array_distinct(F.concat("_chars", "_pairs", triples))).drop("_chars", "_pairs")
 
 
 def query_grams(term: str) -> list[str]:
@@ -85,7 +89,7 @@ def query_grams(term: str) -> list[str]:
 def postings(messages: DataFrame, normalize: bool = True) -> DataFrame:
     """(gram, topic_id), for an index kept by gram."""
     folded = messages.select("topic_id", fold(F.col("body"), normalize).alias("f"))
-    return folded.select("topic_id", F.explode(grams(F.col("f"))).alias("gram")).distinct()
+    return grams(folded, "f").select("topic_id", F.explode("grams").alias("gram")).distinct()
 
 
 def candidates(index: DataFrame, query: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Paths, sweeps, change feeds as streams, listings and transcripts."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -81,6 +82,19 @@ def test_topics_literal(spark):
         assert hit(q) <= {r.topic_id for r in topics.candidates(index, q).collect()}
 
 
+def test_grams_of_long_texts(spark):
+    """Right for characters of all widths, and a text of 200,000 characters takes no square of that."""
+    texts = ["", None, "a", "ab", "é", "a\U0001F600bc", "abcabc", "ab\ncé"]
+    cut = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1) if n < 3 or t[i : i + n].isascii()}
+    messages = spark.createDataFrame([(str(k), 0, t) for k, t in enumerate(texts)], "topic_id string, msg_key long, body string")
+    got = sorted((r.topic_id, r.gram) for r in topics.postings(messages).collect())
+    assert got == sorted((str(k), g) for k, t in enumerate(texts) for g in cut(t or ""))
+    long = spark.range(1).select(F.lit("x").alias("topic_id"), F.lit(0).alias("msg_key"), F.repeat(F.lit("abcdé"), 40_000).alias("body"))
+    began = time.perf_counter()
+    assert topics.postings(long).count() == len(cut("abcdé" * 3))
+    assert time.perf_counter() - began < 15
+
+
 def test_bounded_keeps_all(spark):
     df = spark.range(100).select(F.col("id").alias("entry_id"), (F.col("id") % 7).alias("score"))
     got = search.bounded(df, [F.desc("score"), F.col("entry_id")], 10).collect()
