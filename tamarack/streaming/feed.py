@@ -11,6 +11,7 @@ call it between micro-batches.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from typing import NamedTuple
@@ -115,24 +116,47 @@ def follow(feed: DataFrame, folder: str, checkpoint: str, every: str | None = No
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _hearing():
+    """The function of a source's rows; made here so that it reaches workers as a whole, which may lack this package."""
+
+    def heard(key: tuple, parts, state):
+        """A source's rows of one micro-batch, an Arrow batch at a time, without those of retired watchers."""
+        import pandas as pd
+
+        known = state.get[0] if state.exists else None
+        first: dict = {}  # of each epoch the least seq
+        with tempfile.TemporaryFile() as spool:
+            for rows in parts:
+                for epoch, seq in rows.groupby("epoch")["seq"].min().items():
+                    first[epoch] = min(seq, first.get(epoch, seq))
+                pickle.dump(rows, spool, pickle.HIGHEST_PROTOCOL)
+            end = spool.tell()
+            spool.seek(0)
+            begins = pd.Series(first, dtype=None if first else "float64").sort_index(ascending=False)
+            # an epoch is heard until a later one begins; whole numbers stay so, as they may pass 53 bits
+            until = begins.cummin().shift(1, **({"fill_value": 2**63 - 1} if begins.dtype.kind == "i" else {}))
+            while spool.tell() < end:
+                rows = pickle.load(spool)
+                living = ~(rows["seq"] > rows["epoch"].map(until))
+                yield rows[living & (rows["epoch"].notna() if known is None else rows["epoch"] >= known)]
+        highest = max([*first, *([] if known is None else [known])], default=None)
+        if highest is not None:
+            state.update((int(highest),))
+
+    return heard
+
+
 def of_living_streams(feed: DataFrame) -> DataFrame:
     """The rows of a stream (source, epoch, seq, any others) that do not come from a retired watcher.
 
     A source's watcher is replaced now and then and counts its epoch up; what an earlier one still sends after the
     first row of a later one, by seq, is dropped. The highest epoch of each source is kept in the stream's
-    state, so it also holds for later micro-batches. A source's rows of one micro-batch are put in order in one task.
+    state, so it also holds for later micro-batches. A source's rows of one micro-batch are read by one task, which
+    keeps them in a file of its own until it knows where each epoch begins; in memory are the epochs and one Arrow batch.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def pick(key: tuple, parts, state: GroupState):
-        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
-        known = state.get[0] if state.exists else None
-        highest = rows["epoch"].cummax() if known is None else rows["epoch"].cummax().clip(lower=known)
-        state.update((int(highest.iloc[-1]),))
-        yield rows[rows["epoch"] >= highest]
+    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return feed.groupBy("source").applyInPandasWithState(pick, feed.schema, "epoch long", "append", GroupStateTimeout.NoTimeout)
+    return feed.groupBy("source").applyInPandasWithState(_hearing(), feed.schema, "epoch long", "append", GroupStateTimeout.NoTimeout)
 
 
 def coalesced_per_window(feed: DataFrame, seconds: int = 1, late: str = "10 seconds") -> DataFrame:

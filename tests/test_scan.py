@@ -2,7 +2,9 @@
 
 import os
 import random
+import weakref
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,26 @@ def test_retired_watchers_are_not_heard(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
     got = sorted(r.what for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect())
     assert got == ["a", "b", "c", "d", "e", "f"]
+
+
+def test_a_watchers_rows_are_not_held_together():
+    """However many batches a source has, only a few are in memory; seq may pass 53 bits."""
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.now = value
+
+    met, most, base = [], [0], 2**60
+
+    def parts():
+        for k in range(50):
+            rows = pd.DataFrame({"source": 0, "epoch": [k, k - 1, k, k - 1], "seq": [base + 4 * k + n for n in (0, -1, 1, 2)]})
+            met.append(weakref.ref(rows))
+            most[0] = max(most[0], sum(r() is not None for r in met))
+            yield rows
+            del rows
+
+    state = State()
+    got = pd.concat(list(feed._hearing()((0,), parts(), state)))
+    assert sorted(got["seq"]) == sorted(base + 4 * k + n for k in range(50) for n in (-1, 0, 1)) and state.now == (49,) and most[0] <= 3
