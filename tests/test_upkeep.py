@@ -92,6 +92,7 @@ def test_grams_of_long_texts(spark):
     long = spark.range(1).select(F.lit("x").alias("topic_id"), F.lit(0).alias("msg_key"), F.repeat(F.lit("abcdé"), 40_000).alias("body"))
     began = time.perf_counter()
     assert topics.postings(long).count() == len(cut("abcdé" * 3))
+    assert [r.topic_id for r in topics.candidates(topics.postings(long), "bcd dé").collect()] == ["x"]
     assert time.perf_counter() - began < 15
 
 
