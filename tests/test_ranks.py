@@ -21,7 +21,7 @@ def large(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["op_m3_by_size", "op_m3_sources", "op_r5_relevance", "op_r6_natural_sort"])
+@pytest.mark.parametrize("name", ["op_m3_by_size", "op_m3_sources", "op_r5_relevance", "op_r6_natural_sort", "op_r7_sort_modified"])
 def test_all_results_are_ranked(spark, large, tmp_path, name):
     folder, con = large
     registry.queries()[name](spark, str(folder)).write.parquet(f"{tmp_path}/got")
