@@ -89,7 +89,8 @@ def query_grams(term: str) -> list[str]:
 def postings(messages: DataFrame, normalize: bool = True) -> DataFrame:
     """(gram, topic_id), for an index kept by gram."""
     folded = messages.select("topic_id", fold(F.col("body"), normalize).alias("f"))
-    return grams(folded, "f").select("topic_id", F.explode("grams").alias("gram")).distinct()
+    # explode would add a filter on the size of `grams`, which computes them a second time; no row here has none
+    return grams(folded, "f").select("topic_id", F.explode_outer("grams").alias("gram")).distinct()
 
 
 def candidates(index: DataFrame, query: str) -> DataFrame:

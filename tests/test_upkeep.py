@@ -96,6 +96,13 @@ def test_grams_of_long_texts(spark):
     assert time.perf_counter() - began < 15
 
 
+def test_grams_are_computed_once(spark):
+    messages = spark.createDataFrame([("1", 0, "abc"), ("2", 0, "")], "topic_id string, msg_key long, body string")
+    index = topics.postings(messages)
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 1
+    assert sorted(map(tuple, index.collect())) == [("1", g) for g in ("a", "ab", "abc", "b", "bc", "c")]
+
+
 def test_bounded_keeps_all(spark):
     df = spark.range(100).select(F.col("id").alias("entry_id"), (F.col("id") % 7).alias("score"))
     got = search.bounded(df, [F.desc("score"), F.col("entry_id")], 10).collect()
